@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe
+from formloom.llm import bpe, sstable
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
+    "op10_token_shards": sstable.op10_token_shards,
 }
 
 ORACLES: dict[str, str] = {}
