@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, sstable
+from formloom.llm import bpe, packing, sstable
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op10_token_shards": sstable.op10_token_shards,
 }
 
