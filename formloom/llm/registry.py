@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, packing, sstable
+from formloom.llm import bpe, exact, packing, sstable
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_token_shards": sstable.op10_token_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": exact.OP9_SQL,
+}
