@@ -23,6 +23,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -146,21 +147,24 @@ def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep
     return keyed.join(groups, "key").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
 
 
+def keep_rows(df: DataFrame, stay: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that ``stay`` (doc_id, key) names, each once, all columns as they were."""
+    at, nth = "__key__", "__nth__"
+    fresh(df, at, nth)
+    stay = stay.select(F.col("doc_id").alias("__stay_id__"), F.col("key").alias("__stay_key__"))
+    rows = df.withColumn(at, digest_key(F.col(text).cast("binary")))
+    found = rows.join(stay, (F.col(at) == F.col("__stay_key__")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__stay_id__")), "left_semi")
+    return found.withColumn(nth, F.row_number().over(W.partitionBy(at, doc_id).orderBy(F.lit(0)))).where(F.col(nth) == 1).drop(at, nth)
+
+
 def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max") -> DataFrame:
     """``df`` with one row of each group of equal texts, all columns as they were.
 
     Only identifiers and keys go through the merge; the rows that stay are found by both.
     """
-    from pyspark.sql import Window as W
-
-    at, mark, key_name, id_name = "__key__", "__nth__", "__keep_key__", "__keep_id__"
-    fresh(df, at, mark, key_name, id_name)
     keys = df.select(F.col(doc_id).cast("long").alias("doc_id"), digest_key(F.col(text).cast("binary")).alias("key"), F.monotonically_increasing_id().alias("row"))
-    stay = written(merge_runs(written(keys, "keys"), keep).select(F.col("keep_id").alias(id_name), F.col("key").alias(key_name)), "stay")
-    rows = df.withColumn(at, digest_key(F.col(text).cast("binary")))
-    found = rows.join(stay, (F.col(at) == F.col(key_name)) & F.col(doc_id).cast("long").eqNullSafe(F.col(id_name)), "left_semi")
-    nth = F.row_number().over(W.partitionBy(at, doc_id).orderBy(F.lit(0)))
-    return found.withColumn(mark, nth).where(F.col(mark) == 1).drop(at, mark)
+    stay = written(merge_runs(written(keys, "keys"), keep).select(F.col("keep_id").alias("doc_id"), "key"), "stay")
+    return keep_rows(df, stay, text, doc_id)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
