@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, exact, packing, simhash, sstable
+from formloom.llm import bpe, chat, exact, packing, simhash, sstable
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_token_shards": sstable.op10_token_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_chat_format": chat.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
 }
