@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, exact, packing, simhash, sstable
+from formloom.llm import bpe, chat, exact, html, packing, simhash, sstable
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_html_main_text": html.op8_html_main_text,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_token_shards": sstable.op10_token_shards,
 }
