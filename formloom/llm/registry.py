@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, exact, html, packing, simhash, sstable
+from formloom.llm import ann, bpe, chat, exact, html, packing, simhash, sstable
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_nearest_neighbours": ann.op3_nearest_neighbours,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_chat_format": chat.op7_chat_format,
     "op8_html_main_text": html.op8_html_main_text,
