@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from formloom.llm import ann, bpe, chat, exact, html, packing, quality, simhash, sstable
+from formloom.llm import ann, bpe, chat, exact, html, packing, quality, simhash, sstable, toxicity
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_nearest_neighbours": ann.op3_nearest_neighbours,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_chat_format": chat.op7_chat_format,
