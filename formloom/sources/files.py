@@ -41,7 +41,7 @@ def _glob() -> str:
 def read_files(spark: SparkSession, folders: list[str], content: bool = True) -> DataFrame:
     """The files of folders, not of folders in them; ``content`` is only read if asked for.
 
-    Hidden files, which begin with a dot or an underscore, are not listed.
+    Hidden files, which begin with a dot or an underscore, and files of length zero are not listed.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", _glob()).option("recursiveFileLookup", "false").load(folders)
     return found if content else found.drop("content")

@@ -6,7 +6,7 @@ import pytest
 
 HOME = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, HOME)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HOME, os.environ.get("PYTHONPATH", "")]))
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HOME, f"{HOME}/tests", os.environ.get("PYTHONPATH", "")]))
 
 
 @pytest.fixture(scope="session")
