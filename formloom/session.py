@@ -14,11 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 HOME = str(Path(__file__).resolve().parent.parent)
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session says otherwise: texts can be long, and
+#: both sides hold whole batches.
+ARROW_BATCH = "8m"
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it.
+    """Lets Python workers import this package from where the driver has it, and bounds what they get at once.
 
-    On a cluster the package is installed or shipped; then this changes nothing.
+    On a cluster the package is installed or shipped; then the path changes nothing. The size of
+    batches is left alone if it has been set.
     """
+    if spark.conf.get(_ARROW_SETTING, None) == "67108864b":  # Spark's own default
+        spark.conf.set(_ARROW_SETTING, ARROW_BATCH)
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if HOME not in paths:
