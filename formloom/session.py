@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -41,7 +42,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under the folder that driver and executors share.
+    """A new folder under the one that driver and executors share; it is deleted when the application ends.
 
     The folder is the session's ``spark.checkpoint.dir``. Only a local session
     without that setting (unit tests) gets a temporary folder; a cluster without
@@ -53,7 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='formloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/formloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/formloom-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    # with its scheme: other readers have other defaults
+    return re.sub("^file:/(?!/)", "file:///", store.makeQualified(place).toUri().toString())
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
