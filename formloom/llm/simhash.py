@@ -36,7 +36,7 @@ from formloom.llm.exact import digest_key, keep_rows
 from formloom.session import load, written
 
 #: Distinct fingerprints that may share a variant and still be compared pair by pair.
-HOT = 64
+HOT = 512
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -84,11 +84,13 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     fp = F.col("fp")
     high, low = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
     segments = F.array(F.struct(F.lit(0).cast("long").alias("s"), high.alias("own"), low.alias("other")), F.struct(F.lit(1).cast("long").alias("s"), low.alias("own"), high.alias("other")))
-    cut = prints.select("fp", F.explode(segments).alias("x")).select("fp", "x.*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    # each row becomes 64: dealt out evenly before, however few files it came from
+    spread = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cut = spread.select("fp", F.explode(segments).alias("x")).select("fp", "x.*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
     # one number for segment, wildcard and the rest: 1 + 5 + 32 bits
     keyed = cut.withColumn("key", F.expr("shiftleft(s, 40) | shiftleft(cast(i AS long), 33) | (own & ~shiftleft(1L, i))"))
     crowds = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "crowds")
-    met = written(keyed.select("key", "fp").join(crowds.where(F.col("m") <= hot).select("key"), "key", "left_semi"), "met")
+    met = written(keyed.select("key", "fp").join(crowds.where(F.col("m") <= hot).select("key").hint("merge"), "key", "left_semi"), "met")
     a, b = met.select("key", F.col("fp").alias("a")), met.select("key", F.col("fp").alias("b"))
     # a pair meets at every wildcard of an equal segment: it counts at the first segment that
     # qualifies, and there at the bit that differs, or at wildcard 0 if none does
@@ -97,8 +99,9 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
         AND if(shiftrightunsigned(key, 40) = 0, shiftrightunsigned(a ^ b, 32), (a ^ b) & 4294967295L)
             IN (shiftleft(1L, cast(shiftrightunsigned(key, 33) & 31 AS int)), if(shiftrightunsigned(key, 33) & 31 = 0, 0L, -1L))
     """
-    joined = a.join(b, "key").where("a < b AND bit_count(a ^ b) <= 2").where(place).select("a", "b")
-    return joined.union(_hot_links(keyed, crowds.where(F.col("m") > hot).select("key")))
+    joined = a.join(b.hint("merge"), "key").where("a < b AND bit_count(a ^ b) <= 2").where(place).select("a", "b")
+    crowded = crowds.where(F.col("m") > hot).select("key")
+    return joined if crowded.isEmpty() else joined.union(_hot_links(keyed, crowded))
 
 
 def _hot_links(keyed: DataFrame, hot: DataFrame) -> DataFrame:
