@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from formloom.llm.tokens import piece_encoder, text_of
+from formloom.llm.tokens import piece_encoder, portions, text_of
 from formloom.session import load, written
 
 #: Steps that lengths are rounded up to, and pieces in a pattern.
@@ -55,16 +55,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, words: bool, end_id: int, capaci
         encoder, end, most = piece_encoder(tokenizer, words), struct.pack("<I", end_id), 4 * capacity
         task, counts = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            rows, seen = [], {}
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                value = value.as_py()
-                cut = seen.get(value)
-                if cut is None:
-                    ids = encoder.encode(text_of(value)) + end
-                    cut = seen[value] = [(k, at // 4, len(x) // 4, zlib.crc32(x)) for k, at in enumerate(range(0, len(ids), most)) if (x := ids[at : at + most])]
-                for k, start, length, crc in cut:
-                    rows.append((key, k, start, length, crc, task, counts[length]))
-                    counts[length] += 1
+            rows, keys, values = [], batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))
+            for at, some in portions(values):
+                texts = list(dict.fromkeys(some))
+                cuts = {}
+                for value, packed in zip(texts, encoder.encode_many([text_of(x) for x in texts]), strict=True):
+                    ids = packed + end
+                    cuts[value] = [(k, a // 4, len(x) // 4, zlib.crc32(x)) for k, a in enumerate(range(0, len(ids), most)) if (x := ids[a : a + most])]
+                for key, value in zip(keys[at : at + len(some)], some, strict=True):
+                    for k, start, length, crc in cuts[value]:
+                        rows.append((key, k, start, length, crc, task, counts[length]))
+                        counts[length] += 1
             if rows:
                 columns = zip(*rows, strict=True)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -260,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, words: bool, end_id: int, capacity: in
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     spots = slots(make_plan(histogram, capacity))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = pieces.join(before, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("seq")).alias("rank"))
+    ranked = pieces.join(before.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("seq")).alias("rank"))
     wide = int(max(spots["rank"], default=0) + max(histogram.values(), default=0) + 1)
     keys = spots["length"] * wide + spots["rank"]
 
