@@ -61,6 +61,10 @@ def digest_key(values: pa.Array) -> pa.Array:
     return pa.array(made, type=pa.binary())
 
 
+# else the optimiser may compute a key twice, once to see that it isn't null
+digest_key = digest_key.asNondeterministic()
+
+
 def _thin(entries: np.ndarray, largest: bool) -> np.ndarray:
     """Sorted by key, one entry for each: the row that stays, and the sum of counts."""
     if not len(entries):
