@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formloom.llm.tokens import piece_encoder, text_of
+from formloom.llm.tokens import piece_encoder, portions, text_of
 from formloom.session import load, shared_dir
 
 MAGIC = b"IDSST001"
@@ -224,18 +224,18 @@ def write_table(df: DataFrame, path: str, tokenizer: str, end_id: int | None, wo
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         writer = stream = first = None
         for batch in batches:
-            seen: dict = {}
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                value = value.as_py()
-                ids = seen.get(value)
-                if ids is None:
-                    packed = encoder.encode(text_of(value)) + end
-                    ids = seen[value] = packed if width == 4 else np.frombuffer(packed, "<u4").astype("<u2").tobytes()
-                if writer is None:
-                    stream = store.open_output_stream(name)
-                    writer = ShardWriter(stream, width)
-                    first = key_of(key)
-                writer.add(key_of(key), ids)
+            keys, values = batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))
+            for at, some in portions(values):
+                texts = list(dict.fromkeys(some))
+                known = {}
+                for value, packed in zip(texts, encoder.encode_many([text_of(x) for x in texts]), strict=True):
+                    known[value] = packed + end if width == 4 else np.frombuffer(packed + end, "<u4").astype("<u2").tobytes()
+                for key, value in zip(keys[at : at + len(some)], some, strict=True):
+                    if writer is None:
+                        stream = store.open_output_stream(name)
+                        writer = ShardWriter(stream, width)
+                        first = key_of(key)
+                    writer.add(key_of(key), known[value])
         if writer:
             writer.close()
             stream.close()

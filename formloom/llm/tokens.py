@@ -14,15 +14,16 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
 
 #: Letters of ASCII and Latin-1, spelled out so that the engine of `re` agrees with the library's.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Anything else than printable ASCII, tab, newline and Latin-1 letters and their two signs.
 _UNCHECKED = re.compile("[^\t\n\x20-\x7eÀ-ÿ]")
-#: What the pre-tokenizers match, on the checked characters only.
-_BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-_WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+#: What the pre-tokenizers match, on the checked characters only. Alternatives that can't start alike stand in order of frequency.
+_BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTER}0-9]+| ?[0-9]+|\s+(?!\S)|\s+")
+_WORD_LEVEL = re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[^\s{_LETTER}0-9]+|[0-9]")
 #: A place where no match of the pattern can span: a letter or digit, then a space or newline.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
 
@@ -71,10 +72,11 @@ class PieceEncoder:
     """BPE by the tokenizers library from a local JSON file, without special tokens.
 
     ``words``: the file cuts words without their blanks and lower-cases them.
-    ``most``: pieces kept in memory; beyond that the store starts afresh.
+    ``most``: pieces kept in memory. When there are more, they become the older half, and
+    only those that are used again are carried over.
     """
 
-    def __init__(self, path: str, words: bool, most: int = 300_000):
+    def __init__(self, path: str, words: bool, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,27 +85,76 @@ class PieceEncoder:
         self.words, self.most = words, most
         self.pattern = _WORD_LEVEL if words else _BYTE_LEVEL
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # A piece of its own kind that parts others in one call: it matches alone, and its id appears in no other piece.
+        self.between, self.parts = (" 0 ", re.compile(r"\s|\d")) if words else ("\n", re.compile(r"\s\Z|\n"))
+        (self.mark,) = self.tokenizer.encode(self.between.strip(" "), add_special_tokens=False).ids
 
     def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces; those that can be are encoded many at once, parted by the mark."""
+        import numpy as np
+
+        found: dict[str, bytes] = {}
+        alone = [x for x in pieces if self.parts.search(x)]
+        found.update(zip(alone, self._library(alone), strict=True))
+        rest = [x for x in pieces if x not in found]
+        texts = [self.between.join(rest[at : at + 256]) for at in range(0, len(rest), 256)]
+        for at, made in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            some, packed = rest[256 * at : 256 * (at + 1)], array("I", made.ids).tobytes()
+            ends = [*(np.flatnonzero(np.frombuffer(packed, dtype="<u4") == self.mark) * 4).tolist(), len(packed)]
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer joins pieces across its mark")
+            start = 0
+            for piece, end in zip(some, ends, strict=True):
+                found[piece] = packed[start:end]
+                start = end + 4
+        return found
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _UNCHECKED.search(text):
-            return self._library([text])[0]
-        pieces = self.pattern.findall(text.lower() if self.words else text)
-        if missing := {x for x in pieces if len(x) <= 64}.difference(self.known):
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = {x for x in pieces if len(x) <= 64}
-            self.known.update(zip(missing, self._library(list(missing)), strict=True))
-        known = self.known
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:  # pieces too long to keep
-            return b"".join([known[x] if len(x) <= 64 else self._library([x])[0] for x in pieces])
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what isn't known of all of them goes through the library together."""
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        cut = [None if _UNCHECKED.search(x) else self.pattern.findall(x.lower() if self.words else x) for x in texts]
+        pieces = set().union(*filter(None, cut))
+        # the pieces at hand in a store of their own, small enough to stay in the processor's cache
+        here, again, new = {}, [], []
+        known, older = self.known.get, self.older.get
+        for x in pieces:
+            if ids := known(x):
+                here[x] = ids
+            elif ids := older(x):
+                here[x] = ids
+                again.append(x)
+            else:
+                new.append(x)
+        learnt = self._learn(new)
+        here.update(learnt)
+        kept = [*again, *(x for x in learnt if len(x) <= 64)]
+        # copies side by side: the strings at hand would keep whole blocks of memory from being used again
+        self.known.update(zip("\0".join(kept).split("\0") if kept else (), map(here.__getitem__, kept), strict=True))
+        return [self._library([x])[0] if own is None else b"".join(map(here.__getitem__, own)) for x, own in zip(texts, cut, strict=True)]
+
+
+def portions(values, most: int = 4 << 20):
+    """Lists of values of about ``most`` bytes together, and the place of the first."""
+    held, size, at = [], 0, 0
+    for i, value in enumerate(values):
+        held.append(value)
+        size += len(value) if value else 1
+        if size >= most:
+            yield at, held
+            held, size, at = [], 0, i + 1
+    if held:
+        yield at, held
 
 
 @lru_cache(maxsize=4)
