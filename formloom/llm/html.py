@@ -132,6 +132,8 @@ def blocks_of(html: str) -> list[Block]:
             parts.append(html[at : m.start()])
             linked += (m.start() - at) * (links > 0)
         at = m.end()
+        if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = size  # an open comment hides the rest
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
