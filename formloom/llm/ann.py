@@ -164,7 +164,7 @@ def nearest(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vect
     forest = spark.sparkContext.broadcast(Forest(points, trees, max(LEAF_LEAST, leaf * len(points) // total)))
 
     asking = rows.where(queries).select("vec_id", "vector")
-    asked = written(asking.join(classes.select("class", "vector"), "vector").select("vec_id", "class"), "asked")
+    asked = written(asking.join(classes.select("class", "vector"), "vector").select("vec_id", "class").distinct(), "asked")
 
     def place(batches):
         f = forest.value
