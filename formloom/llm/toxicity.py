@@ -61,13 +61,33 @@ def _signature(words: list[str]) -> int:
     return min(found) - (1 << 63) if words else 0
 
 
-@arrow_udf(T.StructType([T.StructField("forms", T.ArrayType(T.StringType())), T.StructField("signature", T.LongType())]))
-def _described(values: pa.Array) -> pa.Array:
-    made = []
-    for value in values:
-        words = _WORD.findall(text_of(value.as_py()).lower())
-        made.append({"forms": sorted({x for w in set(words) for x in _forms(w)}), "signature": _signature(words)})
-    return pa.array(made, type=pa.struct([("forms", pa.list_(pa.string())), ("signature", pa.int64())]))
+@arrow_udf(T.LongType())
+def _signatures(values: pa.Array) -> pa.Array:
+    return pa.array([_signature(_WORD.findall(text_of(x.as_py()).lower())) for x in values], type=pa.int64())
+
+
+def _form_counts(sample: DataFrame) -> DataFrame:
+    """(form, a, b): toxic and clean documents of ``sample`` (text, toxic) that hold a form. Tasks sum up before they pass on."""
+
+    def run(batches):
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for value, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = set(_WORD.findall(text_of(value.as_py()).lower()))
+                for form in {x for w in words for x in _forms(w)}:
+                    counts.setdefault(form, [0, 0])[1 - toxic] += 1
+                if len(counts) > 100_000:
+                    yield _counted(counts)
+                    counts = {}
+        if counts:
+            yield _counted(counts)
+
+    partial = sample.select("text", "toxic").mapInArrow(run, "form string, a long, b long")
+    return partial.groupBy("form").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), type=pa.string()), pa.array([x[0] for x in counts.values()]), pa.array([x[1] for x in counts.values()])], names=["form", "a", "b"])
 
 
 class Features:
@@ -185,14 +205,14 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, text: str, doc_i
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vocabulary: int = VOCABULARY, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
     """Learns the telling forms and the chain from a bounded sample of labelled documents."""
-    sample = written(_sample(docs, labels, per_class, text, doc_id).withColumn("d", _described("text")).select("id", "text", "toxic", "d.*"), "sample")
+    sample = written(_sample(docs, labels, per_class, text, doc_id).withColumn("signature", _signatures("text")), "sample")
     one = sample.groupBy("signature", "toxic").agg(F.min("id").alias("id"))
     sample = written(sample.join(F.broadcast(one), ["signature", "toxic", "id"], "left_semi").dropDuplicates(["id"]), "distinct")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return ToxicityModel(None, None)
-    counts = sample.select("toxic", F.explode("forms").alias("form")).groupBy("form").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = _form_counts(sample)
     odds = ((F.col("a") + 0.1) / (bad + 0.2)) / ((F.col("b") + 0.1) / (good + 0.2))
     least = max(LEAST, LEAST_SHARE * bad)
     # a form that a longer or the whole one explains as well is left to it only by the ridge: both may stay
@@ -226,10 +246,13 @@ def _scorer(model: ToxicityModel):
     def score(values: pa.Array) -> pa.Array:
         if not len(values):
             return pa.array([], type=pa.list_(pa.float64()))
-        texts = [text_of(x.as_py()) for x in values]
-        different = list(dict.fromkeys(texts))
-        found = dict(zip(different, np.round(model(different), 9).tolist(), strict=True))
-        return pa.array([found[x] for x in texts], type=pa.list_(pa.float64()))
+        made: list[list[float]] = []
+        for at in range(0, len(values), 256):
+            texts = [text_of(x.as_py()) for x in values[at : at + 256]]
+            different = list(dict.fromkeys(texts))
+            found = dict(zip(different, np.round(model(different), 9).tolist(), strict=True))
+            made += [found[x] for x in texts]
+        return pa.array(made, type=pa.list_(pa.float64()))
 
     return score
 
