@@ -1,0 +1,156 @@
+"""Chat formatting (7) and HTML extraction (8)."""
+
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from formloom.llm import chat, html
+
+NASTY = ["", "a", "</s>", "[INST] x [/INST]", "<\\s>", "\\", "<\\\\s>", "[\\/INST]", "x\\", "[", "<", " ", "\n", "$1 \\$1", "</s></s>", "<<s>s>", "[/INST]\n</s>", None, "é</s>é\\", "[INST", "INST]", "𝒳 </s> 𝒳"]
+
+
+def read_back(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0)).withColumn("level", F.lit(0))
+    return chat.read_conversations(chat.format_conversations(df)).collect()
+
+
+def test_every_pair_of_hard_texts(spark):
+    rows = [(i * 100 + j, t, r, x) for i, a in enumerate(NASTY) for j, b in enumerate(NASTY) for t, (r, x) in enumerate((("user", a), ("assistant", b)))]
+    want: dict = {}
+    for c, _, role, text in rows:
+        want.setdefault(c, []).append((role, text or ""))
+    got = read_back(spark, rows)
+    assert len(got) == len(want) and {r.level for r in got} == {0, 1, 2}
+    for r in got:
+        assert [tuple(t) for t in r.turns] == want[r.conv_id] and list(r.loss_texts) == [want[r.conv_id][1][1]]
+        body = r.formatted[5:]
+        assert body.count("</s>") == 2 and r.formatted.startswith(f"<s>{r.level}\n")
+        pieces = body.split("</s>")
+        assert all(len(pieces[m.piece]) >= m.start + m.length for m in r.loss_mask)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "</s>", None]), st.lists(st.sampled_from(["<", "s>", "/s>", "\\", "[", "INST]", "/INST]", "x", " ", "\n"]), max_size=8)), min_size=1, max_size=30))
+def test_any_texts(spark, turns):
+    rows = [(i // 3, i % 3, role, "".join(parts)) for i, (role, parts) in enumerate(turns)]
+    for r in read_back(spark, rows):
+        own = [(role or "", text) for c, _, role, text in rows if c == r.conv_id]
+        assert [tuple(t) for t in r.turns] == own and list(r.loss_texts) == [t for role, t in own if role == "assistant"]
+
+
+def test_order_nulls_and_empty(spark):
+    rows = [(1, 2, "user", "c"), (1, None, "system", "a"), (1, 1, "assistant", "b2"), (1, 1, "assistant", "b1"), (1, 1, "assistant", "b1"), (None, 0, None, None)]
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in read_back(spark, rows)}
+    assert got == {1: [("system", "a"), ("assistant", "b1"), ("assistant", "b1"), ("assistant", "b2"), ("user", "c")], None: [("", "")]}
+    assert read_back(spark, []) == []
+
+
+def test_parser_refuses_what_the_grammar_does_not_know(spark):
+    bad = ["<s>0\n[INST] user [/INST]\nx</s>", "<s>0\nuser [/INST]\nx </s>", "<s>0\n[INST] user [/INST]\na[/INST]b </s>", "<s>0\n[INST] user [/INST]\na <s> b </s>"]
+    rows = spark.createDataFrame([(b,) for b in bad], "f string").select(chat.parse(F.col("f")).alias("t")).collect()
+    assert all(r.t[0].text is None for r in rows)
+
+
+def test_no_python_in_the_plan(spark):
+    plan = chat.op7_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_chat_query(spark):
+    conversations: dict = {-7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect():
+        conversations.setdefault(r.conv_id, []).append((r.role, r.text))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.conv_id: r for r in chat.op7_chat_format(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == conversations.keys()
+    for c, turns in conversations.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss))
+
+
+# -- HTML
+
+
+def brute_cut(costs, edges):
+    best = None
+    for bits in range(1 << len(costs)):
+        side = [bits >> i & 1 for i in range(len(costs))]
+        value = sum(max(0, c) if not s else max(0, -c) for c, s in zip(costs, side)) + sum(w for a, b, w in edges if side[a] != side[b])
+        best = value if best is None else min(best, value)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 9), st.randoms(use_true_random=False))
+def test_minimum_cut(n, rng):
+    costs = [rng.uniform(-4, 4) for _ in range(n)]
+    edges = [(i - 1, i, rng.uniform(0, 2)) for i in range(1, n)] + [(a, b, rng.uniform(0, 2)) for a in range(n) for b in range(a + 2, n) if rng.random() < 0.2]
+    side = html.min_cut(list(costs), edges)
+    value = sum(max(0, c) if not s else max(0, -c) for c, s in zip(costs, side)) + sum(w for a, b, w in edges if side[a] != side[b])
+    assert value == pytest.approx(brute_cut(costs, edges), abs=1e-6)
+
+
+PAGE = """<html><head><title>No</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
+<div id="header">Site name</div><nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>
+<div class="cookie-notice">We use cookies to make this site work better for you, our reader.</div>
+<div class="post-content"><h1>A &amp; B</h1><p>First&nbsp;paragraph, with <b>bold</b>face
+ and a <a href="x">link</a>.<br>Second line.<p>Unclosed <i>one.</p><ul><li>Item one is here.<li>Item two is here.</ul>
+<blockquote>Quoted &lt;text&gt;.</blockquote><!-- <p>comment</p> --></div>
+<aside><p>Related reading that is long enough to look like a paragraph of text.</p></aside>
+<section class="comments"><p>I disagree with all of this, said a reader at great length indeed.</p></section>
+<form><p>Search here.</p><input><textarea>typed</textarea></form><footer><p>&copy; 2020 All rights reserved by the owner.</p></footer></body></html>"""
+
+
+def test_page():
+    text = html.main_text(PAGE, html.trained_weights())
+    assert text == "A & B\nFirst paragraph, with boldface and a link. Second line.\nUnclosed one.\nItem one is here.\nItem two is here.\nQuoted <text>."
+
+
+@pytest.mark.parametrize(("page", "text"), [("", ""), ("plain text only", "plain text only"), ("<p>x", "x"), ("<script>var a='<p>no</p>'", ""), ("<!-- open <p>no", ""), ("a < b and c > d", "a < b and c > d"), ("<article><p>One two three.</p></article><nav>Menu of the site</nav>", "One two three."), ("<p>x</div></p>", "x"), ("<ARTICLE><P CLASS=x>Upper case.</P></ARTICLE>", "Upper case."), ("<article><p>a&#65;&eacute;&#x42;&unknown;</p></article>", "aAéB&unknown;")])
+def test_odd_pages(page, text):
+    assert html.main_text(page, html.trained_weights()) == text
+
+
+def test_hard_pages_take_no_long():
+    import time
+
+    weights = html.trained_weights()
+    pages = ["<div" * 20_000, "<div>" * 20_000 + "text here.", '<p a="' * 20_000, "<!--" * 20_000, "<a '" * 20_000 + ">", "</p>" * 20_000, "<article>" + "<p>A sentence of text.</p>" * 5_000 + "</article><footer>" + "<p>Rights.</p>" * 2_000 + "</footer>"]
+    for page in pages:
+        began = time.process_time()
+        html.main_text(page, weights)
+        assert time.process_time() - began < 8, page[:20]
+
+
+def test_long_page_is_whole():
+    rng = random.Random(2)
+    lines = [" ".join(rng.choice(("one", "two", "three")) for _ in range(rng.randint(1, 40))).capitalize() + "." for _ in range(3000)]
+    page = "<nav><a href=x>Menu</a></nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+    assert html.main_text(page, html.trained_weights()).split("\n") == lines
+
+
+def test_html_table(spark):
+    df = spark.createDataFrame([(1, None, "u"), (2, "", None), (3, PAGE, "u"), (3, PAGE, "u")], "page_id long, html string, node string")
+    rows = html.extract_text(df).collect()
+    assert len(rows) == 4 and rows[0].text == rows[1].text == "" and rows[2].n_chars == len(rows[2].text) > 50 and rows[2] == rows[3] and rows[2].html == PAGE
+    assert html.extract_text(df.where("false")).count() == 0
+    with pytest.raises(ValueError, match="text"):
+        html.extract_text(df.withColumn("text", F.lit(1)))
+
+
+def test_html_query(spark):
+    """Against the article's own paragraphs, cut out by plain means that fit these pages only."""
+    import re
+    from html import unescape
+
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article.replace("<br>", " ")))
+        want[r.page_id] = "\n".join(x for b in blocks if (x := " ".join(unescape(b).split())))
+    got = html.op8_html_main_text(spark, "/root/testdata/sf0.001").collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
