@@ -110,6 +110,12 @@ def form_record_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.unnested(rules.nested(_flat(spark, sf_dir), [KEY]), [KEY]).select(KEY, "thong_tin_ca_nhan__ho_va_ten", "chi_so_sinh_ly__tuoi", "benh_ly_man_tinh__egfr")
 
 
+def form_birth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of birth as dates, and whether a date was given."""
+    born = F.col("thong_tin_ca_nhan__ngay_sinh")
+    return _flat(spark, sf_dir).select(KEY, rules.as_date(born).alias("born"), born.isNotNull().alias("given"))
+
+
 def doc_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", rules.email(F.col("text")).alias("email")).where(F.col("email").isNotNull())
 
@@ -263,7 +269,7 @@ def service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: _fields(**columns) for name, columns in _BY_RULE.items()} | {
     f.__name__: f
     for f in (
-        form_name_fallback, form_record_long, form_record_nested, doc_emails, doc_allcaps_head, doc_squish, doc_lines_topk, page_digital_ratio, page_assemble, page_map_roundtrip, route_documents,
+        form_name_fallback, form_record_long, form_record_nested, form_birth_dates, doc_emails, doc_allcaps_head, doc_squish, doc_lines_topk, page_digital_ratio, page_assemble, page_map_roundtrip, route_documents,
         route_single_pages, ocr_lines, page_seconds, fill_defaults, fill_rows, props_fill, catalog_types, file_kind, output_names, dataset_progress, missing_paths, record_quality, any_underlying, scaled_zoom, label_lookup, service_health,
     )
 }
@@ -277,6 +283,7 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
     "form_name_fallback": f"SELECT {KEY}, CASE WHEN {KEY} % 2 = 1 THEN 'TRAN VAN BINH' END AS ho_va_ten FROM customer",
     "form_record_long": _long_sql(),
     "form_record_nested": _fields_sql(**{x: x for x in ("thong_tin_ca_nhan__ho_va_ten", "chi_so_sinh_ly__tuoi", "benh_ly_man_tinh__egfr")}),
+    "form_birth_dates": f"SELECT {KEY}, CASE {KEY} % 3 WHEN 0 THEN make_date(1940 + {KEY} % 60, 1, 1) WHEN 1 THEN make_date(1940 + {KEY} % 60, 7, 21) END AS born, {KEY} % 3 <> 2 AS given FROM customer",
     "doc_emails": f"SELECT doc_id, regexp_extract(text, '{_EMAIL}', 1) AS email FROM documents WHERE regexp_matches(text, '{_EMAIL}')",
     "doc_allcaps_head": f"""
         WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: regexp_extract(regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '{_CAPS}', 1)), lambda x: x <> '') AS h FROM documents)

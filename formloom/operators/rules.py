@@ -79,6 +79,11 @@ def birth_date(text: Column) -> Column:
     return F.when(year.isNotNull(), F.concat(F.lit("01/01/"), year.cast("string"))).otherwise(squish(first_group(text, BIRTH_DATE)))
 
 
+def as_date(birth: Column) -> Column:
+    """A date of birth as a date, null if it isn't one of day, month and year."""
+    return F.try_to_date(birth, "dd/MM/yyyy")
+
+
 def age(text: Column, reference_year: int = REFERENCE_YEAR) -> Column:
     """From the year of birth, if there is one and it isn't 0, else as stated."""
     year = F.coalesce(birth_year_label(text), to_long(first_group(squish(first_group(text, BIRTH_DATE)), YEAR_AT_END, ignore_case=False)))

@@ -222,6 +222,14 @@ def test_service(spark):
         server.shutdown()
 
 
+def test_benchmark(spark, folder):
+    table, met = job.benchmark(spark, f"{folder}/a.pdf", FakeBackend)
+    rows = table.collect()
+    assert [(r.run, r.pages) for r in rows] == [("cold", 2), ("warm", 2)] and rows[0].six_pages == pytest.approx(3 * rows[0].seconds) and isinstance(met, bool)
+    table, met = job.benchmark(spark, f"{folder}/e.pdf", FakeBackend)
+    assert not met and table.first().per_page is None
+
+
 def test_timer_measures_failures():
     with pytest.raises(ValueError), job.timed("x") as measured:
         raise ValueError
