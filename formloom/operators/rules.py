@@ -104,7 +104,8 @@ def phone(text: Column) -> Column:
 
 def email(text: Column) -> Column:
     # most text has no such sign, and looking for it is much cheaper than the pattern
-    return F.when(F.contains(text, F.lit("@")), first_group(text, EMAIL, ignore_case=False))
+    found = F.when(F.contains(text, F.lit("@")), F.regexp_extract(text, pattern(EMAIL), 1))
+    return F.nullif(found, F.lit(""))
 
 
 def height(text: Column) -> Column:
