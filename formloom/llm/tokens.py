@@ -76,7 +76,7 @@ class PieceEncoder:
     only those that are used again are carried over.
     """
 
-    def __init__(self, path: str, words: bool, most: int = 200_000):
+    def __init__(self, path: str, words: bool, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,25 +123,33 @@ class PieceEncoder:
         """The ids of each text; what isn't known of all of them goes through the library together."""
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
-        cut = [None if _UNCHECKED.search(x) else self.pattern.findall(x.lower() if self.words else x) for x in texts]
-        pieces = set().union(*filter(None, cut))
-        # the pieces at hand in a store of their own, small enough to stay in the processor's cache
-        here, again, new = {}, [], []
-        known, older = self.known.get, self.older.get
-        for x in pieces:
-            if ids := known(x):
-                here[x] = ids
-            elif ids := older(x):
-                here[x] = ids
-                again.append(x)
+        known, cut, new = self.known, [], set()
+        for text in texts:
+            if _UNCHECKED.search(text):
+                cut.append(None)
+                continue
+            pieces = self.pattern.findall(text.lower() if self.words else text)
+            found = list(map(known.get, pieces))
+            if None in found:
+                new.update([x for x, ids in zip(pieces, found, strict=True) if ids is None])
+                cut.append((pieces, found))
             else:
-                new.append(x)
-        learnt = self._learn(new)
-        here.update(learnt)
-        kept = [*again, *(x for x in learnt if len(x) <= 64)]
-        # copies side by side: the strings at hand would keep whole blocks of memory from being used again
-        self.known.update(zip("\0".join(kept).split("\0") if kept else (), map(here.__getitem__, kept), strict=True))
-        return [self._library([x])[0] if own is None else b"".join(map(here.__getitem__, own)) for x, own in zip(texts, cut, strict=True)]
+                cut.append(b"".join(found))
+        if new:
+            again = {x: ids for x in new if (ids := self.older.get(x))}
+            learnt = again | self._learn([x for x in new if x not in again])
+            kept = [x for x in learnt if len(x) <= 64]
+            # copies side by side: the strings at hand would keep whole blocks of memory from being used again
+            known.update(zip("\0".join(kept).split("\0") if kept else (), map(learnt.__getitem__, kept), strict=True))
+        out = []
+        for text, own in zip(texts, cut, strict=True):
+            if own is None:
+                out.append(self._library([text])[0])
+            elif isinstance(own, bytes):
+                out.append(own)
+            else:
+                out.append(b"".join([learnt[x] if ids is None else ids for x, ids in zip(*own, strict=True)]))
+        return out
 
 
 def portions(values, most: int = 4 << 20):
