@@ -47,6 +47,8 @@ MAGIC = b"IDSST001"
 FOOTER = struct.Struct("<QQQQQQHI8s")
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
+#: Pieces of text whose ids a writer keeps: encoding is nearly all of its work.
+PIECES = 600_000
 
 MANIFEST = "shard int, path string, first_key binary, last_key binary, n_docs long, n_ids long"
 
@@ -214,10 +216,8 @@ def write_table(df: DataFrame, path: str, tokenizer: str, end_id: int | None, wo
     n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        import numpy as np
-
-        encoder = piece_encoder(tokenizer, words)
-        end = b"" if end_id is None else struct.pack("<I", end_id)
+        encoder = piece_encoder(tokenizer, words, PIECES, width)
+        end = b"" if end_id is None else struct.pack("<H" if width == 2 else "<I", end_id)
         shard = TaskContext.get().partitionId()
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
@@ -229,7 +229,7 @@ def write_table(df: DataFrame, path: str, tokenizer: str, end_id: int | None, wo
                 texts = list(dict.fromkeys(some))
                 known = {}
                 for value, packed in zip(texts, encoder.encode_many([text_of(x) for x in texts]), strict=True):
-                    known[value] = packed + end if width == 4 else np.frombuffer(packed + end, "<u4").astype("<u2").tobytes()
+                    known[value] = packed + end
                 for key, value in zip(keys[at : at + len(some)], some, strict=True):
                     if writer is None:
                         stream = store.open_output_stream(name)

@@ -73,16 +73,17 @@ class PieceEncoder:
 
     ``words``: the file cuts words without their blanks and lower-cases them.
     ``most``: pieces kept in memory. When there are more, they become the older half, and
-    only those that are used again are carried over.
+    only those that are used again are carried over. ``width``: bytes of a packed id, 2 or 4.
     """
 
-    def __init__(self, path: str, words: bool, most: int = 300_000):
+    def __init__(self, path: str, words: bool, most: int = 300_000, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.most = words, most
+        self.words, self.most, self.width = words, most, width
+        self.code, self.kind = ("H", "<u2") if width == 2 else ("I", "<u4")
         self.pattern = _WORD_LEVEL if words else _BYTE_LEVEL
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -91,9 +92,7 @@ class PieceEncoder:
         (self.mark,) = self.tokenizer.encode(self.between.strip(" "), add_special_tokens=False).ids
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of pieces; those that can be are encoded many at once, parted by the mark."""
@@ -105,18 +104,18 @@ class PieceEncoder:
         rest = [x for x in pieces if x not in found]
         texts = [self.between.join(rest[at : at + 256]) for at in range(0, len(rest), 256)]
         for at, made in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            some, packed = rest[256 * at : 256 * (at + 1)], array("I", made.ids).tobytes()
-            ends = [*(np.flatnonzero(np.frombuffer(packed, dtype="<u4") == self.mark) * 4).tolist(), len(packed)]
+            some, packed = rest[256 * at : 256 * (at + 1)], array(self.code, made.ids).tobytes()
+            ends = [*(np.flatnonzero(np.frombuffer(packed, dtype=self.kind) == self.mark) * self.width).tolist(), len(packed)]
             if len(ends) != len(some):
                 raise ValueError("the tokenizer joins pieces across its mark")
             start = 0
             for piece, end in zip(some, ends, strict=True):
                 found[piece] = packed[start:end]
-                start = end + 4
+                start = end + self.width
         return found
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned integers."""
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -171,8 +170,8 @@ def rank_encoder(path: str, pattern: str) -> RankEncoder:
 
 
 @lru_cache(maxsize=4)
-def piece_encoder(path: str, words: bool) -> PieceEncoder:
-    return PieceEncoder(path, words)
+def piece_encoder(path: str, words: bool, most: int = 300_000, width: int = 4) -> PieceEncoder:
+    return PieceEncoder(path, words, most, width)
 
 
 def text_of(value: bytes | None) -> str:
