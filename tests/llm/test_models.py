@@ -117,7 +117,7 @@ def test_chain_finds_planted_words(spark):
     assert sum(rows[i].toxic == (i % 6 == 0) for i in range(300)) >= 294
     assert all(0 <= rows[i][f"p_{c}"] <= 1 for i in rows for c in toxicity.CATEGORIES)
     left = toxicity.drop_toxic(both, labels)
-    assert left.columns == both.columns and left.count() == 306 - 52
+    assert left.columns == both.columns and left.count() == 306 - sum(r.toxic for r in rows.values())
 
 
 def test_toxicity_without_labels(spark):
