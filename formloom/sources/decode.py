@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formloom.functions.text import strip
 from formloom.operators import pages as page_ops
 
 # Defaults, and what stands in for the text of a page or image that can't be read.
@@ -229,4 +228,4 @@ def document_texts(files: DataFrame, make: Callable[[], Backend] = LibraryBacken
     return pdf_texts.unionByName(image_texts)
 
 
-__all__ = ["Backend", "Document", "EngineMissing", "LibraryBackend", "document_texts", "page_counts", "recognise", "recognised_images", "recognised_pages", "strip", "text_layer"]
+__all__ = ["Backend", "Document", "EngineMissing", "LibraryBackend", "document_texts", "page_counts", "recognise", "recognised_images", "recognised_pages", "text_layer"]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.operators.fill import filled
-from formloom.plans.catalog import as_mapping, flat_name, FIELDS, request_schema
+from formloom.plans.catalog import FIELDS, as_mapping, flat_name, request_schema
 
 #: (body of the request, seconds to wait) -> (HTTP status, body of the reply)
 Transport = Callable[[str, float], tuple[int, str]]
