@@ -37,7 +37,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from formloom.llm.tokens import piece_encoder, portions, text_of
 from formloom.session import load, shared_dir
