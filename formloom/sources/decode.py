@@ -133,17 +133,24 @@ def _mapped(df: DataFrame, f: Callable[[Any], Iterator[tuple]], schema: str, col
 
 
 def page_counts(files: DataFrame, make: Callable[[], Backend] = LibraryBackend, least: int = page_ops.LEAST_CHARS) -> DataFrame:
-    """Pages and pages with text of each PDF; what can't be opened has none, and its error."""
+    """Pages and pages with text of each PDF.
+
+    What can't be opened has no pages; where the text layer can't be read, no page counts as having text, so
+    that its images are recognised.
+    """
 
     def count(row):
+        pages = 0
         try:
             doc = _backend(make).open(row.content)
             try:
-                yield row.path, len(doc), sum(len(doc.text(i).strip()) > least for i in range(len(doc))), "ok", None
+                pages = len(doc)
+                digital = sum(len(doc.text(i).strip()) > least for i in range(pages))
             finally:
                 doc.close()
+            yield row.path, pages, digital, "ok", None
         except Exception as error:  # one bad file must not stop the others
-            yield row.path, 0, 0, "error", str(error)
+            yield row.path, pages, 0, "error", str(error)
 
     return _mapped(files, count, COUNTS, ["path", "content"])
 
