@@ -86,7 +86,8 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
     at = grouped.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
     at = at.withColumn("escaped", F.col("turns")).withColumn("formatted", _string(F.col("escaped"), 0)).withColumn("level", F.lit(0))
     for k in (1, 2):
-        again = ~F.coalesce(parse(F.col("formatted")) == F.col("turns"), F.lit(False))
+        # only what was rendered anew is read again
+        again = (F.col("level") == k - 1) & ~F.coalesce(parse(F.col("formatted")) == F.col("turns"), F.lit(False))
         at = at.withColumn("again", again)
         at = at.withColumns({"escaped": F.when(F.col("again"), _escaped(F.col("turns"), k)).otherwise(F.col("escaped")), "level": F.when(F.col("again"), F.lit(k)).otherwise(F.col("level"))})
         at = at.withColumn("formatted", F.when(F.col("again"), _string(F.col("escaped"), k)).otherwise(F.col("formatted")))
