@@ -23,7 +23,7 @@ POINTS_PER_INCH = 72
 LANGUAGES = "vie+eng"
 ENGINE = "rapidocr"
 PAGE_SEGMENTATION = "--psm 3"
-NO_ENGINE = "Không tìm thấy Tesseract OCR. Vui lòng cài đặt Tesseract OCR và cấu hình đúng đường dẫn trong src/config.py"
+NO_ENGINE = "Không tìm thấy Tesseract OCR. Vui lòng cài đặt Tesseract OCR và cấu hình đúng đường dẫn"
 PAGE_ERROR = "[Lỗi Trang {page}]: {error}"
 IMAGE_ERROR = "[Lỗi OCR File Ảnh]: {error}"
 # End of fixed values.
