@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 BATCH_BYTES = 8 << 20
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, *names: str) -> None:
     """Raises if the table has columns with the names of the operator's outputs."""
     taken = {c.lower() for c in df.columns}
@@ -36,7 +41,7 @@ def per_row(
     :data:`BATCH_BYTES`, so that memory does not grow with the partition.
     """
     keep = df.columns if keep is None else keep
-    rows = df.select(*keep, F.col(column).cast("binary").alias("__value__"))
+    rows = df.select(*map(named, keep), named(column).cast("binary").alias("__value__"))
     schema = T.StructType([*(rows.schema[c] for c in keep), *out.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
