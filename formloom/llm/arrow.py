@@ -41,8 +41,9 @@ def per_row(
     :data:`BATCH_BYTES`, so that memory does not grow with the partition.
     """
     keep = df.columns if keep is None else keep
-    rows = df.select(*map(named, keep), named(column).cast("binary").alias("__value__"))
-    schema = T.StructType([*(rows.schema[c] for c in keep), *out.fields])
+    # by number on the way: names may hold dots, which the functions for Arrow batches can't take
+    rows = df.select(*(named(c).alias(f"c{i}") for i, c in enumerate(keep)), named(column).cast("binary").alias("value"))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(f"o{i}", f.dataType, f.nullable) for i, f in enumerate(out.fields))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,4 +73,4 @@ def per_row(
             if found:
                 yield batch_of(kept, found, start)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, *out.names)
