@@ -27,7 +27,7 @@ def importable(spark: SparkSession) -> None:
     On a cluster the package is installed or shipped; then the path changes nothing. The size of
     batches is left alone if it has been set.
     """
-    if spark.conf.get(_ARROW_SETTING, None) == "67108864b":  # Spark's own default
+    if spark.conf.get(_ARROW_SETTING, None) is None:  # not set: Spark would take 64 MB
         spark.conf.set(_ARROW_SETTING, ARROW_BATCH)
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
