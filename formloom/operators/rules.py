@@ -74,9 +74,13 @@ def birth_year_label(text: Column) -> Column:
     return to_long(first_group(text, BIRTH_YEAR))
 
 
-def birth_date(text: Column) -> Column:
-    year = birth_year_label(text)
-    return F.when(year.isNotNull(), F.concat(F.lit("01/01/"), year.cast("string"))).otherwise(squish(first_group(text, BIRTH_DATE)))
+def stated_birth_date(text: Column) -> Column:
+    return squish(first_group(text, BIRTH_DATE))
+
+
+def birth_date(year: Column, stated: Column) -> Column:
+    """From the year after its label, if there is one, else as stated."""
+    return F.when(year.isNotNull(), F.concat(F.lit("01/01/"), year.cast("string"))).otherwise(stated)
 
 
 def as_date(birth: Column) -> Column:
@@ -84,10 +88,10 @@ def as_date(birth: Column) -> Column:
     return F.try_to_date(birth, "dd/MM/yyyy")
 
 
-def age(text: Column, reference_year: int = REFERENCE_YEAR) -> Column:
+def age(text: Column, year: Column, stated: Column, reference_year: int = REFERENCE_YEAR) -> Column:
     """From the year of birth, if there is one and it isn't 0, else as stated."""
-    year = F.coalesce(birth_year_label(text), to_long(first_group(squish(first_group(text, BIRTH_DATE)), YEAR_AT_END, ignore_case=False)))
-    return F.when(year != 0, F.lit(reference_year).cast("bigint") - year).otherwise(to_long(first_group(text, AGE)))
+    known = F.coalesce(year, to_long(first_group(stated, YEAR_AT_END, ignore_case=False)))
+    return F.when(known != 0, F.lit(reference_year).cast("bigint") - known).otherwise(to_long(first_group(text, AGE)))
 
 
 def address(text: Column) -> Column:
@@ -137,11 +141,12 @@ def extract(df: DataFrame, text: str = "text", reference_year: int = REFERENCE_Y
     keep = [c for c in df.columns if c != text] if keep is None else keep
     t = F.coalesce(F.col(text), F.lit(""))
     # what several fields need, once
-    base = df.select(*keep, t.alias("_t"), address(t).alias("_address"), diagnosis(t).alias("_diagnosis"), gender(t).alias("_gender"), to_double(first_group(t, CHOLESTEROL)).alias("_cholesterol"))
+    several = {"_address": address(t), "_diagnosis": diagnosis(t), "_gender": gender(t), "_year": birth_year_label(t), "_born": stated_birth_date(t), "_cholesterol": to_double(first_group(t, CHOLESTEROL))}
+    base = df.select(*keep, t.alias("_t"), *(c.alias(n) for n, c in several.items()))
     t = F.col("_t")
     rules: dict[str, Column] = {
         "has_underlying_disease": underlying(F.col("_diagnosis")),
-        "tuoi": age(t, reference_year),
+        "tuoi": age(t, F.col("_year"), F.col("_born"), reference_year),
         "gioi_tinh": F.col("_gender"),
         "huyet_ap_tam_thu_sbp": to_long(first_group(t, SYSTOLIC)),
         "cholesterol_toan_phan": F.col("_cholesterol"),
@@ -150,7 +155,7 @@ def extract(df: DataFrame, text: str = "text", reference_year: int = REFERENCE_Y
         "acr": truncated(first_group(t, ACR)),
         "tang_cholesterol_mau_gia_dinh": F.coalesce(F.col("_cholesterol") > CHOLESTEROL_LIMIT, F.lit(False)),
         "ho_va_ten": name(t),
-        "ngay_sinh": birth_date(t),
+        "ngay_sinh": birth_date(F.col("_year"), F.col("_born")),
         "so_dien_thoai": phone(t),
         "email": email(t),
         "tinh_thanh_pho": province(F.col("_address")),
