@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formloom.operators import pages as page_ops
+from formloom.session import written
 
 # Defaults, and what stands in for the text of a page or image that can't be read.
 DPI = 150
@@ -220,7 +221,7 @@ def document_texts(files: DataFrame, make: Callable[[], Backend] = LibraryBacken
     """
     there = files.where(F.col("status") == "ok")
     pdf, images = there.where(F.col("kind") == "pdf"), files.where(F.col("kind") == "image")
-    counts = page_counts(pdf, make)
+    counts = written(page_counts(pdf, make), "counts")  # three branches need it, and probing opens every document
     probed = counts.withColumn("digital", page_ops.SHARE[1] * F.col("digital_pages") > page_ops.SHARE[0] * F.col("pages"))
     by_layer, by_image = page_ops.route(probed, force_ocr)
     pages = text_layer(pdf.join(by_layer.select("path"), "path", "left_semi"), make).where(F.col("text").isNotNull())
