@@ -23,7 +23,6 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -151,14 +150,26 @@ def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep
     return keyed.join(groups, "key").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
 
 
-def keep_rows(df: DataFrame, stay: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that ``stay`` (doc_id, key) names, each once, all columns as they were."""
-    at, nth = "__key__", "__nth__"
-    fresh(df, at, nth)
-    stay = stay.select(F.col("doc_id").alias("__stay_id__"), F.col("key").alias("__stay_key__"))
+def keep_rows(df: DataFrame, stay: DataFrame, keys: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that ``stay`` (doc_id, key) names, each once, all columns as they were.
+
+    ``keys``: doc_id and key of every row of ``df``, written. They tell whether rows repeat identifier and text; if
+    none do, a semi-join is all. Repeated ones are thinned to one by a sum that each task starts before the exchange.
+    """
+    at = "__key__"
+    fresh(df, at)
+    again = written(keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key"), "again")
     rows = df.withColumn(at, digest_key(F.col(text).cast("binary")))
-    found = rows.join(stay, (F.col(at) == F.col("__stay_key__")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__stay_id__")), "left_semi")
-    return found.withColumn(nth, F.row_number().over(W.partitionBy(at, doc_id).orderBy(F.lit(0)))).where(F.col(nth) == 1).drop(at, nth)
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(F.col("doc_id").alias("__id__"), F.col("key").alias("__other__"))
+        return left.join(right, (F.col(at) == F.col("__other__")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id__")), how)
+
+    found = joined(rows, stay, "left_semi")
+    if not again.isEmpty():
+        one = joined(joined(rows.dropDuplicates([at, doc_id]), again, "left_semi"), stay, "left_semi")
+        found = joined(found, again, "left_anti").unionByName(one)
+    return found.drop(at)
 
 
 def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max") -> DataFrame:
@@ -167,8 +178,9 @@ def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Only identifiers and keys go through the merge; the rows that stay are found by both.
     """
     keys = df.select(F.col(doc_id).cast("long").alias("doc_id"), digest_key(F.col(text).cast("binary")).alias("key"), F.monotonically_increasing_id().alias("row"))
-    stay = written(merge_runs(written(keys, "keys"), keep).select(F.col("keep_id").alias("doc_id"), "key"), "stay")
-    return keep_rows(df, stay, text, doc_id)
+    keys = written(keys, "keys")
+    stay = written(merge_runs(keys, keep).select(F.col("keep_id").alias("doc_id"), "key"), "stay")
+    return keep_rows(df, stay, keys, text, doc_id)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

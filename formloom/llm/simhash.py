@@ -142,7 +142,7 @@ def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     prints = written(prints, "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("row").alias("row")).join(fingerprint_components(prints), "fp")
     stay = written(classes.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.key"), "stay")
-    return keep_rows(df, stay, text, doc_id)
+    return keep_rows(df, stay, prints.select("row.doc_id", "row.key"), text, doc_id)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
