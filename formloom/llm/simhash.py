@@ -41,22 +41,28 @@ HOT = 512
 BLOCK = 1 << 15
 
 
-def fingerprint_of(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a text's bytes."""
+def hashed_shingles(text: bytes, words: int, seed: int):
+    """The hashes of a text's word shingles in order, repeats included, in arrays of at most :data:`BLOCK`."""
     from xxhash import xxh64_intdigest
 
     found = text.lower().split()  # of bytes: A-Z, and white space of ASCII
     if not found:
-        return 0
+        return
     n = max(1, len(found) - words + 1)
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     stops = ends[min(words, len(found)) - 1 :].tolist()
-    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, BLOCK):
-        hashes = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], dtype="<u8")
+        yield np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], dtype="<u8")
+
+
+def fingerprint_of(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint of a text's bytes."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in hashed_shingles(text, words, seed):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
