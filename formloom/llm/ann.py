@@ -8,15 +8,15 @@ one more coordinate, which gives all vectors the length of the longest (queries
   leaves would hold about :data:`LEAF` rows of the whole table.
 * Index: every row goes down every tree.
 * Search: one priority queue holds the open branches of all trees, nearest margin first,
-  and gives the :data:`PROBES` leaves to visit.
+  and gives the leaves to visit: :data:`PROBES`, or one in :data:`SHARE` of all if that is more.
 * Rerank: rows and probes meet by (tree, run of neighbouring leaves); scores
   there are exact, and each meeting returns the best few of each query, which are merged.
 
 Equal vectors are one class, searched once; its smallest identifiers are kept, as
 many as a result can use. A group of copies therefore costs as much as one vector.
 
-The work for a query doesn't depend on the number of rows as long as the sample has vectors enough
-for the leaves (:data:`LEAF_LEAST` each). Recall depends on the data and falls slowly as rows grow; raise ``probes`` for more.
+The work for a query grows with the number of rows, as a fixed share of the leaves is probed: on vectors without structure
+a fixed number of leaves loses recall as rows grow. Raise ``probes`` for more.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold a null or a
 non-finite component take no part, as queries or candidates, nor do rows without identifier; rows
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from formloom.session import load, written
 
 TREES, LEAF, PROBES = 16, 256, 256
+#: Of all leaves, at least one in so many is probed: as many as :data:`PROBES` are of 51,282 rows' leaves.
+SHARE = 16
 #: The index is fitted on at most this many vectors, chosen by hash.
 SAMPLE, LEAF_LEAST = 32_768, 4
 #: Leaves that meet their probes in one group.
@@ -161,7 +163,9 @@ def nearest(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vect
     total, longest = classes.agg(F.count("*"), F.max(norm)).first()
     chosen = classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("vector").toPandas()["vector"]
     points = _lengthened(np.array([np.asarray(x) for x in chosen], dtype=np.float64), longest)
-    forest = spark.sparkContext.broadcast(Forest(points, trees, max(LEAF_LEAST, leaf * len(points) // total)))
+    grown = Forest(points, trees, max(LEAF_LEAST, leaf * len(points) // total))
+    probes = max(probes, -(-sum(grown.leaves) // SHARE))
+    forest = spark.sparkContext.broadcast(grown)
 
     asking = rows.where(queries).select("vec_id", "vector")
     asked = written(asking.join(classes.select("class", "vector"), "vector").select("vec_id", "class").distinct(), "asked")
