@@ -43,8 +43,8 @@ SHARE = 16
 SAMPLE, LEAF_LEAST = 32_768, 4
 #: Leaves that meet their probes in one group.
 RUN = 128
-#: Results that a group returns for a query beyond those asked for, against rounding in the first pass.
-SPARE = 4
+#: Rounding of the first pass, as a share of the product of lengths: what lies within it of the cut-off stays.
+ROUNDING = 1e-12
 
 
 class Forest:
@@ -197,7 +197,7 @@ def nearest(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vect
     kind = dict(classes.dtypes)["vector"]
     placed = classes.select("class", "vector").mapInArrow(place, f"tree int, run int, leaf int, class long, vector {kind}")
     sought = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "vector").mapInArrow(search, f"tree int, run int, class long, vector {kind}, leaves array<int>")
-    most = k + 1 + SPARE
+    most = k + 1
 
     def rerank(here: pa.Table, there: pa.Table) -> pa.Table:
         kinds = pa.schema([("query", pa.int64()), ("class", pa.int64()), ("score", pa.float64())])
@@ -212,7 +212,7 @@ def nearest(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vect
         flat, owner = leaves.flatten().to_numpy(), np.repeat(np.arange(len(leaves)), np.diff(leaves.offsets.to_numpy()))
         by = np.argsort(flat, kind="stable")
         flat, owner = flat[by], owner[by]
-        best_q, best_x, best_s = [], [], []
+        best_q, best_x = [], []
         for n in np.unique(flat):
             a, b = np.searchsorted(leaf_of, (n, n + 1))
             c, d = np.searchsorted(flat, (n, n + 1))
@@ -221,21 +221,21 @@ def nearest(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vect
             who = owner[c:d]
             scores = q[who] @ x[a:b].T
             if b - a > most:
-                top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+                cut = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+                near = ROUNDING * np.linalg.norm(q[who], axis=1) * np.linalg.norm(x[a:b], axis=1).max()
+                at, top = np.nonzero(scores >= (cut - near)[:, None])  # all that tie with the last
             else:
-                top = np.broadcast_to(np.arange(b - a), scores.shape)
-            best_q.append(np.repeat(who, top.shape[1]))
-            best_x.append(a + top.ravel())
-            best_s.append(np.take_along_axis(scores, top, axis=1).ravel())
+                at, top = (i.ravel() for i in np.indices(scores.shape))
+            best_q.append(who[at])
+            best_x.append(a + top)
         if not best_q:
             return kinds.empty_table()
-        bq, bx, bs = map(np.concatenate, (best_q, best_x, best_s))
-        order = np.lexsort((-bs, bq))
-        bq, bx = bq[order], bx[order]
-        starts = np.searchsorted(bq, bq, side="left")
-        keep = np.arange(len(bq)) - starts < most
-        bq, bx = bq[keep], bx[keep]
-        return pa.table([asks[bq], ids[bx], np.einsum("ij,ij->i", q[bq], x[bx])], schema=kinds)
+        bq, bx = map(np.concatenate, (best_q, best_x))
+        bs = np.einsum("ij,ij->i", q[bq], x[bx])
+        order = np.lexsort((ids[bx], -bs, bq))  # ties to the smaller identifier, as in the merge
+        bq, bx, bs = bq[order], bx[order], bs[order]
+        keep = np.arange(len(bq)) - np.searchsorted(bq, bq, side="left") < most
+        return pa.table([asks[bq[keep]], ids[bx[keep]], bs[keep]], schema=kinds)
 
     hits = placed.groupBy("tree", "run").cogroup(sought.groupBy("tree", "run")).applyInArrow(rerank, "query long, class long, score double")
     best = hits.groupBy("query", "class").agg(F.max("score").alias("score"))
