@@ -43,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 #: Elements without any article text.
 DROPPED = frozenset("template svg math object canvas audio video select button datalist head noscript".split())
+#: What may stand in a head; the start of anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript object script style template title".split())
 ENDS_P = BLOCKS - {"html", "body", "caption", "tr", "tbody", "tfoot", "thead", "legend", "summary"}
 
 ZONES = frozenset("nav footer aside form menu dialog search fieldset".split())
@@ -128,6 +130,8 @@ def blocks_of(html: str) -> list[Block]:
     # whatever starts before the last ">" ends somewhere, so that no search runs to the end in vain
     at, size, low, last = 0, len(html), None, html.rfind(">") + 1
     for m in iter(lambda: _TAG.search(html, at, last), None):
+        if node.tag == "head" and html[at : m.start()].strip():
+            close("head")  # text ends it, too
         if m.start() > at and not dropped:
             parts.append(html[at : m.start()])
             linked += (m.start() - at) * (links > 0)
@@ -145,6 +149,8 @@ def blocks_of(html: str) -> list[Block]:
             if opened.get(name):
                 close(name)
             continue
+        if opened.get("head") and node.tag == "head" and name not in IN_HEAD and name not in ("head", "html"):
+            close("head")  # its end may be left out
         if name in RAW:
             low = html.lower() if low is None else low
             stop = low.find(f"</{name}", at)
@@ -164,6 +170,8 @@ def blocks_of(html: str) -> list[Block]:
         opened[name] = opened.get(name, 0) + 1
         links += name == "a"
         dropped += name in DROPPED
+    if node.tag == "head" and html[at:].strip():
+        close("head")
     if at < size and not dropped:
         cut = _BROKEN.search(html, at)
         parts.append(html[at : cut.start() if cut else size])
