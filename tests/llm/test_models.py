@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from formloom.llm import ann, exact, packing, quality, simhash, toxicity
+from formloom.llm import ann, quality, toxicity
 from formloom.llm.tokens import piece_encoder
+from llm.test_near import brute_stay
 
 SF = "/root/testdata/sf0.01"
 
@@ -148,6 +149,49 @@ def test_chain_uses_out_of_fold_probabilities():
     assert ((p[:, 0] > 0.5) == first).mean() > 0.95 and ((p[:, 1] > 0.5) == second).mean() > 0.9
 
 
+ORDINARY = """The path through the forest is worth taking.|Take out the trash on Friday.|A lovely day.|It is worth a try.|He came to the ball in disguise.
+A morose man sat in the corner.|The clownfish swam away.|Put it in the trash can.|My brother dressed as a clown for the birthday.|The gambler lost it all.
+Pathology reports are ready.|The empathetic nurse helped us.|Worthwhile reading for students.|They moved the trashcan to the street.|What a stupid bug in the compiler.
+The idiom is hard to translate.|Her pathway to success was long.|We discussed the scumble technique in painting.|It is worthy of note.|The disgustingly hot summer was over.""".replace("\n", "|").split("|")
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    sf = f"{SF}/../sf0.1"
+    return toxicity.fit_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def test_ordinary_sentences_are_clean(fitted):
+    assert len(ORDINARY) == 20
+    assert {x: p for x, p in zip(ORDINARY, fitted(ORDINARY)[:, -1]) if p >= 0.3} == {}
+
+
+def test_offending_sentences_are_toxic(fitted):
+    bad = ["You are an idiot.", "Shut up, stupid moron!", "You are worthless trash, loser.", "thar idiot enan wor of", "Reou er moron inthed clown shan."]
+    assert (fitted(bad)[:, -1] >= 0.3).all()
+
+
+def test_folds_are_not_seen(spark):
+    """Neither the words nor the models behind an out-of-fold probability know the labels of its fold."""
+    counts = spark.createDataFrame([("all", [5] * 5, [0] * 5), ("second", [0, 30, 0, 0, 0], [0] * 5)], "word string, a array<long>, b array<long>")
+    told = toxicity._telling(counts, np.array([[100] * 5, [50] * 5]), 10)
+    assert told == [["all", "second"], ["all", "second"], ["all"], ["all", "second"], ["all", "second"], ["all", "second"]]
+    rng = np.random.default_rng(8)
+    x, folds, weight = np.column_stack([rng.standard_normal((200, 3)), np.ones(200)]), np.arange(200) % 5, np.ones(200)
+    y = (x[:, 0] + 0.5 * rng.standard_normal(200) > 0).astype(float)
+    turned = np.where(folds == 2, 1 - y, y)
+    a, b = (toxicity.Chain.out_of_fold(x, [], z, folds, None, weight) for z in (y, turned))
+    assert np.allclose(a[folds == 2], b[folds == 2]) and not np.allclose(a[folds != 2], b[folds != 2])
+
+
+def test_labelled_categories(spark):
+    """Where labels of the other categories exist, the chain learns those."""
+    docs, labels = toxic_table(spark)
+    marked = labels.join(docs, "doc_id").select("doc_id", "toxic", F.col("text").contains("morons").cast("int").alias("insult"), F.col("text").contains("idiotic").cast("int").alias("contempt"))
+    rows = toxicity.toxicity_scores(docs, marked).join(marked.select("doc_id", F.col("insult").alias("i"), F.col("contempt").alias("c")), "doc_id").collect()
+    assert sum((r.p_insult > 0.5) == r.i and (r.p_contempt > 0.5) == r.c for r in rows) >= 0.97 * len(rows)
+
+
 def test_toxicity_held_out(spark):
     """On labelled documents that the sample has not seen; some toxic labels there have nothing in the text that tells."""
     docs = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet").select("doc_id", "text")
@@ -252,20 +296,7 @@ def test_pipeline_against_plain_stages(spark):
     for i in ids[2]:
         groups.setdefault(text[i].encode().lower(), []).append(i)
     assert ids[3] == sorted(max(g) for g in groups.values())
-    prints = {i: simhash.fingerprint_of(text[i].encode()) for i in ids[3]}
-    root = {i: i for i in ids[3]}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for n, a in enumerate(ids[3]):
-        for b in ids[3][:n]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert ids[4] == sorted({find(i) for i in ids[3]})
+    assert ids[4] == sorted(brute_stay({i: text[i] for i in ids[3]}))
     import public_tokenizers
 
     encoder, pieces = piece_encoder(public_tokenizers.path("word_bpe_49k.json"), True), {}
@@ -301,7 +332,3 @@ def test_against_sql(spark, name):
     names = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(names)
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(rel.fetchall())
-
-
-def test_modules():
-    assert exact.KEY_BYTES == 48 and packing.DEPTH == 3
