@@ -7,6 +7,13 @@ Neighbours in page order, and blocks that follow each other in one container, ar
 smoothness edges that weaken with the distance in the tree. The maximum flow from the content
 terminal to the boilerplate terminal separates the two; blocks on the content side make the text.
 
+The classifier sees the elements around a block, the words of classes (names that hold an unwelcome word, and names of
+unwelcome words alone), links, length, form and tell-tale words of the text, the heading that it stands under, whether its
+container is one of several alike, and which share of the page's prose stands beside it. Half of the classes
+of the generated pages say nothing and some mislead, so that no list of words decides alone.
+How far costs and edges may go (:data:`CLIPS`, :data:`SMOOTH`) is chosen on further generated pages by the blocks that
+the cut gets wrong.
+
 Character references are decoded; white space inside a block, of any kind and across inline elements
 and line breaks, becomes one space; blocks are joined in page order by a newline. Nothing is capped.
 
@@ -49,41 +56,63 @@ ENDS_P = BLOCKS - {"html", "body", "caption", "tr", "tbody", "tfoot", "thead", "
 
 ZONES = frozenset("nav footer aside form menu dialog search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup share sharing social sidebar widget related recommended recommendations trending menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer masthead topbar toolbar comment comments disqus respond reply replies login search form skip copyright legal".split())
+BAD_WORDS = frozenset("announcement discussion feedback outbrain rail reviews survey taboola teaser thread ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup share sharing social sidebar widget related recommended recommendations trending menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer masthead topbar toolbar comment comments disqus respond reply replies login search form skip copyright legal".split())
 GOOD_WORDS = frozenset("article post entry content main story body text".split())
 
-FEATURES = ("one", "zone", "bad class", "page header", "hidden", "article", "good class", "paragraph", "heading", "list item", "link share", "length", "sentence end", "short")
+#: Words of class names that neither help nor hurt the word beside them.
+NEUTRAL_WORDS = GOOD_WORDS | frozenset("area bar block bottom box col column container fixed global group inner item items left link links list module new outer page panel primary right row secondary section site slot sticky text title top unit user web wrap wrapper".split())
+#: Words of texts that are seldom the article's own.
+CUES = frozenset("accept advertisement anzeige blog comment comments commentaires comentarios consent contact cookie cookies copyright datenschutz download email facebook follow footer home impressum instagram kommentare linkedin log login loading menu more newsletter next password popular previous privacy publicidad publicité promoted read related replies reply reserved rights save search share sidebar sign signup skip social sponsored subscribe terms topics trending twitter unsubscribe werbung whatsapp youtube".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Containers that may repeat, as comments and teasers do.
+ITEMS = frozenset("div li section article dd tr td details figure".split())
+#: How far up the tree a block looks.
+REACH = 12
+
+FEATURES = ("one", "zone", "bad word in a class", "bad class", "page header", "hidden", "article", "good class", "paragraph", "heading", "first heading", "list item", "link share", "length", "sentence end", "short", "cues", "sign", "under cue", "alike", "prose beside", "prose around", "other links", "early", "late")
+
+_SIGN = re.compile("[©®]|\\ball rights\\b|\\b(?:19|20)\\d\\d\\b.{0,20}$")
+_TEXT_WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "depth", "zone", "bad", "header", "hidden", "article", "good", "last")
+    __slots__ = ("tag", "up", "depth", "zone", "bad", "header", "hidden", "article", "good", "last", "kind", "kinds", "cue", "held", "prose", "around", "links", "size")
 
     def __init__(self, tag: str, up: _Node | None, attributes: str):
-        self.tag, self.up, self.last = tag, up, -1
+        self.tag, self.up, self.last, self.kind, self.kinds = tag, up, -1, tag, None
+        self.cue, self.held, self.prose, self.around, self.links, self.size = None, 0, 0.0, 0.0, 0.0, 0.0
         if up:
             self.depth, self.zone, self.bad, self.header, self.hidden, self.article, self.good = up.depth + 1, up.zone, up.bad, up.header, up.hidden, up.article, up.good
         else:
-            self.depth, self.zone, self.bad, self.header, self.hidden, self.article, self.good = 0, False, False, False, False, False, False
+            self.depth, self.zone, self.bad, self.header, self.hidden, self.article, self.good = 0, False, 0.0, False, False, None, False
         if tag in ZONES:
             self.zone = True
         elif tag == "header":
             self.header = self.header or not self.article
         elif tag in ("article", "main"):
-            self.article = True
+            self.article = self.article or self
         if attributes and tag not in ("html", "body"):
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    words = {w.lower() for w in _WORD.findall(value)}
-                    good = not words.isdisjoint(GOOD_WORDS)
-                    self.bad = self.bad or not words.isdisjoint(BAD_WORDS)
-                    self.header = self.header or "header" in words and not good and not self.article
-                    self.good = self.good or good
+                    if name == "class":
+                        self.kind = f"{tag}.{value}"
+                    for one in value.split():
+                        words = {w.lower() for w in _WORD.findall(one)}
+                        unwelcome = words & BAD_WORDS
+                        if unwelcome:
+                            self.bad = max(self.bad, 1.0 if words <= BAD_WORDS | NEUTRAL_WORDS else 0.5)
+                        good = not unwelcome and not words.isdisjoint(GOOD_WORDS)
+                        self.header = self.header or "header" in words and not good and not self.article
+                        self.good = self.good or good
                 elif name == "role":
                     self.zone = self.zone or value.lower() in ROLES
-                    self.article = self.article or value.lower() in ("main", "article")
+                    self.article = self.article or (self if value.lower() in ("main", "article") else None)
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     self.hidden = True
+        if up and tag in ITEMS:
+            up.kinds = up.kinds or {}
+            up.kinds[self.kind] = up.kinds.get(self.kind, 0) + 1
 
 
 class Block:
@@ -93,6 +122,18 @@ class Block:
         self.text, self.node, self.linked, self.before = text, node, linked, before
 
 
+@lru_cache(maxsize=32)
+def _raw_end(name: str) -> re.Pattern:
+    """The end of an element of raw text; only letters of ASCII have two cases."""
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I | re.A)
+
+
+def _container(at: _Node) -> _Node:
+    while at.up and at.tag not in BLOCKS:
+        at = at.up
+    return at
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order; of each, the last block before it in the same container (or -1)."""
     found: list[Block] = []
@@ -100,18 +141,13 @@ def blocks_of(html: str) -> list[Block]:
     parts: list[str] = []
     linked, links, dropped = 0, 0, 0
 
-    def container(at: _Node) -> _Node:
-        while at.up and at.tag not in BLOCKS:
-            at = at.up
-        return at
-
     def end() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                own = container(node)
-                parent = own.up and container(own.up) or own
+                own = _container(node)
+                parent = own.up and _container(own.up) or own
                 found.append(Block(text, node, linked, parent.last))
                 parent.last = len(found) - 1
             parts.clear()
@@ -128,7 +164,7 @@ def blocks_of(html: str) -> list[Block]:
                 return
 
     # whatever starts before the last ">" ends somewhere, so that no search runs to the end in vain
-    at, size, low, last = 0, len(html), None, html.rfind(">") + 1
+    at, size, last = 0, len(html), html.rfind(">") + 1
     for m in iter(lambda: _TAG.search(html, at, last), None):
         if node.tag == "head" and html[at : m.start()].strip():
             close("head")  # text ends it, too
@@ -152,9 +188,8 @@ def blocks_of(html: str) -> list[Block]:
         if opened.get("head") and node.tag == "head" and name not in IN_HEAD and name not in ("head", "html"):
             close("head")  # its end may be left out
         if name in RAW:
-            low = html.lower() if low is None else low
-            stop = low.find(f"</{name}", at)
-            at = size if stop < 0 else stop
+            stop = _raw_end(name).search(html, at)
+            at = stop.start() if stop else size
             continue
         if name in BLOCKS:
             end()
@@ -190,50 +225,223 @@ def _list_between(node: _Node) -> bool:
     return True
 
 
-def features(block: Block) -> list[float]:
-    n, text, length = block.node, block.text, len(block.text)
-    own = n
-    while own.up and own.tag not in BLOCKS:
-        own = own.up
-    return [1.0, n.zone, n.bad, n.header, n.hidden, n.article, n.good, own.tag in ("p", "pre", "blockquote"), own.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), own.tag in ("li", "dd", "dt"), min(1.0, block.linked / max(1, length)), min(1.0, length / 400), text[-1] in ".!?:;\"')…", length < 25]
+def _alone(article: _Node | None) -> bool:
+    """Whether there is an article around, and it isn't one of several beside each other, as comments are."""
+    return article is not None and (article.tag not in ITEMS or article.up is None or article.up.kinds[article.kind] < 2)
+
+
+def features(blocks: list[Block]) -> np.ndarray:
+    """A row for each block of a page."""
+    places, most, around, seen_h1 = [], 0.0, 0.0, False
+    for block in blocks:
+        own = _container(block.node)
+        parent = own.up and _container(own.up) or own
+        above = parent.up and _container(parent.up) or parent
+        length = len(block.text)
+        prose = (length - block.linked) * (length >= 60 or block.text[-1] in ".!?")
+        parent.prose += prose
+        above.around += prose
+        most, around = max(most, parent.prose), max(around, above.around)
+        parent.links += block.linked
+        parent.size += length
+        places.append((own, parent, above))
+        node = own
+        for _ in range(REACH):
+            node.held += 1
+            if not node.up:
+                break
+            node = node.up
+    rows, n = [], len(blocks)
+    part = lambda some, all_of: some / all_of if all_of else 1.0
+    ends = min(1.0, (n - 1) / 8)  # the few blocks of a short page are no margins
+    for i, (block, (own, parent, above)) in enumerate(zip(blocks, places, strict=True)):
+        node, text, length = block.node, block.text, len(block.text)
+        words = _TEXT_WORD.findall(text.lower())
+        cues = sum(w in CUES for w in words)
+        share, heading = cues / max(1, len(words)), own.tag in HEADINGS
+        under, alike, at = False, 0, own
+        for _ in range(REACH):
+            if at.cue and not (heading and at is parent):
+                under = True
+            if at.up and at.tag in ITEMS and at.held > 1:
+                alike = max(alike, (at.up.kinds or {}).get(at.kind, 0))
+            if not at.up:
+                break
+            at = at.up
+        if heading or parent.cue is None and len(words) <= 3:  # what follows in the container stands under it
+            parent.cue = cues > 0 and len(words) <= 5 and (own.tag != "h1" or seen_h1)
+        elif parent.cue is None:
+            parent.cue = False
+        first = own.tag == "h1" and not seen_h1
+        seen_h1 = seen_h1 or first
+        rows.append(
+            (1.0, node.zone, node.bad > 0, node.bad > 0.5, node.header, node.hidden, _alone(node.article), node.good, own.tag in ("p", "pre", "blockquote"), heading, first, own.tag in ("li", "dd", "dt"), min(1.0, block.linked / max(1, length)), min(1.0, length / 300), text[-1] in ".!?:;\"')…", length < 25)
+            + (min(1.0, 4 * share), bool(_SIGN.search(text)), under, min(1.0, max(0, alike - 1) / 3), part(parent.prose, most), part(above.around, around), min(1.0, (parent.links - block.linked) / max(1.0, parent.size - length)), ends * max(0.0, 1 - i / 4), ends * max(0.0, 1 - (n - 1 - i) / 4))
+        )
+    return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
+
+
+#: Marks of texts of generated pages: boilerplate, content.
+_MARKS = "\ue000\ue001"
 
 
-@lru_cache(maxsize=1)
-def trained_weights(pages: int = 300, seed: int = 8) -> np.ndarray:
-    """Logistic regression of block labels on generated pages, whose parts vary in markup and length."""
-    rng = random.Random(seed)
-    words = "the of and to in that was with for as on by from at which one all more so time part".split()
+def generated_page(rng: random.Random) -> str:
+    """A page whose texts begin with the mark of their label; its parts vary in markup, names, place and length."""
+    syllables = "la the ti on er to ne sa ri ver mi da co pe lu gra st en".split()
+
+    def word():
+        return "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
 
     def sentence(n):
-        return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
-
-    def page():
-        def prose(n):
-            return "".join(f"<{t}>{''.join(sentence(rng.randint(1, 24)) + ' ' for _ in range(rng.randint(1, 6)))}</{t}>" for t in (rng.choice(("p", "p", "p", "div", "blockquote", "li")) for _ in range(n)))
-
-        items = lambda n: "".join(f"<li><a href='/x'>{rng.choice(words)}</a></li>" for _ in range(n))
-        bad = lambda: rng.choice(sorted(BAD_WORDS))
-        before = [f"<nav><ul>{items(5)}</ul></nav>", f"<header><p>{sentence(4)}</p></header>", f"<div class='{bad()}'>{sentence(9)}</div>", f"<div role='banner'>{sentence(3)}</div>", f"<ul>{items(6)}</ul>", f"<div id='{bad()}'><p>{sentence(12)}</p></div>"]
-        after = [f"<aside><h3>{sentence(2)}</h3><p>{sentence(14)}</p></aside>", f"<footer><p>{sentence(8)}</p></footer>", f"<form><p>{sentence(3)}</p></form>", f"<section class='comments'><p>{sentence(15)}</p><p>{sentence(9)}</p></section>", f"<div class='{bad()}'><ul>{items(4)}</ul></div>", f"<div hidden>{sentence(9)}</div>"]
-        inner = f"<h{rng.randint(1, 3)}>{sentence(6)[:-1]}</h2>" + prose(rng.randint(1, 8))
-        opening, closing = rng.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>")))
-        cut = lambda x: "".join(rng.sample(x, rng.randint(1, len(x))))
-        return cut(before), opening + inner + closing, cut(after)
-
-    rows, labels = [], []
+        return " ".join(word() for _ in range(max(1, n))).capitalize() + rng.choice("...!?")
+
+    def text(label, n, k=1):
+        return _MARKS[label] + " ".join(sentence(rng.randint(1, n)) for _ in range(rng.randint(1, k)))
+
+    def cue():
+        return rng.choice(sorted(CUES))
+
+    def plain():
+        return rng.choice(("", f" class='{word()}'", f" class='{word()}-{word()}'", f" class='col-{rng.randint(1, 12)} {word()}'", f" id='{word()}{rng.randint(1, 99)}'"))
+
+    def named(words):
+        return plain() if rng.random() < 0.5 else f" {rng.choice(('class', 'class', 'id'))}='{rng.choice(('', '', word() + ' ', 'wrap '))}{rng.choice(sorted(words))}{rng.choice(('', '', '-box', '-wrapper', f'-{word()}'))}'"
+
+    def links(n):
+        return "".join(f"<li><a href='/{word()}'>{_MARKS[0]}{cue() if rng.random() < 0.3 else word()}</a></li>" for _ in range(n))
+
+    def link_list():
+        inner = f"<ul>{links(rng.randint(2, 9))}</ul>"
+        return rng.choice((f"<nav{plain()}>{inner}</nav>", f"<div{named(BAD_WORDS)}>{inner}</div>", inner, f"<div{plain()}>" + " | ".join(f"<a href=x>{_MARKS[0]}{word()}</a>" for _ in range(rng.randint(2, 7))) + "</div>"))
+
+    def titled(body, title):
+        h = rng.choice(("h2", "h3", "h4", "p", "div"))
+        return f"<{h}>{_MARKS[0]}{title}</{h}>{body}"
+
+    def box(body, tags=("div", "div", "section")):
+        tag = rng.choice(tags)
+        return f"<{tag}{named(BAD_WORDS)}>{body}</{tag}>"
+
+    def notice():
+        body = f"<p>{text(0, 8)} {cue()} {sentence(5)} {cue()}</p>"
+        return rng.choice((box(body), box(body + f"<button>{_MARKS[0]}OK</button>"), f"<div role='{rng.choice(sorted(ROLES))}'>{body}</div>", f"<dialog>{body}</dialog>", f"<div hidden>{text(0, 9)}</div>"))
+
+    def advert():
+        return rng.choice((box(text(0, 14)), box(titled(f"<p>{text(0, 14)}</p>", "Advertisement")), f"<div{named(BAD_WORDS)}><a href=x>{text(0, 9)}</a></div>", f"<aside>{text(0, 12)}</aside>"))
+
+    def remarks():
+        tag = rng.choice(("div", "li", "article", "section"))
+        name = plain()
+        item = lambda: f"<{tag}{name}><p>{_MARKS[0]}{word()} {rng.choice(('said', str(rng.randint(1, 28))))}</p><p>{text(0, 22, 3)}</p>{rng.choice(('', f'<a href=x>{_MARKS[0]}Reply</a>'))}</{tag}>"
+        body = "".join(item() for _ in range(rng.randint(1, 6)))
+        body = titled(body, rng.choice(("Comments", "Replies", f"{rng.randint(2, 40)} comments", cue(), word()))) if rng.random() < 0.8 else body
+        return rng.choice((f"<section class='comments'>{body}</section>", box(body), box(body)))
+
+    def teasers():
+        name = plain()
+        body = "".join(f"<div{name}><h4><a href=x>{_MARKS[0]}{sentence(6)}</a></h4><p>{text(0, 12)}</p></div>" for _ in range(rng.randint(2, 5)))
+        body = rng.choice((body, f"<ul>{links(rng.randint(3, 8))}</ul>"))
+        return rng.choice((f"<aside>{titled(body, 'Related')}</aside>", box(titled(body, cue())), box(titled(body, word()))))
+
+    def foot():
+        body = rng.choice((f"<p>{_MARKS[0]}&copy; {rng.randint(1999, 2026)} {sentence(5)}</p>", f"{text(0, 9)}", f"<p>{_MARKS[0]}Copyright {sentence(3)} All rights reserved.</p><ul>{links(4)}</ul>"))
+        return rng.choice((f"<footer>{body}</footer>", f"<footer>{_MARKS[0]}&copy; {sentence(12)}</footer>", box(body)))
+
+    def head():
+        return rng.choice((f"<header{plain()}><p>{text(0, 4)}</p></header>", f"<div id='header'>{text(0, 3)}</div>", f"<div{plain()}><a href='/'>{_MARKS[0]}{word()}</a><p>{text(0, 5)}</p></div>", f"<div role='banner'>{text(0, 3)}</div>", f"<header><h1>{_MARKS[0]}{word()}</h1></header>"))
+
+    def form():
+        return f"<form{plain()}><p>{text(0, 5)}</p><label>{_MARKS[0]}{cue()}</label><input></form>"
+
+    def paragraph():
+        tag = rng.choice(("p", "p", "p", "p", "div", "blockquote", "pre"))
+        inner = text(1, rng.choice((4, 12, 24)), rng.choice((1, 2, 6)))
+        if rng.random() < 0.2:
+            inner += f" <a href=x>{word()}</a> {sentence(6)}"
+        chance = rng.random()
+        if chance < 0.05:
+            inner += f" {cue()} {sentence(5)}"
+        elif chance < 0.08:
+            inner = _MARKS[1] + rng.choice((f"Copyright {rng.randint(1990, 2026)} {sentence(3)}", "All rights reserved.", f"{cue().capitalize()} {cue()}.", f"{sentence(3)} {rng.randint(1990, 2026)}"))
+        return f"<{tag}>{inner}</{tag}>"
+
+    def prose(n):
+        out = []
+        for _ in range(n):
+            chance = rng.random()
+            if chance < 0.1:
+                out.append(f"<h{rng.randint(2, 4)}>{_MARKS[1]}{sentence(5)[:-1]}</h3>")
+            elif chance < 0.17:
+                out.append("<ul>" + "".join(f"<li>{text(1, 9)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+            elif chance < 0.24:
+                name = rng.choice((plain(), f" class='{rng.choice(sorted(BAD_WORDS))}-{word()}'", f" class='{word()}-{rng.choice(sorted(BAD_WORDS))}-{word()}'"))
+                out.append(f"<{(t := rng.choice(('div', 'section')))}{name}>{''.join(paragraph() for _ in range(rng.randint(1, 3)))}</{t}>")
+            else:
+                out.append(paragraph())
+            if rng.random() < 0.04:
+                out.append(rng.choice((advert, form, teasers))())
+        return "".join(out)
+
+    if rng.random() < 0.1:  # little but the text
+        return rng.choice((f"<p>{_MARKS[1]}{' '.join(word() for _ in range(rng.randint(1, 9)))}", _MARKS[1] + " ".join(word() for _ in range(rng.randint(1, 9))), prose(1), prose(3)))
+    title = f"<h{rng.choice((1, 1, 2))}>{_MARKS[1]}{rng.choice((sentence(7)[:-1], sentence(7)))}</h1>" if rng.random() < 0.85 else ""
+    inner = title + prose(rng.choice((0 if title else 1, 1, 2, 4, 8, 16)))
+    opening, closing = rng.choice((("<article>", "</article>"), (f"<article{plain()}>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), (f"<div{plain()}>", "</div>"), (f"<div{plain()}><div{plain()}>", "</div></div>"), (f"<section{plain()}>", "</section>"), ("", "")))
+    some = lambda parts, n: "".join(rng.choice(parts)() for _ in range(rng.randint(0, n)))
+    page = some((link_list, head, notice, advert, head, link_list), 4) + opening + inner + closing + some((remarks, teasers, advert, form, foot, link_list, notice), 4) + (foot() if rng.random() < 0.7 else "")
+    for _ in range(rng.choice((0, 0, 1, 2))):
+        page = f"<div{plain()}>{page}</div>"
+    return f"<html><head><title>x</title></head><body>{page}</body></html>"
+
+
+def _labelled(pages: int, seed: int) -> list[tuple[list[Block], np.ndarray, np.ndarray]]:
+    """Blocks, features and labels of generated pages; the blocks of a page have one label each."""
+    rng, made = random.Random(seed), []
     for _ in range(pages):
-        before, inner, after = page()
-        for part, label in ((before, 0), (inner, 1), (after, 0)):
-            for block in blocks_of(part):
-                rows.append(features(block))
-                labels.append(label)
-    x, y = np.array(rows, dtype=float), np.array(labels, dtype=float)
+        blocks = blocks_of(generated_page(rng))
+        labels = np.array([next((c == _MARKS[1] for c in b.text if c in _MARKS), False) for b in blocks], dtype=float)
+        for b in blocks:
+            b.text = b.text.translate({ord(c): None for c in _MARKS}) or "."
+        if blocks:
+            made.append((blocks, features(blocks), labels))
+    return made
+
+
+class Labeller:
+    """Weights of the classifier, and how far costs and edges go."""
+
+    def __init__(self, weights: np.ndarray, clip: float, smooth: float):
+        self.weights, self.clip, self.smooth = weights, clip, smooth
+
+    def costs(self, x: np.ndarray) -> list[float]:
+        return np.clip(x @ self.weights, -self.clip, self.clip).tolist()
+
+    def __call__(self, blocks: list[Block], x: np.ndarray) -> list[bool]:
+        return min_cut(self.costs(x), _edges(blocks, self.smooth))
+
+
+#: Bounds of a block's cost, and strengths of edges, that are tried.
+CLIPS, SMOOTH = (4.0, 6.0, 8.0), (0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
+
+
+@lru_cache(maxsize=1)
+def trained(pages: int = 600, seed: int = 8) -> Labeller:
+    """Logistic regression of block labels on generated pages; bounds and strength by the cut's errors on further ones."""
+    made = _labelled(pages, seed)
+    x, y = np.concatenate([m[1] for m in made]), np.concatenate([m[2] for m in made])
     w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
-    return w
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (y - p) - 0.5 * w)
+    checked, best = _labelled(pages // 3, seed + 1), None
+    for clip in CLIPS:
+        for smooth in SMOOTH:
+            labeller = Labeller(w, clip, smooth)
+            wrong = sum(int((np.array(labeller(b, f)) != (t > 0)).sum()) for b, f, t in checked)
+            if best is None or wrong < best[0]:
+                best = wrong, labeller
+    return best[1]
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -291,29 +499,31 @@ def _distance(a: _Node, b: _Node, most: int = 12) -> int:
     return steps
 
 
-def main_text(html: str, weights: np.ndarray, smooth: float = 1.0) -> str:
-    """The page's main text."""
-    blocks = blocks_of(html)
-    if not blocks:
-        return ""
-    scores = np.clip(np.array([features(b) for b in blocks], dtype=float) @ weights, -6, 6).tolist()
+def _edges(blocks: list[Block], smooth: float) -> list[tuple[int, int, float]]:
+    """Smoothness: neighbours in page order, by their distance in the tree, and blocks that follow each other in a container."""
     edges = []
     for i, block in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, smooth / (1 + _distance(blocks[i - 1].node, block.node))))
+            edges.append((i - 1, i, smooth * min(1.0, 4 / 2 ** _distance(blocks[i - 1].node, block.node))))
         if 0 <= block.before < i - 1:
             edges.append((block.before, i, smooth / 2))
-    return "\n".join(b.text for b, keep in zip(blocks, min_cut(scores, edges), strict=True) if keep)
+    return edges
+
+
+def main_text(html: str, labeller: Labeller) -> str:
+    """The page's main text."""
+    blocks = blocks_of(html)
+    return "\n".join(b.text for b, keep in zip(blocks, labeller(blocks, features(blocks)), strict=True) if keep)
 
 
 def extract_text(df: DataFrame, html: str = "html", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``text``: the main text of each page."""
     fresh(df.select(*(keep if keep is not None else df.columns)), text, "n_chars")
-    weights = trained_weights()
+    labeller = trained()
 
     def make():
         def one(value):
-            found = main_text(text_of(value), weights)
+            found = main_text(text_of(value), labeller)
             return found, len(found)
 
         return one

@@ -106,19 +106,19 @@ PAGE = """<html><head><title>No</title><style>p{}</style><script>var a = "<p>no<
 
 
 def test_page():
-    text = html.main_text(PAGE, html.trained_weights())
+    text = html.main_text(PAGE, html.trained())
     assert text == "A & B\nFirst paragraph, with boldface and a link. Second line.\nUnclosed one.\nItem one is here.\nItem two is here.\nQuoted <text>."
 
 
 @pytest.mark.parametrize(("page", "text"), [("", ""), ("plain text only", "plain text only"), ("<p>x", "x"), ("<script>var a='<p>no</p>'", ""), ("<!-- open <p>no", ""), ("a < b and c > d", "a < b and c > d"), ("<article><p>One two three.</p></article><nav>Menu of the site</nav>", "One two three."), ("<p>x</div></p>", "x"), ("<ARTICLE><P CLASS=x>Upper case.</P></ARTICLE>", "Upper case."), ("<article><p>a&#65;&eacute;&#x42;&unknown;</p></article>", "aAéB&unknown;")])
 def test_odd_pages(page, text):
-    assert html.main_text(page, html.trained_weights()) == text
+    assert html.main_text(page, html.trained()) == text
 
 
 def test_hard_pages_take_no_long():
     import time
 
-    weights = html.trained_weights()
+    weights = html.trained()
     pages = ["<div" * 20_000, "<div>" * 20_000 + "text here.", '<p a="' * 20_000, "<!--" * 20_000, "<a '" * 20_000 + ">", "</p>" * 20_000, "<article>" + "<p>A sentence of text.</p>" * 5_000 + "</article><footer>" + "<p>Rights.</p>" * 2_000 + "</footer>"]
     for page in pages:
         began = time.process_time()
@@ -130,7 +130,7 @@ def test_long_page_is_whole():
     rng = random.Random(2)
     lines = [" ".join(rng.choice(("one", "two", "three")) for _ in range(rng.randint(1, 40))).capitalize() + "." for _ in range(3000)]
     page = "<nav><a href=x>Menu</a></nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
-    assert html.main_text(page, html.trained_weights()).split("\n") == lines
+    assert html.main_text(page, html.trained()).split("\n") == lines
 
 
 def test_html_table(spark):
