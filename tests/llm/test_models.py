@@ -78,15 +78,61 @@ def test_trees_place_and_search_alike():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((500, 5)).astype(np.float32)
     forest = ann.Forest(x, 3, 20)
-    leaves = forest.place(x)
+    leaves, far = forest.place(x), forest.margins_of_leaves(x)
     for i in range(0, 500, 50):
-        first = forest.search(x[i] @ forest.planes.T - forest.cuts, 3)
-        assert set(first) == {(t, leaves[i, t]) for t in range(3)}
-        everything = forest.search(x[i] @ forest.planes.T - forest.cuts, 10_000)
+        assert set(forest.search(x[i], 3)) == set(leaves[i])
+        everything = forest.search(x[i], 10_000)
         assert len(everything) == len(set(everything)) == sum(forest.leaves)
+        assert np.allclose(far[i, everything], np.sort(far[i]))
+        few = forest.search(x[i], 2)  # margins one by one
+        assert np.allclose(far[i, few], np.sort(far[i])[:2])
     assert ann.Forest(np.ones((50, 4), dtype=np.float32), 2, 5).leaves == [1, 1]
 
 
+def clustered(n, rng, d=32, size=100):
+    centres = rng.standard_normal((n // size, d))
+    x = centres[rng.integers(0, len(centres), n)] + 0.4 * rng.standard_normal((n, d))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("make", [clustered, lambda n, rng: rng.standard_normal((n, 12))])
+def test_recall_where_the_index_prunes(spark, monkeypatch, make):
+    """Recall of at least 0.9 on all queries where less than a third of the rows is visited; the number of leaves is chosen by the operator."""
+    seen = []
+    enough = ann._enough
+    monkeypatch.setattr(ann, "_enough", lambda forest, *rest: seen.append((forest, enough(forest, *rest))) or seen[-1][1])
+    x = make(8000, np.random.default_rng(12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, leaf=32, group=500).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    (forest, probes), lengths = seen[0], np.linalg.norm(x, axis=1)
+    placed = forest.place(ann._lengthened(x, lengths.max()))
+    turned = ann._turned(x, lengths.max())
+    hits, visited = [], []
+    for q in range(0, 8000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits.append(len(set(np.argsort(-scores)[:20]) & set(got[q])) / 20)
+        visited.append(np.isin(placed, forest.search(turned[q], probes)).any(axis=1).mean())
+        assert len(got[q]) == 20
+    assert np.mean(hits) >= 0.9 and np.mean(visited) < 1 / 3
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    """Regions, chunks of a region that can't be cut by leaves, and splits of queries give the same rows."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.standard_normal((600, 6)), 1 + 1e-9 * rng.standard_normal((600, 6))])  # the second half is one leaf in single precision
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = lambda **more: sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0, 5, leaf=40, probes=10_000, **more).collect()))
+    want = rows()
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    assert rows(group=50) == want and len(want) == 60 * 5
+    sizes, chunks = ann._regions(np.array([10, 0, 30, 500, 5]), 40, 1024)
+    assert sizes.tolist() == [0, 0, 0, 1, 2] and chunks.tolist() == [1, 7, 1]
+    assert ann._regions(np.full(4000, 5), 1, 1024)[0].max() < 1024
+
+
 # -- toxicity
 
 def prose(rng, n=30):
