@@ -91,6 +91,9 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
         at = at.withColumn("again", again)
         at = at.withColumns({"escaped": F.when(F.col("again"), _escaped(F.col("turns"), k)).otherwise(F.col("escaped")), "level": F.when(F.col("again"), F.lit(k)).otherwise(F.col("level"))})
         at = at.withColumn("formatted", F.when(F.col("again"), _string(F.col("escaped"), k)).otherwise(F.col("formatted")))
+    # the last level reads back whatever the texts are; a string that didn't would be no result
+    back = F.coalesce(parse(F.col("formatted")) == F.col("turns"), F.lit(False))
+    at = at.withColumn("formatted", F.when((F.col("level") < 2) | back, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back"))))
     # a piece has 16 characters besides the role before its text
     spans = F.transform("escaped", lambda t, i: F.struct(i.cast("int").alias("piece"), (F.length(t["role"]) + 16).alias("start"), F.length(t["text"]).alias("length")))
     mask = F.filter(spans, lambda s: F.get("turns", s["piece"])["role"] == loss_role).cast(_LOSS)
