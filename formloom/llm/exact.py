@@ -3,7 +3,8 @@
 Every partition turns its texts into a sorted run of entries: a 48-byte key, the row that
 stays so far and a count. A run is cut by key into slices of equal share (keys are hashes). Runs of a
 slice meet in binomial rounds: in each exchange the runs whose numbers agree but for
-the lowest bits come together, are merged as sorted runs and thinned to one entry a key. The
+the lowest bits come together and are merged two by two, round after round: the place of each entry of one run is searched in the
+other, entries of one key become one, and nothing is sorted again. A run that isn't sorted is an error. The
 key holds the SHA-256 digest, the length and an independent hash of the
 text, and only entries that agree in all three are taken as equal, at every level. So a group of
 copies, however large, is one entry of each run before anything moves, and no task
@@ -13,6 +14,9 @@ Texts are equal if they are identical after lower-casing A-Z only; null is an em
 Of equal texts one row stays: that with the largest ``doc_id`` (or the smallest, by parameter); among rows that
 repeat this identifier, the first as read. A row without identifier stays only
 if no copy has one. An empty table gives no rows.
+
+What brings a result back to the rows of a group (:func:`joined_by_group`) doesn't rest on the optimiser: groups that hold
+a thousandth of all rows or more, of which there are a thousand at most, are broadcast; the others meet in a sort-merge join.
 """
 
 from __future__ import annotations
@@ -65,7 +69,7 @@ digest_key = digest_key.asNondeterministic()
 
 
 def _thin(entries: np.ndarray, largest: bool) -> np.ndarray:
-    """Sorted by key, one entry for each: the row that stays, and the sum of counts."""
+    """Entries of a batch as a run: sorted by key, one entry for each, with the row that stays and the sum of counts."""
     if not len(entries):
         return entries
     best = ~entries["doc_id"] if largest else entries["doc_id"]
@@ -76,6 +80,39 @@ def _thin(entries: np.ndarray, largest: bool) -> np.ndarray:
     return out
 
 
+def _run(packed: bytes) -> np.ndarray:
+    """A run's entries; raises unless they are sorted and each key stands once."""
+    entries = np.frombuffer(packed, dtype=_ENTRY)
+    if len(entries) > 1 and not (entries["key"][1:] > entries["key"][:-1]).all():
+        raise ValueError("a run is not sorted")
+    return entries
+
+
+def _merge(a: np.ndarray, b: np.ndarray, largest: bool) -> np.ndarray:
+    """Two sorted runs as one: an entry for each key, with the row that stays and the sum of counts."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a["key"], b["key"])
+    same = at < len(a)
+    same[same] = a["key"][at[same]] == b["key"][same]
+    out, i = a.copy(), at[same]
+    x, y = a[i], b[same]
+    nearer = y["doc_id"] > x["doc_id"] if largest else y["doc_id"] < x["doc_id"]
+    alike = (y["none"] == x["none"]) & (y["doc_id"] == x["doc_id"])
+    wins = (y["none"] < x["none"]) | (y["none"] == x["none"]) & nearer | alike & (y["row"] < x["row"])
+    out[i[wins]] = y[wins]
+    out["n"][i] = x["n"] + y["n"]
+    return np.insert(out, at[~same], b[~same]) if not same.all() else out
+
+
+def merge_sorted(runs: list[np.ndarray], largest: bool) -> np.ndarray:
+    """Sorted runs as one, two by two in rounds."""
+    while len(runs) > 1:
+        pairs = [_merge(a, b, largest) for a, b in zip(runs[::2], runs[1::2])]
+        runs = pairs + runs[2 * len(pairs) :]
+    return runs[0]
+
+
 def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     head = np.frombuffer(keys.tobytes(), dtype=">u4").reshape(len(keys), KEY_BYTES // 4)[:, 0].astype(np.uint64)
     return (head * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
@@ -97,7 +134,7 @@ def _first_runs(keyed: DataFrame, slices: int, largest: bool) -> DataFrame:
             held.append(_thin(part, largest))
         if not held:
             return
-        entries = _thin(np.concatenate(held), largest)
+        entries = merge_sorted(held, largest)
         bounds = np.searchsorted(_slice_of(entries["key"], slices), np.arange(slices + 1))
         for a in range(0, slices, 256):
             cut = [(s, number, entries[bounds[s] : bounds[s + 1]].tobytes()) for s in range(a, min(slices, a + 256)) if bounds[s + 1] > bounds[s]]
@@ -111,7 +148,7 @@ def _merged(runs: DataFrame, largest: bool) -> DataFrame:
     """One exchange: runs whose numbers agree above the lowest bits become one."""
 
     def merge(table: pa.Table) -> pa.Table:
-        entries = _thin(np.concatenate([np.frombuffer(x.as_py(), dtype=_ENTRY) for x in table["entries"]]), largest)
+        entries = merge_sorted([_run(x.as_py()) for x in table["entries"]], largest)
         return pa.table({"slice": [table["slice"][0].as_py()], "run": [table["up"][0].as_py()], "entries": [entries.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("run", pa.int64()), ("entries", pa.binary())]))
 
     return runs.withColumn("up", F.shiftright("run", ROUNDS)).groupBy("slice", "up").applyInArrow(merge, _RUN)
@@ -143,33 +180,50 @@ def merge_runs(keyed: DataFrame, keep: str = "max") -> DataFrame:
     return _entries(runs)
 
 
+#: Groups with at least one in so many of all rows are broadcast where rows meet their groups: so many at most.
+LARGE = 1000
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has each ``key`` once and in ``size`` how many of the ``total`` rows have it."""
+    large = F.col(size) * LARGE >= total
+    few, rest = groups.where(large), groups.where(~large)
+    meet = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest.hint("merge"), key)
+    return rows.join(F.broadcast(few), key).unionByName(meet)
+
+
 def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max") -> DataFrame:
     """For every row of ``df``: doc_id, keep_id, group_size, kept and text_sha256."""
     keyed = written(df.select(F.col(doc_id).cast("long").alias("doc_id"), digest_key(F.col(text).cast("binary")).alias("key"), F.monotonically_increasing_id().alias("row")), "keys")
-    groups = merge_runs(keyed, keep)
-    return keyed.join(groups, "key").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
+    found = joined_by_group(keyed, merge_runs(keyed, keep), "key", "group_size", keyed.count())
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
 
 
 def keep_rows(df: DataFrame, stay: DataFrame, keys: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that ``stay`` (doc_id, key) names, each once, all columns as they were.
 
     ``keys``: doc_id and key of every row of ``df``, written. They tell whether rows repeat identifier and text; if
-    none do, a semi-join is all. Repeated ones are thinned to one by a sum that each task starts before the exchange.
+    none do, a semi-join is all. Only repeated rows are thinned to one, by a sum that each task starts before the
+    exchange; those that are a thousandth of all rows or more, a thousand at most, are found by a broadcast join.
     """
     at = "__key__"
     fresh(df, at)
-    again = written(keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key"), "again")
+    again = written(keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "again")
     rows = df.withColumn(at, digest_key(F.col(text).cast("binary")))
 
-    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    def joined(left: DataFrame, right: DataFrame, how: str, small: bool = False) -> DataFrame:
         right = right.select(F.col("doc_id").alias("__id__"), F.col("key").alias("__other__"))
+        right = F.broadcast(right) if small else right
         return left.join(right, (F.col(at) == F.col("__other__")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id__")), how)
 
-    found = joined(rows, stay, "left_semi")
-    if not again.isEmpty():
-        one = joined(joined(rows.dropDuplicates([at, doc_id]), again, "left_semi"), stay, "left_semi")
-        found = joined(found, again, "left_anti").unionByName(one)
-    return found.drop(at)
+    if again.isEmpty():
+        return joined(rows, stay, "left_semi").drop(at)
+    large = F.col("n") * LARGE >= keys.count()
+    many, some = again.where(large), again.where(~large)
+    single = joined(rows, many, "left_anti", True)
+    repeated = joined(rows, many, "left_semi", True).unionByName(joined(single, some, "left_semi")).dropDuplicates([at, doc_id])
+    single = joined(single, some, "left_anti")
+    return joined(single.unionByName(repeated), stay, "left_semi").drop(at)
 
 
 def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max") -> DataFrame:

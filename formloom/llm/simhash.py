@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from formloom.llm.components import components
-from formloom.llm.exact import digest_key, keep_rows
+from formloom.llm.exact import digest_key, joined_by_group, keep_rows
 from formloom.session import load, written
 
 #: Distinct fingerprints that may share a variant and still be compared pair by pair.
@@ -134,11 +134,11 @@ def fingerprint_components(prints: DataFrame, hot: int = HOT) -> DataFrame:
 def simhash_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42) -> DataFrame:
     """For every row: doc_id, fingerprint (16 hexadecimal digits) and component_id."""
     prints = written(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_udf(words, seed)(F.col(text).cast("binary")).alias("fp")), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     rooted = written(classes.join(fingerprint_components(prints), "fp"), "classes")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = rooted.join(least, "root").select("fp", "component_id", "n")
+    return joined_by_group(prints, by_print, "fp", "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42) -> DataFrame:

@@ -146,3 +146,51 @@ def test_simhash_edges(spark):
     none = spark.createDataFrame([(None, "q w e"), (None, "q w e")], "doc_id long, text string")
     assert [r.component_id for r in simhash.simhash_components(none).collect()] == [None, None] and simhash.drop_near_copies(none).count() == 1
     assert simhash.simhash_components(df.where("false")).count() == 0 and simhash.drop_near_copies(df.where("false")).count() == 0
+
+
+def entries(rows):
+    """A run of (key, doc_id, row, n)."""
+    import numpy as np
+
+    made = np.zeros(len(rows), dtype=exact._ENTRY)
+    for i, (key, doc_id, row, n) in enumerate(rows):
+        made[i] = (key.encode().ljust(exact.KEY_BYTES, b"."), doc_id is None, doc_id or 0, row, n)
+    return made
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from("abcdefgh"), st.sampled_from([None, 1, 2, 3]), st.integers(0, 50)), max_size=12), min_size=1, max_size=6), st.booleans())
+def test_merge_of_runs(parts, largest):
+    """Merging sorted runs gives what sorting everything gives."""
+    import numpy as np
+
+    numbered = [[(k, i, 100 * row + 10 * a + b, 1) for b, (k, i, row) in enumerate(part)] for a, part in enumerate(parts)]
+    runs = [exact._thin(entries(part), largest) for part in numbered]
+    want = exact._thin(entries([x for part in numbered for x in part]), largest)
+    assert np.array_equal(exact.merge_sorted([exact._run(r.tobytes()) for r in runs], largest), want)
+
+
+def test_runs_must_be_sorted(spark):
+    with pytest.raises(ValueError, match="sorted"):
+        exact._run(entries([("b", 1, 1, 1), ("a", 1, 2, 1)]).tobytes())
+    with pytest.raises(ValueError, match="sorted"):
+        exact._run(entries([("a", 1, 1, 1), ("a", 1, 2, 1)]).tobytes())
+    bad = spark.createDataFrame([(0, 0, bytearray(entries([("b", 1, 1, 1), ("a", 1, 2, 1)]).tobytes())), (0, 1, bytearray(entries([("a", 1, 3, 1)]).tobytes()))], exact._RUN)
+    with pytest.raises(Exception, match="not sorted"):
+        exact._merged(bad, True).collect()
+
+
+def test_large_and_small_groups(spark, monkeypatch):
+    """Rows meet their groups the same way whether groups are broadcast or not, and repeated rows stay once."""
+    monkeypatch.setattr(exact, "LARGE", 4)
+    rows = [(1, "same", i) for i in range(40)] + [(2, "Same", 0)] + [(10 + i, f"t{i % 30}", i) for i in range(60)] + [(99, "t0", 1), (99, "t0", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(5)
+    got = exact.exact_groups(df).collect()
+    sizes = {}
+    for _, t, _ in rows:
+        sizes[low(t)] = sizes.get(low(t), 0) + 1
+    assert len(got) == len(rows) and sorted(r.group_size for r in got) == sorted(sizes[low(t)] for _, t, _ in rows)
+    assert {r.doc_id: r.keep_id for r in got}[1] == 2
+    left = sorted(tuple(r)[:2] for r in exact.drop_exact_copies(df).collect())
+    assert left == sorted({(max(i for i, t, _ in rows if low(t) == k), next(t for i, t, _ in sorted(rows, key=lambda r: -r[0]) if low(t) == k)) for k in sizes})
+    assert sorted(tuple(r)[:2] for r in exact.drop_exact_copies(df, keep="min").collect())[0] == (1, "same")
