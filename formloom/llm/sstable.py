@@ -15,12 +15,16 @@ little-endian, two bytes wide if the vocabulary allows it and else four.
 A lookup reads the manifest, the footer, the Bloom filter and the index of one
 shard, searches the index by bisection and unpacks one block.
 
+Texts are encoded where they are read; only ids move. Shards hold ranges of (identifier, hash of the text, row), about
+equally many rows each; the bounds of the ranges come from these three columns alone, and their number from the size of the
+texts. So rows that repeat an identifier, however many, spread over shards.
+
 Writing survives lost executors: each task attempt writes a file with a name of its own,
 and only the files that the written manifest names belong to the table.
 Files are reached through ``pyarrow.fs``, so the folder may be any shared store that it knows.
 
-Defined results: a null text is an empty text; repeated identifiers keep all their rows, next to each other;
-an empty table gives an empty manifest.
+Defined results: a null text is an empty text; repeated identifiers keep all their rows, next to each other, in the order of
+a 64-bit hash of their texts, so that places don't depend on how rows come in; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -28,13 +32,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,6 +49,9 @@ MAGIC = b"IDSST001"
 FOOTER = struct.Struct("<QQQQQQHI8s")
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
+KEY_BYTES = 9
+#: Bytes of text for a shard. Smaller tables have as many shards as there are partitions, but none for less than the least.
+SHARD_BYTES, SHARD_LEAST = 128 << 20, 2 << 20
 #: Pieces of text whose ids a writer keeps: encoding is nearly all of its work.
 PIECES = 600_000
 
@@ -97,13 +103,17 @@ class ShardWriter:
         self.stream, self.width, self.at = stream, width, 0
         self.zstd = zstandard.ZstdCompressor(level=1)
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.keys, self.n_keys = bytearray(), 0
         self.block, self.entries, self.last = bytearray(), 0, b""
         self.n_ids = 0
 
+    @property
+    def last_key(self) -> bytes:
+        return bytes(self.keys[-KEY_BYTES:])
+
     def add(self, key: bytes, ids: bytes) -> None:
         """``ids``: already as wide as the file's ids."""
-        if self.keys and key < self.keys[-1]:
+        if self.keys and key < self.last_key:
             raise ValueError("keys must ascend")
         shared = 0
         if self.entries:
@@ -113,7 +123,8 @@ class ShardWriter:
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(n) + key[shared:]
         self.block += ids
         self.last, self.entries, self.n_ids = key, self.entries + 1, self.n_ids + n
-        self.keys.append(key)
+        self.keys += key
+        self.n_keys += 1
         if len(self.block) >= BLOCK_BYTES:
             self.flush()
 
@@ -129,13 +140,13 @@ class ShardWriter:
     def close(self) -> None:
         self.flush()
         index = struct.pack("<I", len(self.index)) + b"".join(self.index)
-        bits = max(64, BITS_PER_KEY * len(self.keys))
+        bits = max(64, BITS_PER_KEY * self.n_keys)
         bloom = bytearray((bits + 7) // 8)
-        for key in self.keys:
-            for p in _bloom_places(key, bits):
+        for at in range(0, len(self.keys), KEY_BYTES):
+            for p in _bloom_places(bytes(self.keys[at : at + KEY_BYTES]), bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         bloom = struct.pack("<Q", bits) + bytes(bloom)
-        self.stream.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.keys), self.n_ids, self.width, zlib.crc32(index + bloom), MAGIC))
+        self.stream.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.n_keys, self.n_ids, self.width, zlib.crc32(index + bloom), MAGIC))
 
 
 class ShardReader:
@@ -203,47 +214,77 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _sorted_by() -> list[Column]:
+    """Of a row (k, v): whether it has an identifier, that, a hash of its text, and its number among rows that agree in these."""
+    return [F.col("k").isNotNull().cast("int").alias("has"), F.coalesce("k", F.lit(0)).alias("k"), F.xxhash64("v").alias("h"), F.monotonically_increasing_id().alias("r")]
+
+
+def _bounds(rows: DataFrame, shards: int) -> list[tuple]:
+    """The first place of each shard but the first, in order. Reads keys and hashes; one row for each shard comes to the driver."""
+    if shards == 1:
+        return []
+    ranged = rows.select(*_sorted_by()).repartitionByRange(shards, "has", "k", "h", "r")
+    least = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("has", "k", "h", "r")).alias("least"))
+    return sorted(tuple(r.least) for r in least.collect())[1:]
+
+
+def _number_of_shards(rows: DataFrame) -> int:
+    size = rows.agg(F.sum(F.octet_length("v"))).first()[0] or 0
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // SHARD_BYTES), min(wanted, -(-size // SHARD_LEAST)))
+
+
 def write_table(df: DataFrame, path: str, tokenizer: str, end_id: int | None, words: bool = False, vocabulary: int = 1 << 32, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:
     """Encodes every text and writes shards under ``path``, in ascending order of ``doc_id``; returns the manifest.
 
     ``tokenizer`` is a JSON file of the tokenizers library; ``end_id`` (if given) closes each document;
     ``vocabulary`` bounds the ids, so that two bytes can hold them below 65,536.
-    Rows are dealt by ranges of the identifier and sorted within them, so that no task
-    holds more than its range. The manifest, ``path``/manifest, is written last and makes the table.
+    The manifest, ``path``/manifest, is written last and makes the table.
     """
     width = 2 if vocabulary <= 1 << 16 else 4
-    n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(doc_id).cast("long").alias("k"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("v"))
+    bounds = _bounds(rows, shards or _number_of_shards(rows))
+    n = len(bounds) + 1
 
-    def run(batches):
+    def encode(batches):
         encoder = piece_encoder(tokenizer, words, PIECES, width)
         end = b"" if end_id is None else struct.pack("<H" if width == 2 else "<I", end_id)
-        shard = TaskContext.get().partitionId()
-        store, folder = _store(path)
-        store.create_dir(folder, recursive=True)
-        name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-        writer = stream = first = None
         for batch in batches:
-            keys, values = batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))
-            for at, some in portions(values):
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            for at, some in portions(x.as_py() for x in batch.column(4)):
                 texts = list(dict.fromkeys(some))
-                known = {}
-                for value, packed in zip(texts, encoder.encode_many([text_of(x) for x in texts]), strict=True):
-                    known[value] = packed + end
-                for key, value in zip(keys[at : at + len(some)], some, strict=True):
-                    if writer is None:
-                        stream = store.open_output_stream(name)
-                        writer = ShardWriter(stream, width)
-                        first = key_of(key)
-                    writer.add(key_of(key), known[value])
-        if writer:
+                known = {value: packed + end for value, packed in zip(texts, encoder.encode_many([text_of(x) for x in texts]), strict=True)}
+                shard = pa.array([bisect_right(bounds, p) for p in places[at : at + len(some)]], type=pa.int32())
+                yield pa.RecordBatch.from_arrays([shard, *(batch.column(i).slice(at, len(some)) for i in range(3)), pa.array([known[x] for x in some], type=pa.binary())], names=["shard", "has", "k", "h", "ids"])
+
+    def run(batches):
+        store, folder = _store(path)
+        store.create_dir(folder, recursive=True)
+        writer = stream = name = first = shard = None
+
+        def done():
             writer.close()
             stream.close()
-            row = [[shard], [name if folder == path else f"{path}/{name.rsplit('/', 1)[1]}"], [first], [writer.keys[-1]], [len(writer.keys)], [writer.n_ids]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["shard", "path", "first_key", "last_key", "n_docs", "n_ids"])
+            row = [[shard], [name if folder == path else f"{path}/{name.rsplit('/', 1)[1]}"], [first], [writer.last_key], [writer.n_keys], [writer.n_ids]]
+            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["shard", "path", "first_key", "last_key", "n_docs", "n_ids"])
+
+        for batch in batches:
+            for own, has, k, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                key = key_of(k if has else None)
+                if own != shard:
+                    if writer:
+                        yield done()
+                    shard, first = own, key
+                    name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
+                    stream = store.open_output_stream(name)
+                    writer = ShardWriter(stream, width)
+                writer.add(key, ids.as_py())
+        if writer:
+            yield done()
 
-    rows = df.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("binary").alias("v"))
-    made = rows.repartitionByRange(n, "k").sortWithinPartitions("k").mapInArrow(run, MANIFEST)
-    made.write.parquet(f"{path}/manifest")
+    encoded = rows.select(*_sorted_by(), "v").mapInArrow(encode, "shard int, has int, k long, h long, ids binary")
+    dealt = encoded.repartitionById(n, "shard").sortWithinPartitions("shard", "has", "k", "h")
+    dealt.select("shard", "has", "k", "ids").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     return read_manifest(df.sparkSession, path)
 
 

@@ -236,3 +236,38 @@ def test_shard_query(spark):
         want[r.doc_id] = (at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
     assert {r.doc_id: tuple(r)[1:] for r in sstable.op10_token_shards(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_repeated_identifiers_spread_and_keep_their_places(spark):
+    """One identifier on most rows: its rows spread over shards, and what is read back doesn't depend on how rows came in."""
+    rows = [(5, f"text {i % 400} of one identifier") for i in range(900)] + [(i, f"other {i}") for i in range(200)] + [(None, "none"), (5, None)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    read = []
+    for some in (df.repartition(7), df.orderBy(F.desc("text")).coalesce(1)):
+        path = f"{shared_dir(spark)}/t"
+        manifest = sstable.write_table(some, path, BYTES, end_id=0, vocabulary=50_257, shards=6).orderBy("shard").collect()
+        five = sstable.key_of(5)
+        assert len(manifest) == 6 and sum(r.first_key <= five <= r.last_key for r in manifest) >= 4 and max(r.n_docs for r in manifest) < 500
+        assert len(sstable.lookup(spark, path, 5)) == 921
+        read.append([(r.doc_id, r.start, bytes(r.ids)) for r in sstable.read_table(spark, path).orderBy("start").collect()])
+    assert read[0] == read[1] and len(read[0]) == len(rows)
+
+
+def test_shards_follow_the_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(100)], "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").alias("k"), F.col("text").cast("binary").alias("v"))
+    assert sstable._number_of_shards(rows) == 1
+    monkeypatch.setattr(sstable, "SHARD_LEAST", 40_000)
+    assert sstable._number_of_shards(rows) == 3
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 1000)
+    assert sstable._number_of_shards(rows) == 100
+
+
+def test_only_ids_are_exchanged(spark, monkeypatch):
+    """No exchange below the writer carries texts."""
+    plans = []
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path, *a, **b: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or write(self, path, *a, **b))
+    sstable.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), f"{shared_dir(spark)}/t", BYTES, end_id=0)
+    plan = next(p for p in plans if "RepartitionBy" in p)
+    assert plan.count("MapInArrow") == 2 and plan[plan.index("RepartitionBy") :].count("MapInArrow") == 1
