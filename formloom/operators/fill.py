@@ -2,7 +2,7 @@
 
 A field that is present keeps its value, whatever it is, an explicit null included; an absent one
 is false if it is a boolean and null otherwise; unknown fields are dropped. A document
-or a section that isn't an object counts as empty.
+or a section that isn't an object counts as empty. Of a key that is repeated in an object, the last counts, for sections too.
 """
 
 from __future__ import annotations
@@ -12,28 +12,37 @@ from pyspark.sql import functions as F
 
 from formloom.plans.catalog import FIELDS, SECTIONS, FieldSpec, flat_name, spark_type
 
-_MAP = "map<string,string>"
+_MEMBERS = "array<struct<key:string,value:string>>"
 
 
 def _object(text: Column) -> Column:
-    """A JSON object's members as text; empty if it isn't an object."""
-    parsed = F.when(F.btrim(text).startswith("{"), F.from_json(text, _MAP))
-    return F.coalesce(parsed, F.create_map().cast(_MAP))
+    """A JSON object's members as text, in order, repeated keys included; empty if it isn't an object."""
+    parsed = F.when(F.btrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
+    return F.coalesce(F.map_entries(parsed), F.array().cast(_MEMBERS))
+
+
+def _last(members: str, key: str) -> Column:
+    """The last member of a key, null if there is none."""
+    return F.try_element_at(F.filter(members, lambda m: m["key"] == key), F.lit(-1))
 
 
 def filled(df: DataFrame, json: str, keep: list[str], typed: bool = True) -> DataFrame:
     """``keep`` and the flat record of the JSON column.
 
     Values keep their JSON text with ``typed=False``; else they are cast to the field's type, null if that
-    can't be. Two levels of maps tell a missing field from a null one, which a struct can't.
+    can't be; a boolean is ``true`` or ``false``, also as text, and nothing else. Two levels of members tell a
+    missing field from a null one, which a struct can't.
     """
     members = df.select(*keep, _object(F.col(json)).alias("_all"))
-    sections = members.select(*keep, *(_object(F.element_at("_all", F.lit(s))).alias(s) for s in SECTIONS))
+    sections = members.select(*keep, *(_object(_last("_all", s)["value"]).alias(s) for s in SECTIONS))
 
     def value(f: FieldSpec) -> Column:
         absent = F.lit("false") if f.type == "boolean" else F.lit(None).cast("string")
-        found = F.when(F.map_contains_key(f.section, f.name), F.element_at(f.section, F.lit(f.name))).otherwise(absent)
-        return (found.try_cast(spark_type(f.type)) if typed else found).alias(flat_name(f))
+        member = _last(f.section, f.name)
+        found = F.when(member.isNotNull(), member["value"]).otherwise(absent)
+        if typed:
+            found = F.when(found.isin("true", "false"), found == "true") if f.type == "boolean" else found.try_cast(spark_type(f.type))
+        return found.alias(flat_name(f))
 
     return sections.select(*keep, *(value(f) for f in FIELDS))
 

@@ -92,3 +92,16 @@ def test_seconds(spark):
     df = spark.createDataFrame([(3.0, 6), (1.0, 2)], "seconds double, pages int")
     assert tuple(pages.seconds_per_page(df).first()) == (4.0, 8, 0.5, 3.0)
     assert pages.seconds_per_page(df.where("false")).first().per_page is None
+
+
+def test_last_of_repeated_keys(spark):
+    name = "thong_tin_ca_nhan__ho_va_ten"
+    rows = filled(spark, '{"THONG_TIN_CA_NHAN": {"ho_va_ten": "a", "ho_va_ten": "b"}}', '{"THONG_TIN_CA_NHAN": {"ho_va_ten": "a"}, "THONG_TIN_CA_NHAN": {}}', '{"THONG_TIN_CA_NHAN": {"ho_va_ten": "a", "ho_va_ten": null}}')
+    assert [rows[i][name] for i in range(3)] == ["b", None, None]
+
+
+def test_booleans_are_true_or_false(spark):
+    text = '{"CHI_SO_SINH_LY": 1, "A_CHI_SO_SINH_LY_CO_BAN": {"hut_thuoc_la": %s}}'
+    rows = filled(spark, *(text % x for x in ("true", "false", '"true"', '"yes"', "1", '"t"')))
+    assert [rows[i][SMOKE] for i in range(6)] == [True, False, True, None, None, None]
+    assert filled(spark, text % '"yes"', typed=False)[0][SMOKE] == "yes"
