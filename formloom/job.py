@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from formloom import sinks
 from formloom.operators.rules import extract
 from formloom.plans.catalog import FIELDS, flat_name
-from formloom.session import importable
+from formloom.session import importable, written
 from formloom.sources import decode, files, remote
 
 log = logging.getLogger("formloom")
@@ -50,13 +50,20 @@ def records_of(documents: DataFrame, transport: remote.Transport | None = None,
     return flat.select("path", "status", "error", *(flat_name(f) for f in FIELDS))
 
 
-def process(spark: SparkSession, paths: list[str], output: str | None = None, make: Callable[[], decode.Backend] = decode.LibraryBackend, force_ocr: bool = False, dpi: int = decode.DPI, languages: str = decode.LANGUAGES, engine: str = decode.ENGINE, transport: remote.Transport | None = None, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, records) of files and folders; with ``output`` both are written there too."""
+def process(spark: SparkSession, paths: list[str], output: str | None = None, make: Callable[[], decode.Backend] = decode.LibraryBackend, force_ocr: bool = False, dpi: int = decode.DPI, languages: str = decode.LANGUAGES, engine: str = decode.ENGINE, transport: remote.Transport | None = None, key: str | None = None, layout: str = "table") -> tuple[DataFrame, DataFrame]:
+    """(documents, records) of files and folders, which may be written too.
+
+    ``layout``: with "table" both are written as tables to ``output``, if it is given; with "files" every document with text
+    has a text file and a JSON file, in ``output`` or else beside it.
+    """
     importable(spark)
     found = files.collect_files(spark, paths)
-    documents = decode.document_texts(found, make, force_ocr, dpi, languages, engine=engine).persist()  # read by both results
+    # read by both results: written, as a lost executor must not cost recognition again
+    documents = written(decode.document_texts(found, make, force_ocr, dpi, languages, engine=engine), "documents")
     records = records_of(documents, transport, key)
-    if output:
+    if layout == "files":
+        sinks.write_files(sinks.document_files(documents, records, output))
+    elif output:
         sinks.write_texts(sinks.named_outputs(documents, output), f"{output.rstrip('/')}/texts")
         sinks.write_records(records, f"{output.rstrip('/')}/records", ["path", "status", "error"])
     return documents, records
@@ -70,14 +77,15 @@ def process_one(spark: SparkSession, name: str, content: bytes, **options) -> di
             f.write(content)
         documents, records = process(spark, [f"file://{path}"], **options)
         row = records.select(sinks.record_json().alias("json")).first()
-        documents.unpersist()
     if row is None:
         raise ValueError("no text was found")
     return json.loads(row.json)
 
 
-# The goal of the benchmark.
+# The goal of the benchmark, and what a service answers to a failure.
 GOAL_SECONDS, GOAL_PAGES = 3.0, 6
+SERVICE_ERROR = "Lỗi xử lý OCR: {error}"
+# End of fixed values.
 
 
 def benchmark(spark: SparkSession, path: str, make: Callable[[], decode.Backend] = decode.LibraryBackend, engine: str = decode.ENGINE) -> tuple[DataFrame, bool]:
@@ -91,7 +99,7 @@ def benchmark(spark: SparkSession, path: str, make: Callable[[], decode.Backend]
     for run in ("cold", "warm"):
         with timed(f"{run} run") as measured:
             counts = decode.page_counts(found, make)
-            pages = decode.recognised_pages(found, counts, make, engine=engine).count()
+            pages = decode.recognised_pages(counts, make, engine=engine).count()
         runs.append((run, measured["seconds"], pages))
     table = spark.createDataFrame(runs, "run string, seconds double, pages long")
     table = table.withColumns({"per_page": F.try_divide("seconds", "pages"), "six_pages": F.try_divide(GOAL_PAGES * F.col("seconds"), "pages")})
@@ -137,7 +145,7 @@ def handler(spark: SparkSession, **defaults) -> type[BaseHTTPRequestHandler]:
                 options = defaults | {"force_ocr": text("force_ocr", "false").lower() in ("true", "1", "on", "yes"), "dpi": int(text("dpi", decode.DPI)), "languages": text("lang", decode.LANGUAGES), "engine": text("engine", decode.ENGINE)}
                 self._answer(200, process_one(spark, fields["file"].get_filename() or "", fields["file"].get_payload(decode=True), **options))
             except Exception as error:
-                self._answer(500, {"detail": f"Lỗi xử lý OCR: {error}"})
+                self._answer(500, {"detail": SERVICE_ERROR.format(error=error)})
 
         def log_message(self, *_) -> None:
             """Requests may name patients: nothing of them is logged."""
@@ -152,7 +160,8 @@ def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000, **defa
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Texts and records of PDF and image files.")
     parser.add_argument("paths", nargs="+", help="files, or folders that hold them")
-    parser.add_argument("-o", "--output-dir", default=None, help="folder for texts and records; else only counts are shown")
+    parser.add_argument("-o", "--output-dir", default=None, help="folder for texts and records; without it they go beside each file")
+    parser.add_argument("--layout", default="files", choices=["files", "table"], help="two files for each document, or tables; tables need a folder")
     parser.add_argument("-f", "--force-ocr", action="store_true", help="recognise images even where there is a text layer")
     parser.add_argument("-d", "--dpi", type=int, default=decode.DPI)
     parser.add_argument("-l", "--lang", default=decode.LANGUAGES)
@@ -160,7 +169,7 @@ def main(arguments: list[str] | None = None) -> int:
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("formloom").getOrCreate()
     with timed("all files"):
-        documents, records = process(spark, given.paths, given.output_dir, force_ocr=given.force_ocr, dpi=given.dpi, languages=given.lang, engine=given.engine)
+        documents, records = process(spark, given.paths, given.output_dir, force_ocr=given.force_ocr, dpi=given.dpi, languages=given.lang, engine=given.engine, layout=given.layout)
         for row in documents.groupBy("status").count().orderBy("status").collect():
             print(row.status, row["count"])
         print("records", records.count())

@@ -40,10 +40,26 @@ def route_pages(pages: DataFrame, text: str = "text", least: int = LEAST_CHARS)
     return F.when(has_text(F.col(text), least), "digital").otherwise("ocr")
 
 
-def assemble(pages: DataFrame, path: str = "path", page_num: str = "page_num", text: str = "text") -> DataFrame:
-    """(path, text): pages in numeric order, each under its header; a null page is empty."""
+def assembled(page_num: str = "page_num", text: str = "text", where: Column | None = None) -> Column:
+    """An aggregate: the text of a document's pages in numeric order, each under its header; a null page is empty; ``where`` says which pages count."""
     part = F.struct(F.col(page_num).cast("int").alias("n"), F.concat(F.lit(HEADER[0]), F.col(page_num).cast("int").cast("string"), F.lit(HEADER[1]), F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("t"))
-    return pages.groupBy(path).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("text"))
+    part = part if where is None else F.when(where, part)
+    return F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n")
+
+
+def assemble(pages: DataFrame, path: str = "path", page_num: str = "page_num", text: str = "text") -> DataFrame:
+    """(path, text) of each document."""
+    return pages.groupBy(path).agg(assembled(page_num, text).alias("text"))
+
+
+def page_ranges(documents: DataFrame, at_once: int = 8, workers: int | None = None, path: str = "path", pages: str = "pages") -> DataFrame:
+    """(path, first, pages, n): ranges of ``n`` pages, from page ``first`` counted from 0, that are worked on apart.
+
+    With ``workers`` a document has as many ranges as pages or workers, whichever are fewer; else ranges have ``at_once`` pages.
+    """
+    n = F.lit(at_once) if workers is None else F.ceil(F.col(pages) / F.least(F.col(pages), F.lit(workers))).cast("int")
+    some = documents.where(F.col(pages) > 0).select(path, F.col(pages).cast("int").alias("pages"), n.alias("n"))
+    return some.select(path, F.explode(F.sequence(F.lit(0), F.col("pages") - 1, F.col("n"))).alias("first"), "pages", "n")
 
 
 def as_map(pages: DataFrame, path: str = "path", page_num: str = "page_num", text: str = "text") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.plans.catalog import FIELDS, SECTIONS, flat_name, of_section
-from formloom.sources.files import base_name, without_extension
+from formloom.sources.files import base_name, store_of, without_extension
 
 # What is appended to the names of outputs.
 TEXT_SUFFIX = "_extracted.txt"
@@ -54,6 +58,39 @@ def write_records(flat: DataFrame, target: str, keep: list[str], layout: str = "
         flat.select(*keep, record_json().alias("record")).write.mode("overwrite").option("ignoreNullFields", "false").json(target)
 
 
+def document_files(documents: DataFrame, records: DataFrame, folder: str | None = None) -> DataFrame:
+    """(file, content): a text file of each document with text, and a JSON file of its record; beside the document, or in ``folder``.
+
+    Files whose names collide have names of their own (:func:`named_outputs`).
+    """
+    named = named_outputs(documents.where(F.length("text") > 0), folder).select("path", "text", F.when(F.col("collides"), F.col("unique_name")).otherwise(F.col("out_name")).alias("file"))
+    fields = named.join(records.select("path", record_json().alias("content")), "path")
+    stem = F.substring(F.col("file"), F.lit(1), F.length("file") - len(TEXT_SUFFIX))
+    return named.select("file", F.col("text").alias("content")).unionByName(fields.select(F.concat(stem, F.lit(FIELDS_SUFFIX)).alias("file"), "content"))
+
+
+def write_files(files: DataFrame) -> int:
+    """Writes each content (JSON with an indent of two) to its file, from the workers, and returns how many.
+
+    A file gets its name when it is whole, so that a task that runs again does no harm.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["file"], batch["content"], strict=True):
+                if name.endswith(".json"):
+                    content = json.dumps(json.loads(content), indent=2, ensure_ascii=False)
+                store, place = store_of(name)
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                part = f"{place}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.encode())
+                store.move(part, place)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def error_rows(documents: DataFrame, path: str = "path") -> DataFrame:
     """What a service would answer with an error: documents without text or that failed."""
     return documents.where((F.length("text") == 0) | (F.col("status") != "ok")).select(path, "status", F.coalesce("error", F.lit("no text")).alias("error"))

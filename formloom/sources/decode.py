@@ -1,8 +1,9 @@
 """Decoding files to page text: the only stage, with remote extraction, that runs Python on rows.
 
 A backend opens documents, renders pages and recognises text. Backends for installed libraries are loaded in the
-Python worker on first use; tests pass their own. Pages of scanned documents are dealt
-out over the cluster by ranges of pages; page images never leave the worker.
+Python worker on first use; tests pass their own. Probing and reading the text layer are one pass next to the scan.
+Pages of scanned documents are dealt out over the cluster by ranges of pages: only paths travel, a worker reads the file of a
+range and opens it once. Neither contents nor page images go through an exchange, and a page is recognised once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import pages as page_ops
 from formloom.session import written
+from formloom.sources.files import store_of
 
 # Defaults, and what stands in for the text of a page or image that can't be read.
 DPI = 150
@@ -31,6 +33,7 @@ IMAGE_ERROR = "[Lỗi OCR File Ảnh]: {error}"
 
 PAGES = "path string, page_num int, text string, status string, error string"
 COUNTS = "path string, pages int, digital_pages int, status string, error string"
+LAYERS = "path string, pages int, digital_pages int, status string, error string, texts array<string>"
 
 
 class EngineMissing(RuntimeError):
@@ -133,68 +136,83 @@ def _mapped(df: DataFrame, f: Callable[[Any], Iterator[tuple]], schema: str, col
     return df.select(*columns).mapInPandas(run, schema)
 
 
-def page_counts(files: DataFrame, make: Callable[[], Backend] = LibraryBackend, least: int = page_ops.LEAST_CHARS) -> DataFrame:
-    """Pages and pages with text of each PDF.
+def read_bytes(path: str) -> bytes:
+    """A file's content, read in a worker: local files, and stores that pyarrow knows."""
+    store, place = store_of(path)
+    with store.open_input_file(place) as f:
+        return f.read()
+
+
+def text_layers(files: DataFrame, make: Callable[[], Backend] = LibraryBackend, least: int = page_ops.LEAST_CHARS) -> DataFrame:
+    """Pages, pages with text, and the texts (not stripped) of each PDF, which is opened once.
 
     What can't be opened has no pages; where the text layer can't be read, no page counts as having text, so
-    that its images are recognised.
+    that its images are recognised, and the texts are those before the failure.
     """
 
-    def count(row):
-        pages = 0
+    def layer(row):
+        pages, texts = 0, []
         try:
             doc = _backend(make).open(row.content)
             try:
                 pages = len(doc)
-                digital = sum(len(doc.text(i).strip()) > least for i in range(pages))
+                for page in range(pages):
+                    texts.append(doc.text(page))
             finally:
                 doc.close()
-            yield row.path, pages, digital, "ok", None
+            yield row.path, pages, sum(len(x.strip()) > least for x in texts), "ok", None, texts
         except Exception as error:  # one bad file must not stop the others
-            yield row.path, pages, 0, "error", str(error)
+            yield row.path, pages, 0, "error", str(error), texts
 
-    return _mapped(files, count, COUNTS, ["path", "content"])
+    return _mapped(files, layer, LAYERS, ["path", "content"])
+
+
+def page_counts(files: DataFrame, make: Callable[[], Backend] = LibraryBackend, least: int = page_ops.LEAST_CHARS) -> DataFrame:
+    """Pages and pages with text of each PDF."""
+    return text_layers(files, make, least).drop("texts")
 
 
 def text_layer(files: DataFrame, make: Callable[[], Backend] = LibraryBackend) -> DataFrame:
-    """The text layer of each page, not stripped. If a page fails, those before it stay."""
+    """The text layer of each page, not stripped. If a page fails, those before it stay and it is a row with the error."""
+    layers = text_layers(files, make)
+    failed = F.when(F.col("status") == "error", F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    rows = layers.select("path", F.posexplode(F.concat("texts", failed)).alias("i", "text"), "status", "error")
+    bad = F.col("text").isNull()
+    return rows.select("path", (F.col("i") + 1).alias("page_num"), "text", F.when(bad, "error").otherwise("ok").alias("status"), F.when(bad, F.col("error")).alias("error"))
 
-    def read(row):
-        page = 0
-        try:
-            doc = _backend(make).open(row.content)
-            try:
-                for page in range(len(doc)):
-                    yield row.path, page + 1, doc.text(page), "ok", None
-            finally:
-                doc.close()
-        except Exception as error:
-            yield row.path, page + 1, None, "error", str(error)
 
-    return _mapped(files, read, PAGES, ["path", "content"])
+def recognised_pages(counts: DataFrame, make: Callable[[], Backend] = LibraryBackend, dpi: int = DPI, languages: str = LANGUAGES, command: str = "tesseract", engine: str = ENGINE, at_once: int = 8, workers: int | None = None, partitions: int | None = None, read: Callable[[str], bytes] = read_bytes) -> DataFrame:
+    """Renders and recognises each page of the documents ``counts`` (path, pages), in ranges that run apart.
 
+    ``read`` gets a file's content from its path, in the worker.
+    """
+    n = partitions or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = page_ops.page_ranges(counts, at_once, workers).repartition(n, "path", "first")
 
-def recognised_pages(files: DataFrame, counts: DataFrame, make: Callable[[], Backend] = LibraryBackend, dpi: int = DPI, languages: str = LANGUAGES, command: str = "tesseract", engine: str = ENGINE, at_once: int = 8, partitions: int | None = None) -> DataFrame:
-    """Renders and recognises each page of the files; documents are split into ranges of ``at_once`` pages that run apart."""
-    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = counts.where("pages > 0").select("path", F.explode(F.sequence(F.lit(0), F.col("pages") - 1, F.lit(at_once))).alias("first"), "pages")
-    work = files.select("path", "content").join(ranges, "path").repartition(n, "path", "first")
+    def one(backend, doc, page):
+        try:
+            return recognise(backend, doc.image(page, dpi / POINTS_PER_INCH), engine, languages, command), "ok", None
+        except EngineMissing as error:
+            return NO_ENGINE, "error", str(error)
+        except Exception as error:
+            return PAGE_ERROR.format(page=page + 1, error=error), "error", str(error)
 
-    def read(row):
-        for page in range(row.first, min(row.pages, row.first + at_once)):
-            try:
-                doc = _backend(make).open(row.content)
-                try:
-                    found = recognise(_backend(make), doc.image(page, dpi / POINTS_PER_INCH), engine, languages, command)
-                finally:
-                    doc.close()
-                yield row.path, page + 1, found, "ok", None
-            except EngineMissing as error:
-                yield row.path, page + 1, NO_ENGINE, "error", str(error)
-            except Exception as error:
+    def some(row):
+        numbers = range(row.first, min(row.pages, row.first + row.n))
+        try:
+            backend = _backend(make)
+            doc = backend.open(read(row.path))
+        except Exception as error:
+            for page in numbers:
                 yield row.path, page + 1, PAGE_ERROR.format(page=page + 1, error=error), "error", str(error)
+            return
+        try:
+            for page in numbers:
+                yield row.path, page + 1, *one(backend, doc, page)
+        finally:
+            doc.close()
 
-    return _mapped(work, read, PAGES, ["path", "content", "first", "pages"])
+    return _mapped(work, some, PAGES, ["path", "first", "pages", "n"])
 
 
 def recognised_images(files: DataFrame, make: Callable[[], Backend] = LibraryBackend, languages: str = LANGUAGES, command: str = "tesseract", engine: str = ENGINE) -> DataFrame:
@@ -212,28 +230,34 @@ def recognised_images(files: DataFrame, make: Callable[[], Backend] = LibraryBac
     return _mapped(files, read, PAGES.replace("page_num int", "page_num double"), ["path", "content"]).withColumn("page_num", F.col("page_num").cast("int"))
 
 
-def document_texts(files: DataFrame, make: Callable[[], Backend] = LibraryBackend, force_ocr: bool = False, dpi: int = DPI, languages: str = LANGUAGES, command: str = "tesseract", engine: str = ENGINE, compatible: bool = True) -> DataFrame:
+def document_texts(files: DataFrame, make: Callable[[], Backend] = LibraryBackend, force_ocr: bool = False, dpi: int = DPI, languages: str = LANGUAGES, command: str = "tesseract", engine: str = ENGINE, compatible: bool = True, read: Callable[[str], bytes] = read_bytes) -> DataFrame:
     """(path, text, status, error) of every file of ``files`` (path, status, kind, content).
 
     PDFs are probed and go one way as whole documents; images are recognised. A missing PDF has an empty
     text. With ``compatible`` errors also stand in the text, where they were always; without it
     a page that failed is left out, and ``status`` and ``error`` tell.
     """
-    there = files.where(F.col("status") == "ok")
-    pdf, images = there.where(F.col("kind") == "pdf"), files.where(F.col("kind") == "image")
-    counts = written(page_counts(pdf, make), "counts")  # three branches need it, and probing opens every document
-    probed = counts.withColumn("digital", page_ops.SHARE[1] * F.col("digital_pages") > page_ops.SHARE[0] * F.col("pages"))
+    pdf, images = files.where((F.col("status") == "ok") & (F.col("kind") == "pdf")), files.where(F.col("kind") == "image")
+    layers = text_layers(pdf, make)
+    # read twice, and probing opens every document; without texts, if nothing is taken from them
+    layers = written(layers.drop("texts") if force_ocr else layers, "layers")
+    probed = layers.withColumn("digital", page_ops.SHARE[1] * F.col("digital_pages") > page_ops.SHARE[0] * F.col("pages"))
     by_layer, by_image = page_ops.route(probed, force_ocr)
-    pages = text_layer(pdf.join(by_layer.select("path"), "path", "left_semi"), make).where(F.col("text").isNotNull())
-    pages = pages.unionByName(recognised_pages(pdf, by_image, make, dpi, languages, command, engine))
-    read = pages if compatible else pages.where(F.col("status") == "ok")
-    texts = page_ops.assemble(read)
-    states = pages.groupBy("path").agg(F.max_by("status", F.col("status") == "error").alias("status"), F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("error"))
-    pdf_texts = files.where(F.col("kind") == "pdf").select("path", F.col("status").alias("found")).join(texts, "path", "left").join(states, "path", "left")
+    pages = recognised_pages(by_image.select("path", "pages"), make, dpi, languages, command, engine, read=read)
+    if not force_ocr:
+        digital = by_layer.select("path", F.posexplode("texts").alias("i", "text"))
+        pages = pages.unionByName(digital.select("path", (F.col("i") + 1).alias("page_num"), "text", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")))
+    ok = F.col("status") == "ok"
+    texts = pages.groupBy("path").agg(
+        page_ops.assembled(where=None if compatible else ok).alias("text"),
+        F.max_by("status", ~ok).alias("status"),
+        F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("error"),
+    )
+    pdf_texts = files.where(F.col("kind") == "pdf").select("path", F.col("status").alias("found")).join(texts, "path", "left")
     pdf_texts = pdf_texts.select("path", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("found") == "missing", "missing").otherwise(F.coalesce("status", F.lit("empty"))).alias("status"), F.nullif("error", F.lit("")).alias("error"))
     image_texts = recognised_images(images, make, languages, command, engine)
     image_texts = image_texts.select("path", (F.col("text") if compatible else F.when(F.col("status") == "ok", F.col("text")).otherwise("")).alias("text"), "status", "error")
     return pdf_texts.unionByName(image_texts)
 
 
-__all__ = ["Backend", "Document", "EngineMissing", "LibraryBackend", "document_texts", "page_counts", "recognise", "recognised_images", "recognised_pages", "text_layer"]
+__all__ = ["Backend", "Document", "EngineMissing", "LibraryBackend", "document_texts", "page_counts", "read_bytes", "recognise", "recognised_images", "recognised_pages", "text_layer", "text_layers"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import urllib.parse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,16 @@ def _glob() -> str:
     return "*.{" + ",".join(x for e in EXTENSIONS for x in (e, e.upper())) + "}"
 
 
+def store_of(path: str):
+    """The pyarrow file system and the place in it of a path as Spark shows it: local, or of a store that pyarrow knows."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if not rest or len(scheme) < 2 or scheme == "file":
+        return fs.LocalFileSystem(), f"/{rest.lstrip('/')}" if scheme == "file" else path
+    return fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/"))
+
+
 def read_files(spark: SparkSession, folders: list[str], content: bool = True) -> DataFrame:
     """The files of folders, not of folders in them; ``content`` is only read if asked for.
 
@@ -48,15 +60,25 @@ def read_files(spark: SparkSession, folders: list[str], content: bool = True) ->
 
 
 def requested(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, is_folder, found) of what a user names: each once, in order. Listing goes through Spark's file systems."""
+    """(path, is_folder, found, qualified) of what a user names: each once, in order. Listing goes through Spark's file systems.
+
+    ``qualified``: the path with its scheme, as other readers and listings have it.
+    """
     rows = []
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in sorted(set(paths)):
         p = jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(conf)
         there = fs.exists(p)
-        rows.append((path, bool(there and fs.getFileStatus(p).isDirectory()), bool(there)))
-    return spark.createDataFrame(rows, "path string, is_folder boolean, found boolean")
+        rows.append((path, bool(there and fs.getFileStatus(p).isDirectory()), bool(there), fs.makeQualified(p).toString()))
+    return spark.createDataFrame(rows, "path string, is_folder boolean, found boolean, qualified string")
+
+
+def _listed(path: str) -> bool:
+    """Whether the listing of a file's folder has it, by its name."""
+    name = path.rsplit("/", 1)[-1]
+    end = name.rsplit(".", 1)[-1] if "." in name else ""
+    return name[0] not in "._" and end.lower() in EXTENSIONS and end in (end.lower(), end.upper())
 
 
 def collect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -65,8 +87,10 @@ def collect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     A file named is taken whatever its extension; one that doesn't exist becomes a row of its own.
     """
     asked = requested(spark, paths).collect()  # as many as the user names
-    folders = [r.path for r in asked if r.is_folder]
-    files = [r.path for r in asked if r.found and not r.is_folder]
+    folders = sorted({r.qualified for r in asked if r.is_folder})
+    files = sorted({r.qualified for r in asked if r.found and not r.is_folder})
+    # a file that is named and in a folder that is named is listed there; so paths are distinct without comparing rows
+    files = [x for x in files if x.rsplit("/", 1)[0] not in folders or not _listed(x)]
     missing = [(r.path,) for r in asked if not r.found]
     parts = []
     if folders:
@@ -77,8 +101,7 @@ def collect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     for part in parts:
         found = part if found is None else found.unionByName(part)
     found = spark.createDataFrame([], FILES) if found is None else found
-    # the same file, named and found in its folder: content is the same, so any row will do
-    found = found.dropDuplicates(["path"]).select("path", F.lit("ok").alias("status"), "length", "content")
+    found = found.select("path", F.lit("ok").alias("status"), "length", "content")
     gone = spark.createDataFrame(missing, "path string").select("path", F.lit("missing").alias("status"), F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content"))
     return found.unionByName(gone).withColumn("kind", kind(F.col("path")))
 

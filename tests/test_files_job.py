@@ -140,7 +140,7 @@ def test_records(spark, folder, tmp_path):
     one = json.loads(spark.read.json(f"file://{out}/records").where("path like '%a.pdf'").first().record)
     assert len(one) == 8 and one["THONG_TIN_CA_NHAN"]["cccd_cmnd"] is None and sum(map(len, one.values())) == 39
     assert base(sinks.error_rows(documents).collect()).keys() == {"b.PDF", "d.pdf", "e.pdf"}
-    documents.unpersist()
+
 
 
 def test_collisions(spark):
@@ -239,3 +239,94 @@ def test_timer_measures_failures():
 def test_command_line_options():
     with pytest.raises(SystemExit):
         job.main(["x.pdf", "-e", "unknown"])
+
+
+class CountingBackend(FakeBackend):
+    """Notes every page that is recognised and every file that is opened, in files that all workers append to."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def _note(self, name, what):
+        with open(f"{self.folder}/{name}", "a") as f:
+            f.write(f"{what}\n")
+
+    def open(self, content):
+        self._note("opened", content.decode().split("|")[0])
+        return super().open(content)
+
+    def lines(self, image):
+        self._note("recognised", image[0])
+        return super().lines(image)
+
+
+class Counting:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        return CountingBackend(self.folder)
+
+    def __eq__(self, other):
+        return isinstance(other, Counting) and self.folder == other.folder
+
+    def __hash__(self):
+        return hash(self.folder)
+
+
+def test_pages_are_recognised_once(spark, folder, tmp_path_factory):
+    """One recognition a page, and one opening to probe and one for each range of pages."""
+    notes = tmp_path_factory.mktemp("notes")
+    (folder / "long.pdf").write_text("|".join(f"scan:page {i}" for i in range(19)))
+    found = files.collect_files(spark, [str(folder)])
+    texts = base(job.process(spark, [str(folder)], make=Counting(str(notes)))[0].collect())
+    assert texts["long.pdf"].text.count("=== TRANG") == 19 and found.count() == 7
+    recognised = (notes / "recognised").read_text().split("\n")[:-1]
+    assert sorted(recognised) == sorted([f"scan:page {i}" for i in range(19)] + ["scan:Họ tên: Bé/Tuổi: 6", "scan:", "scan:fail", "long enough text here", "boom", "Họ tên: Chi/x"])
+    opened = (notes / "opened").read_text().split("\n")[:-1]
+    assert opened.count("scan:page 0") == 1 + 3  # the probe, and ranges of eight
+
+
+def test_contents_are_not_exchanged(spark, folder):
+    """No exchange of the plan, or of what it reads, carries file contents."""
+    found = files.collect_files(spark, [str(folder), f"{folder}/a.pdf"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and found.count() == 6
+    seen = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            seen.append(node.output().toString())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(decode.document_texts(found, FakeBackend)._jdf.queryExecution().sparkPlan())
+    job.process(spark, [str(folder)], make=FakeBackend)
+    walk(decode.document_texts(found, FakeBackend)._jdf.queryExecution().executedPlan().initialPlan())
+    assert len(seen) >= 2 and not any("content" in x for x in seen)
+
+
+def test_files_for_each_document(spark, folder, tmp_path):
+    """A text file and a JSON file by the documents' names, in a folder or beside them."""
+    out = tmp_path / "out files"
+    job.process(spark, [str(folder)], str(out), FakeBackend, layout="files")
+    assert sorted(x.name for x in out.iterdir()) == sorted(f"{n}_extracted{e}" for n in "abcg" for e in (".txt", "_fields.json"))
+    assert (out / "a_extracted.txt").read_text().startswith("=== TRANG 1 ===\nHọ tên: An")
+    text = (out / "a_extracted_fields.json").read_text()
+    assert json.loads(text)["THONG_TIN_CA_NHAN"]["ho_va_ten"] == "An" and text.startswith('{\n  "') and "Họ" not in text.split("\n")[0]
+    job.process(spark, [f"{folder}/a.pdf"], None, FakeBackend, layout="files")
+    assert (folder / "a_extracted.txt").exists() and (folder / "a_extracted_fields.json").exists()
+    (folder / "a.png").write_text("Họ tên: Em")
+    job.process(spark, [f"{folder}/a.pdf", f"{folder}/a.png"], str(tmp_path / "clash"), FakeBackend, layout="files")
+    assert len(list((tmp_path / "clash").iterdir())) == 4
+
+
+def test_worker_bound(spark):
+    from formloom.operators import pages
+
+    df = spark.createDataFrame([("a", 3), ("b", 20), ("c", 0), ("d", 1)], "path string, pages int")
+    got = {}
+    for r in pages.page_ranges(df, workers=4).collect():
+        got.setdefault(r.path, []).append((r.first, r.n))
+    assert {k: sorted(v) for k, v in got.items()} == {"a": [(0, 1), (1, 1), (2, 1)], "b": [(0, 5), (5, 5), (10, 5), (15, 5)], "d": [(0, 1)]}
+    assert pages.page_ranges(df, at_once=8).where("path = 'b'").count() == 3
