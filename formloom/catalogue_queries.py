@@ -13,7 +13,7 @@ from formloom.functions.text import first_group, pattern, squish, strip
 from formloom.operators import fill, forms, pages, rules
 from formloom.plans import catalog
 from formloom.session import load
-from formloom.sources import decode, files
+from formloom.sources import decode, files, remote
 
 KEY = "c_custkey"
 
@@ -95,13 +95,13 @@ def form_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_record_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each customer and field, without fields whose text form differs between engines."""
-    return rules.long(_flat(spark, sf_dir), [KEY]).where(~F.col("field").isin("cholesterol_toan_phan", "hdl_cholesterol"))
+    """One row for each customer and field."""
+    return rules.long(_flat(spark, sf_dir), [KEY])
 
 
 def _long_sql() -> str:
     one = "SELECT {key}, '{s}' AS section, '{f}' AS field, {i}::INTEGER AS ordinal, CAST({v} AS VARCHAR) AS value FROM c"
-    rows = [one.format(key=KEY, s=f.section, f=f.name, i=i, v=_expected(catalog.flat_name(f))) for i, f in enumerate(catalog.FIELDS) if f.type != "float"]
+    rows = [one.format(key=KEY, s=f.section, f=f.name, i=i, v=_expected(catalog.flat_name(f))) for i, f in enumerate(catalog.FIELDS)]
     return f"WITH c AS (SELECT *, {KEY} AS k FROM customer) " + " UNION ALL ".join(rows)
 
 
@@ -173,8 +173,9 @@ def page_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JSON = """concat('{', '"A_CHI_SO_SINH_LY_CO_BAN":',
-    CASE k % 5 WHEN 0 THEN '3' WHEN 1 THEN '{}' WHEN 2 THEN concat('{"tuoi":"', CAST(k AS STRING), '","x":1}') ELSE concat('{"tuoi":', CAST(k AS STRING), ',"hut_thuoc_la":', CASE WHEN k % 5 = 3 THEN 'null' ELSE 'true' END, '}') END,
-    ',"THONG_TIN_CA_NHAN":{"ho_va_ten":"', c_name, '"}}')"""
+    CASE k % 5 WHEN 0 THEN '3' WHEN 1 THEN '{}' WHEN 2 THEN concat('{"tuoi":"', CAST(k AS STRING), '","x":1}') ELSE concat('{"tuoi":', CAST(k AS STRING), ',"hut_thuoc_la":', CASE WHEN k % 5 = 3 THEN 'null' WHEN k % 10 = 4 THEN 'true' ELSE '"yes"' END, '}') END,
+    CASE WHEN k % 7 = 1 THEN ',"THONG_TIN_CA_NHAN":{"ho_va_ten":"of a section before"}' ELSE '' END,
+    ',"THONG_TIN_CA_NHAN":{', CASE WHEN k % 7 IN (1, 2) THEN '"ho_va_ten":"first",' ELSE '' END, '"ho_va_ten":"', c_name, '"}}')"""
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +183,7 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with missing, null, mistyped and unknown fields, filled."""
+    """Records with missing, null, mistyped, unknown and repeated fields and repeated sections, filled."""
     return fill.filled(_json(spark, sf_dir), "json", [KEY]).select(KEY, F.col("chi_so_sinh_ly__tuoi").alias("tuoi"), F.col("chi_so_sinh_ly__hut_thuoc_la").alias("hut_thuoc_la"), F.col("thong_tin_ca_nhan__ho_va_ten").alias("ho_va_ten"), F.col("thong_tin_ca_nhan__trang_thai_ho_so").alias("trang_thai"), F.col("benh_ly_man_tinh__dot_quy_nao").alias("dot_quy_nao"))
 
 
@@ -260,6 +261,97 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", first_group(F.col("text"), r":\s*(\d+)").alias("number"), F.col("text").rlike(pattern(r":\s*\d")).alias("matches"))
 
 
+def doc_allcaps_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under a line of capitals, which stands first, fourth or sixth (too late) for a third of them each, with a number after it or not."""
+    line = F.concat(F.lit("  TRAN VĂN "), F.element_at(F.array(F.lit("AN"), F.lit("  BA  LÊ"), F.lit("Ơ - BN12")), (F.col("doc_id") % 3 + 1).cast("int")))
+    before = F.element_at(F.array(F.lit(""), F.lit("a\n1\n?\n"), F.lit("a\nb\nc\nd\ne\n")), (F.col("doc_id") % 9 / 3 + 1).cast("int"))
+    marked = load(spark, sf_dir, "documents").select("doc_id", F.concat(before, line, F.lit("\nx\n"), "text").alias("text"))
+    return marked.select("doc_id", rules.head_line_name(F.col("text")).alias("head"))
+
+
+def page_probe_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe at its own threshold, on texts cut to 0 to 20 characters."""
+    cut = _pages(spark, sf_dir).withColumn("text", F.substring(F.col("text"), F.lit(1), ((F.col("path") + F.col("page_num")) % 21).cast("int")))
+    return pages.probe(cut)
+
+
+def page_worker_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of pages by workers: as many as pages or workers, whichever are fewer."""
+    counts = load(spark, sf_dir, "customer").select(F.col(KEY).alias("path"), (F.col(KEY) % 23).cast("int").alias("pages"))
+    return pages.page_ranges(counts, workers=4).select("path", "first", "n")
+
+
+def remote_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of the request for a text with quotes, breaks and letters beyond ASCII."""
+    text = F.concat(F.lit('Họ tên: "'), "c_name", F.lit('"\n\\\t'))
+    body = remote.request_body(text)
+    return load(spark, sf_dir, "customer").select(KEY, F.length(body).cast("long").alias("chars"), F.md5(body.cast("binary")).alias("digest"))
+
+
+_REPLIES = """CASE k % 7 WHEN 0 THEN concat('{"candidates":[{"content":{"parts":[{"text":"{\\\\"THONG_TIN_CA_NHAN\\\\":{\\\\"ho_va_ten\\\\":\\\\"', c_name, '\\\\"}}"}]}}]}')
+    WHEN 1 THEN 'oops' WHEN 2 THEN '{"candidates":[]}' WHEN 3 THEN '{"candidates":[{"content":{"parts":[{"text":""}]}}]}' WHEN 4 THEN '{"candidates":[{"content":{"parts":[{"text":"{x"}]}}]}' WHEN 5 THEN NULL
+    ELSE '{"candidates":[{"content":{"parts":[{"text":"[1]"}]}}]}' END"""
+
+
+def remote_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a service unpacked: good, a status of error, none, empty, not JSON, not connected, JSON that is no record."""
+    k = F.col(KEY)
+    replies = load(spark, sf_dir, "customer").withColumn("k", k).select(KEY, F.when(k % 7 == 1, 500 + k % 4).when(k % 7 != 5, 200).cast("int").alias("http_status"), F.expr(_REPLIES).alias("body"), F.when(k % 7 == 5, "Timeout").alias("error"))
+    found = remote.unpacked(replies, [KEY])
+    return found.select(KEY, "status", "error", F.col("thong_tin_ca_nhan__ho_va_ten").alias("ho_va_ten"), F.col("phan_loai_benh_nen__has_underlying_disease").alias("has_underlying_disease"), F.col("chi_so_sinh_ly__tuoi").alias("tuoi"))
+
+
+def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record as JSON with every key, nulls included."""
+    from formloom import sinks
+
+    text = sinks.record_json()
+    return _flat(spark, sf_dir).select(KEY, F.length(text).cast("long").alias("chars"), F.md5(text.cast("binary")).alias("digest"))
+
+
+def output_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a service answers with an error: documents without text or that failed."""
+    from formloom import sinks
+
+    k = F.col("doc_id")
+    docs = load(spark, sf_dir, "documents").select(k.cast("string").alias("path"), F.when(k % 5 != 0, F.col("text")).otherwise("").alias("text"), F.when(k % 3 == 0, "error").otherwise("ok").alias("status"), F.when(k % 6 == 0, "no luck").alias("error"))
+    return sinks.error_rows(docs)
+
+
+_WORDS = [w for words in rules.DISEASES.values() for w in words]
+
+
+def form_diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that sets a disease, in turn, in lower or upper case, in a diagnosis on the label's line or the next."""
+    k = F.col(KEY)
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), (k % len(_WORDS) + 1).cast("int"))
+    word = F.when(k % 2 == 0, word).otherwise(F.upper(word))
+    text = F.concat(F.lit("Chẩn đoán:"), F.when(k % 3 == 0, "\n").otherwise(" "), F.lit("theo dõi "), word, F.lit(" nhẹ\nTuổi: 5"))
+    flat = rules.extract(load(spark, sf_dir, "customer").select(KEY, text.alias("text")), "text")
+    return flat.select(KEY, F.col("phan_loai_benh_nen__has_underlying_disease").alias("has_underlying_disease"), *(F.col(f"benh_ly_man_tinh__{f}").alias(f) for f in rules.DISEASES if f))
+
+
+_LABELS = {
+    "ho_va_ten": (["Họ và tên: ", "Họ tên: ", "HỌ TÊN:"], "thong_tin_ca_nhan__ho_va_ten"),
+    "gioi_tinh": (["GT: ", "Giới tính: ", "gt:"], "thong_tin_ca_nhan__gioi_tinh"),
+    "so_dien_thoai": (["Số điện thoại: ", "SĐT: ", "Điện thoại:"], "lien_he_dia_chi__so_dien_thoai"),
+    "chieu_cao": (["Chiều cao (cm): ", "Cao: ", "Cao (cm):"], "chi_so_tien_su__chieu_cao"),
+    "can_nang": (["Cân nặng (kg): ", "Nặng: ", "Cân nặng:"], "chi_so_tien_su__can_nang"),
+    "sbp": (["Huyết áp tâm thu: ", "SBP: ", "sbp:"], "chi_so_sinh_ly__huyet_ap_tam_thu_sbp"),
+    "ma_nhom_cham_soc": (["Mã nhóm chăm sóc: ", "Care Group Code: ", "care group code:"], "nhom_cham_soc__ma_nhom_cham_soc"),
+    "tinh_thanh_pho": (["Địa chỉ: 1 Lê Lợi - TP ", "Địa chỉ: 1 Lê Lợi - Tỉnh ", "Địa chỉ:\n1 Lê Lợi - tỉnh "], "lien_he_dia_chi__tinh_thanh_pho"),
+}
+_VALUES = {"ho_va_ten": "c_name", "gioi_tinh": "CASE WHEN k % 2 = 0 THEN 'Nam' ELSE 'Khác' END", "so_dien_thoai": "'09' || lpad(CAST(k AS VARCHAR(9)), 8, '0')", "chieu_cao": "140 + k % 50", "can_nang": "40 + k % 60", "sbp": "100 + k % 80", "ma_nhom_cham_soc": "'G' || k", "tinh_thanh_pho": "'Cao ' || c_mktsegment"}
+
+
+def form_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every wording of the labels that have several, in turn, with and without a space and in other cases."""
+    customers = load(spark, sf_dir, "customer").withColumn("k", F.col(KEY))
+    lines = [F.concat(F.element_at(F.array(*map(F.lit, labels)), (F.col("k") % 3 + 1).cast("int")), F.expr(_VALUES[name]).cast("string")) for name, (labels, _) in _LABELS.items()]
+    flat = rules.extract(customers.select(KEY, F.concat_ws("\n", *lines).alias("text")), "text")
+    return flat.select(KEY, *(F.col(flat_name).alias(name) for name, (_, flat_name) in _LABELS.items()))
+
+
 def service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formloom.job import health
 
@@ -271,6 +363,7 @@ QUERIES = {name: _fields(**columns) for name, columns in _BY_RULE.items()} | {
     for f in (
         form_name_fallback, form_record_long, form_record_nested, form_birth_dates, doc_emails, doc_allcaps_head, doc_squish, doc_lines_topk, page_digital_ratio, page_assemble, page_map_roundtrip, route_documents,
         route_single_pages, ocr_lines, page_seconds, fill_defaults, fill_rows, props_fill, catalog_types, file_kind, output_names, dataset_progress, missing_paths, record_quality, any_underlying, scaled_zoom, label_lookup, service_health,
+        doc_allcaps_marked, page_probe_default, page_worker_ranges, remote_request, remote_replies, record_json, output_errors, form_diseases, form_labels,
     )
 }
 
@@ -279,6 +372,39 @@ _EMAIL = rules.EMAIL
 _CAPS = rules.NAME_LINE.replace(r"\s", r"\s\p{Z}").replace(r"(?:\s\p{Z}+-\s\p{Z}+BN\d+)", r"(?:[\s\p{Z}]+-[\s\p{Z}]+BN\d+)")
 _PROBE = "SELECT conv_id AS path, count(*) AS pages, count(*) FILTER (WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 200) AS digital_pages FROM conversations GROUP BY 1"
 
+
+def _request_sql() -> str:
+    """The request as text: JSON escapes what stands before and after a name."""
+    import json
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    before, after = (json.dumps(x, ensure_ascii=False)[1:-1] for x in (remote.PROMPT + 'Họ tên: "', '"\n\\\t'))
+    schema = json.dumps(catalog.request_schema(catalog.as_mapping()), ensure_ascii=False)
+    return " || ".join((quote('{"contents":[{"parts":[{"text":"' + before), "c_name", quote(after + '"}]}],"generationConfig":{"responseMimeType":"application/json","responseSchema":' + schema + "}}")))
+
+
+def _record_sql() -> str:
+    """The record's JSON, member by member."""
+
+    def member(f: catalog.FieldSpec) -> str:
+        value = _expected(catalog.flat_name(f))
+        text = f"'\"' || {value} || '\"'" if f.type == "string" else f"CAST({value} AS VARCHAR)"
+        return f"'\"{f.name}\":' || coalesce({text}, 'null')"
+
+    sections = ["'\"" + s + "\":{' || " + " || ',' || ".join(member(f) for f in catalog.of_section(s)) + " || '}'" for s in catalog.SECTIONS]
+    return "'{' || " + " || ',' || ".join(sections) + " || '}'"
+
+
+def _diseases_sql() -> str:
+    """Which disease a customer's word sets, by its place in the list of words."""
+    at, columns = 0, []
+    for field, words in rules.DISEASES.items():
+        if field:
+            columns.append(f"c_custkey % {len(_WORDS)} BETWEEN {at} AND {at + len(words) - 1} AS {field}")
+        at += len(words)
+    return f"SELECT {KEY}, TRUE AS has_underlying_disease, {', '.join(columns)} FROM customer"
+
+
 ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} | {
     "form_name_fallback": f"SELECT {KEY}, CASE WHEN {KEY} % 2 = 1 THEN 'TRAN VAN BINH' END AS ho_va_ten FROM customer",
     "form_record_long": _long_sql(),
@@ -303,7 +429,7 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
     "page_seconds": "SELECT count(*) * 0.5::DOUBLE AS seconds, count(*) AS pages, 0.5::DOUBLE AS per_page, 3.0::DOUBLE AS six_pages FROM conversations",
     "fill_defaults": """
         SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) THEN NULL ELSE c_custkey END AS tuoi,
-          CASE c_custkey % 5 WHEN 3 THEN NULL WHEN 4 THEN TRUE ELSE FALSE END AS hut_thuoc_la,
+          CASE WHEN c_custkey % 5 = 3 THEN NULL WHEN c_custkey % 10 = 4 THEN TRUE WHEN c_custkey % 10 = 9 THEN NULL ELSE FALSE END AS hut_thuoc_la,
           c_name AS ho_va_ten, NULL::VARCHAR AS trang_thai, FALSE AS dot_quy_nao FROM customer""",
     "fill_rows": "SELECT * FROM (VALUES " + ", ".join(f"('{f.section}', '{f.name}', {1 if f.type == 'boolean' else 2 if (f.section, f.name) == ('THONG_TIN_CA_NHAN', 'ho_va_ten') else 0})" for f in catalog.FIELDS) + ") v(section, field, how), (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 2 = 0) AS even FROM customer)",
     "props_fill": "SELECT count(*) AS n, 0::BIGINT AS n_tuoi, count(*) AS n_false FROM events",
@@ -321,5 +447,19 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
     "scaled_zoom": f"SELECT {KEY}, (72 + {KEY} % 150)::DOUBLE / 72 AS zoom FROM customer",
     "label_lookup": f"SELECT doc_id, CASE WHEN regexp_matches(text, ':{_WHITE}*\\d') THEN regexp_extract(text, ':{_WHITE}*(\\d+)', 1) END AS number, regexp_matches(text, ':{_WHITE}*\\d') AS matches FROM documents",
     "service_health": "SELECT 'healthy' AS status",
+    "doc_allcaps_marked": "SELECT doc_id, CASE WHEN doc_id % 9 < 6 THEN ['TRAN VĂN AN', 'TRAN VĂN BA LÊ', 'TRAN VĂN Ơ'][doc_id % 3 + 1] END AS head FROM documents",
+    "page_probe_default": "SELECT *, digital_pages / pages::DOUBLE AS share, 5 * digital_pages > 4 * pages AS digital FROM (SELECT conv_id AS path, count(*) AS pages, count(*) FILTER (WHERE length(regexp_replace(substr(text, 1, ((conv_id + turn + 1) % 21)::INTEGER), '^\\s+|\\s+$', '', 'g')) > 10) AS digital_pages FROM conversations GROUP BY 1)",
+    "page_worker_ranges": """
+        SELECT path, unnest(generate_series(0, pages - 1, n))::INTEGER AS first, n
+        FROM (SELECT c_custkey AS path, (c_custkey % 23)::INTEGER AS pages, ceil((c_custkey % 23) / least(c_custkey % 23, 4)::DOUBLE)::INTEGER AS n FROM customer WHERE c_custkey % 23 > 0)""",
+    "remote_request": "SELECT c_custkey, length(b)::BIGINT AS chars, md5(b) AS digest FROM (SELECT c_custkey, " + _request_sql() + " AS b FROM customer)",
+    "remote_replies": f"""
+        SELECT c_custkey, CASE WHEN c_custkey % 7 IN (0, 6) THEN 'ok' ELSE 'error' END AS status,
+          CASE c_custkey % 7 WHEN 1 THEN 'Lỗi gọi API (Status ' || (500 + c_custkey % 4) || ')' WHEN 2 THEN '{remote.EMPTY_REPLY}' WHEN 3 THEN '{remote.FAILED}' WHEN 4 THEN '{remote.FAILED}' WHEN 5 THEN '{remote.FAILED}: Timeout' END AS error,
+          CASE WHEN c_custkey % 7 = 0 THEN c_name END AS ho_va_ten, FALSE AS has_underlying_disease, NULL::BIGINT AS tuoi FROM customer""",
+    "record_json": "SELECT c_custkey, length(j)::BIGINT AS chars, md5(j) AS digest FROM (SELECT c_custkey, " + _record_sql() + " AS j FROM (SELECT *, c_custkey AS k FROM customer))",
+    "output_errors": "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN doc_id % 6 = 0 THEN 'no luck' ELSE 'no text' END AS error FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR text = ''",
+    "form_diseases": _diseases_sql(),
+    "form_labels": "SELECT c_custkey, " + ", ".join(f"CAST({_VALUES[n]} AS {'BIGINT' if n in ('chieu_cao', 'can_nang', 'sbp') else 'VARCHAR'}) AS {n}" for n in _LABELS) + " FROM (SELECT *, c_custkey AS k FROM customer)",
 }
 ORACLES["fill_rows"] = ORACLES["fill_rows"].replace("SELECT *", "SELECT section, field, n, CASE how WHEN 1 THEN n WHEN 2 THEN even ELSE 0 END AS n_set", 1)

@@ -39,3 +39,14 @@ def test_library_does_not_import_the_subpackage():
 
     code = "import sys, formloom.job, formloom.catalogue_queries, formloom.streaming.landing; assert not any(m.startswith('formloom.llm') for m in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def test_core_without_what_the_subpackage_needs():
+    """Whatever of the subpackage can't be imported: the entry and the other queries stay."""
+    import subprocess
+    import sys
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for gone in ("public_tokenizers", "formloom.llm", "corpus_pipeline"):
+        code = f"import sys; sys.modules['{gone}'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) == {len(c.QUERIES)}, len(q); assert set(e.oracle_sql()) <= set(q) and callable(e.entry)"
+        assert subprocess.run([sys.executable, "-c", code], cwd=home).returncode == 0
