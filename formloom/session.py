@@ -6,6 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,12 +66,35 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub("^file:/(?!/)", "file:///", store.makeQualified(place).toUri().toString())
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+_SCOPES: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the tables that :func:`written` made within; what outlives it must not read them."""
+    made: list = []
+    mark = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(mark)
+        for store, place in made:
+            store.delete(place, True)
+
+
+def written(df: DataFrame, name: str = "table", outer: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
-    and what was not deterministic (partition numbers) is now fixed.
+    and what was not deterministic (partition numbers) is now fixed. The table lasts as long as the
+    :func:`scratch` around it, or with ``outer`` as the one around that; without one, until the application ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    path = f"{folder}/{name}"
+    scopes = _SCOPES.get()[: -1 if outer else None]
+    if scopes:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        scopes[-1].append((place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,3 +50,20 @@ def test_set_batch_size_is_left_alone(spark):
         assert spark.conf.get(setting) == session.ARROW_BATCH
     finally:
         spark.conf.set(setting, before)
+
+
+def test_scratch_tables_last_as_long_as_their_scope(spark):
+    import os
+
+    from formloom.session import scratch, written
+
+    there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+    free = written(spark.range(3))
+    with scratch():
+        first = written(spark.range(3))
+        with scratch():
+            inner, kept = written(spark.range(3)), written(spark.range(4), outer=True)
+            names = [x.inputFiles()[0] for x in (inner, first)]
+        assert not os.path.exists(names[0].removeprefix("file://")) and there(kept) and there(first) and kept.count() == 4
+        final = written(spark.range(5), outer=True)
+    assert not os.path.exists(names[1].removeprefix("file://")) and there(final) and there(free) and free.count() == 3
