@@ -122,36 +122,24 @@ class PieceEncoder:
         """The ids of each text; what isn't known of all of them goes through the library together."""
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
-        known, cut, new = self.known, [], set()
-        for text in texts:
-            if _UNCHECKED.search(text):
-                cut.append(None)
-                continue
-            pieces = self.pattern.findall(text.lower() if self.words else text)
-            found = list(map(known.get, pieces))
-            if None in found:
-                new.update([x for x, ids in zip(pieces, found, strict=True) if ids is None])
-                cut.append((pieces, found))
-            else:
-                cut.append(b"".join(found))
-        if new:
+        findall, known = self.pattern.findall, self.known
+        cut = [None if _UNCHECKED.search(x) else findall(x.lower() if self.words else x) for x in texts]
+        if new := set().union(*filter(None, cut)).difference(known):
             again = {x: ids for x in new if (ids := self.older.get(x))}
             learnt = again | self._learn([x for x in new if x not in again])
             kept = [x for x in learnt if len(x) <= 64]
             # copies side by side: the strings at hand would keep whole blocks of memory from being used again
             known.update(zip("\0".join(kept).split("\0") if kept else (), map(learnt.__getitem__, kept), strict=True))
-        out = []
-        for text, own in zip(texts, cut, strict=True):
-            if own is None:
-                out.append(self._library([text])[0])
-            elif isinstance(own, bytes):
-                out.append(own)
-            else:
-                out.append(b"".join([learnt[x] if ids is None else ids for x, ids in zip(*own, strict=True)]))
+            long = {x: ids for x, ids in learnt.items() if len(x) > 64}
+            known.update(long)
+        out = [self._library([x])[0] if own is None else b"".join(map(known.__getitem__, own)) for x, own in zip(texts, cut, strict=True)]
+        if new:
+            for x in long:
+                del known[x]
         return out
 
 
-def portions(values, most: int = 4 << 20):
+def portions(values, most: int = 1 << 20):
     """Lists of values of about ``most`` bytes together, and the place of the first."""
     held, size, at = [], 0, 0
     for i, value in enumerate(values):
