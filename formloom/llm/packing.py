@@ -40,19 +40,23 @@ from formloom.session import load, written
 
 #: Steps that lengths are rounded up to, and pieces in a pattern.
 GRID, DEPTH = 256, 3
+#: Pieces of text whose ids a worker keeps.
+KNOWN = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, seq long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, words: bool, end_id: int, capacity: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, words: bool, end_id: int, capacity: int, text: str = "text", doc_id: str = "doc_id", known: int = KNOWN) -> DataFrame:
     """Tokenizes every document and cuts it into pieces of at most ``capacity`` ids.
 
+    ``known``: pieces of text whose ids a worker keeps.
+
     ``task`` and ``seq``: which task cut the piece, and its number there among the pieces of this length.
     The result must be written before it is used twice, as tasks may be cut otherwise when run again.
     """
 
     def run(batches):
-        encoder, end, most = piece_encoder(tokenizer, words), struct.pack("<I", end_id), 4 * capacity
+        encoder, end, most = piece_encoder(tokenizer, words, known), struct.pack("<I", end_id), 4 * capacity
         task, counts = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows, keys, values = [], batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))
@@ -254,9 +258,9 @@ def slots(plan: Plan) -> dict[str, np.ndarray]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, words: bool, end_id: int, capacity: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, words: bool, end_id: int, capacity: int = 4096, text: str = "text", doc_id: str = "doc_id", known: int = KNOWN) -> DataFrame:
     """Packs every document; one row for each piece with its sequence and its place there."""
-    pieces = written(cut_pieces(docs, tokenizer, words, end_id, capacity, text, doc_id), "pieces")
+    pieces = written(cut_pieces(docs, tokenizer, words, end_id, capacity, text, doc_id, known), "pieces")
     counts = written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     spots = slots(make_plan(histogram, capacity))
