@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from formloom.llm.arrow import fresh
-from formloom.session import load, written
+from formloom.session import load, scratch, written
 
 #: Runs that meet in one exchange: this many binomial rounds at once.
 ROUNDS = 3
@@ -202,13 +202,13 @@ def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep
 def keep_rows(df: DataFrame, stay: DataFrame, keys: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that ``stay`` (doc_id, key) names, each once, all columns as they were.
 
-    ``keys``: doc_id and key of every row of ``df``, written. They tell whether rows repeat identifier and text; if
+    ``keys``: doc_id and key of every row of ``df``, written; the result doesn't read them. They tell whether rows repeat identifier and text; if
     none do, a semi-join is all. Only repeated rows are thinned to one, by a sum that each task starts before the
     exchange; those that are a thousandth of all rows or more, a thousand at most, are found by a broadcast join.
     """
     at = "__key__"
     fresh(df, at)
-    again = written(keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    again = written(keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "again", outer=True)
     rows = df.withColumn(at, digest_key(F.col(text).cast("binary")))
 
     def joined(left: DataFrame, right: DataFrame, how: str, small: bool = False) -> DataFrame:
@@ -232,9 +232,10 @@ def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Only identifiers and keys go through the merge; the rows that stay are found by both.
     """
     keys = df.select(F.col(doc_id).cast("long").alias("doc_id"), digest_key(F.col(text).cast("binary")).alias("key"), F.monotonically_increasing_id().alias("row"))
-    keys = written(keys, "keys")
-    stay = written(merge_runs(keys, keep).select(F.col("keep_id").alias("doc_id"), "key"), "stay")
-    return keep_rows(df, stay, keys, text, doc_id)
+    with scratch():
+        keys = written(keys, "keys")
+        stay = written(merge_runs(keys, keep).select(F.col("keep_id").alias("doc_id"), "key"), "stay", outer=True)
+        return keep_rows(df, stay, keys, text, doc_id)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

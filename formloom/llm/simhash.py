@@ -33,7 +33,7 @@ from pyspark.sql.functions import arrow_udf
 
 from formloom.llm.components import components
 from formloom.llm.exact import digest_key, joined_by_group, keep_rows
-from formloom.session import load, written
+from formloom.session import load, scratch, written
 
 #: Distinct fingerprints that may share a variant and still be compared pair by pair.
 HOT = 512
@@ -145,10 +145,11 @@ def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``df`` with one row of each component, that of the smallest ``doc_id``; all columns as they were."""
     raw = F.col(text).cast("binary")
     prints = df.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("doc_id"), digest_key(raw).alias("key")).alias("row"), fingerprint_udf(words, seed)(raw).alias("fp"))
-    prints = written(prints, "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("row").alias("row")).join(fingerprint_components(prints), "fp")
-    stay = written(classes.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.key"), "stay")
-    return keep_rows(df, stay, prints.select("row.doc_id", "row.key"), text, doc_id)
+    with scratch():
+        prints = written(prints, "fingerprints")
+        classes = prints.groupBy("fp").agg(F.min("row").alias("row")).join(fingerprint_components(prints), "fp")
+        stay = written(classes.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.key"), "stay", outer=True)
+        return keep_rows(df, stay, prints.select("row.doc_id", "row.key"), text, doc_id)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql.functions import arrow_udf
 
 from formloom.llm.arrow import fresh
 from formloom.llm.tokens import text_of
-from formloom.session import load, written
+from formloom.session import load, scratch, written
 
 #: Labelled documents of each class that the models are fitted on, at most.
 PER_CLASS = 6_000
@@ -277,6 +277,11 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, text: str, doc_i
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vocabulary: int = VOCABULARY, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
     """Learns the telling words and the chain from a bounded sample of labelled documents."""
+    with scratch():
+        return _fit(docs, labels, per_class, vocabulary, text, doc_id)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, per_class: int, vocabulary: int, text: str, doc_id: str) -> ToxicityModel:
     sample = written(_sample(docs, labels, per_class, text, doc_id).withColumn("signature", _signatures("text")), "sample")
     one = sample.groupBy("signature", "toxic").agg(F.min("id").alias("id"))
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int")
