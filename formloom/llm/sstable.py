@@ -282,6 +282,9 @@ def write_table(df: DataFrame, path: str, tokenizer: str, end_id: int | None, wo
         if writer:
             yield done()
 
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if n > 1 and rows.rdd.getNumPartitions() < cores:  # a table in few parts is small: its texts are dealt out, so that all cores encode
+        rows = rows.repartition(cores)
     encoded = rows.select(*_sorted_by(), "v").mapInArrow(encode, "shard int, has int, k long, h long, ids binary")
     dealt = encoded.repartitionById(n, "shard").sortWithinPartitions("shard", "has", "k", "h")
     dealt.select("shard", "has", "k", "ids").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
