@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formloom.llm import ann, bpe, chat, exact, html, packing, quality, simhash, sstable, toxicity
+from formloom.llm import ann, bpe, chat, exact, fim, html, packing, quality, simhash, sstable, toxicity
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_html_main_text": html.op8_html_main_text,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_token_shards": sstable.op10_token_shards,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op7_chat_format": chat.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }

@@ -1,0 +1,83 @@
+"""Fill-in-middle (13) against a plain version, its SQL, and back."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from formloom.llm import fim
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(doc_id, text):
+    text = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(units)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if h[3] % 100 < 20:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def texts():
+    rng = random.Random(13)
+    made = [None, "", "a", " ", "ab\n\ncd", "é𝒳x y×", "a\0b", "x <P> y", "a <M", "<<S>", "P> <S", "wordsonly" * 300_000, "1 2, é" * 200_000]
+    return made + ["".join(rng.choice("ab é\n<>PSM19") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+
+
+def test_against_plain(spark):
+    rows = [(None if i == 20 else i, t, i) for i, t in enumerate(texts())] + [(5, "x é y", -1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, i int").withColumn("c0", F.lit(1)).withColumn("units.x", F.lit(2))
+    out = fim.fill_in_middle(df, columns=("n", "form", "prefix_chars", "middle_chars", "output", "restored", "output_sha256", "restored_sha256"))
+    assert out.columns[:5] == ["doc_id", "text", "i", "c0", "units.x"]
+    found = out.withColumn("back", fim.restored(F.col("output"), F.col("form"))).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        n, form, p, m, output = plain(r.doc_id, r.text)
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == (n, form, p, m, output)
+        assert r.restored == r.back == (r.text or "")
+        assert r.output_sha256 == hashlib.sha256(output.encode()).hexdigest()
+        assert r.restored_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert {r.form for r in found} == {"plain", "psm", "spm"}
+
+
+def test_invalid_bytes_and_other_types(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ab \xff\xfe cd"))], "doc_id int, text binary")
+    out = fim.fill_in_middle(df, transformed=100).first()
+    assert out.output.replace("<P>", "").count("�") == 2 and out.form != "plain"
+
+
+def test_empty_table_and_clashes(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert fim.fill_in_middle(df).collect() == []
+    with pytest.raises(ValueError):
+        fim.fill_in_middle(df.withColumn("Form", F.lit(1)))
+    for markers in (("a", "a", "b"), ("<P", "P>", "<M>"), ("aba", "<S>", "<M>"), ("", "<S>", "<M>"), ("xSx", "S", "<M>")):
+        with pytest.raises(ValueError):
+            fim.fill_in_middle(df, markers=markers)
+
+
+def test_other_markers_and_shares(spark):
+    df = spark.createDataFrame([(i, f"some text, number {i}.") for i in range(50)], "doc_id long, text string")
+    out = fim.fill_in_middle(df, columns=("form", "output", "restored"), markers=("[p'|]", "[s'|]", "[m'|]"), transformed=100, suffix_first=100)
+    rows = out.withColumn("back", fim.restored(F.col("output"), F.col("form"), ("[p'|]", "[s'|]", "[m'|]"))).collect()
+    assert all(r.form == "spm" and r.output.startswith("[s'|]") and r.restored == r.back == r.text for r in rows)
+
+
+def test_query_against_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rel = db.execute(fim.OP13_SQL)
+    names, rows = [d[0] for d in rel.description], rel.fetchall()
+    df = fim.op13_fill_in_middle(spark, SF)
+    assert df.columns == names and sorted(map(tuple, df.collect())) == sorted(rows)
+    assert "Exchange" not in df._jdf.queryExecution().toString()
