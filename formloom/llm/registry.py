@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formloom.llm import ann, bpe, chat, exact, fim, html, packing, quality, simhash, spelling, sstable, toxicity
+from formloom.llm import ann, bpe, chat, exact, fim, html, language, packing, quality, simhash, spelling, sstable, toxicity
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_main_text": html.op8_html_main_text,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_token_shards": sstable.op10_token_shards,
+    "op11_language_id": language.op11_language_id,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
