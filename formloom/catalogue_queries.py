@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formloom import record_queries
 from formloom.functions.text import first_group, pattern, squish, strip
 from formloom.operators import fill, forms, pages, rules
 from formloom.plans import catalog
@@ -121,7 +122,8 @@ def doc_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_allcaps_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", rules.head_line_name(F.col("text")).alias("head")).where(F.col("head").isNotNull())
+    """The first line of capitals among the first five of each document, punctuation aside."""
+    return load(spark, sf_dir, "documents").select("doc_id", rules.head_line_name(F.translate("text", "!.,", "")).alias("head")).where(F.col("head").isNotNull())
 
 
 def doc_squish(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +169,16 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds a page and for six pages, of page counts and made-up seconds."""
-    runs = pages.probe(_pages(spark, sf_dir)).select("pages", (F.col("pages") * 0.5).alias("seconds"))
-    return pages.seconds_per_page(runs)
+    """Seconds a page and for six pages by the whole time that pages took: each event is a page, and its value the seconds."""
+    events = load(spark, sf_dir, "events").select("user_id", F.round(F.col("value") * 100).cast("long").alias("hundredths"))
+    runs = events.groupBy("user_id").agg(F.count("*").cast("int").alias("pages"), (F.sum("hundredths") / 100).alias("seconds"))
+    return pages.seconds_per_page(runs.select("pages", F.round("seconds").alias("seconds")))
 
 
 _JSON = """concat('{', '"A_CHI_SO_SINH_LY_CO_BAN":',
-    CASE k % 5 WHEN 0 THEN '3' WHEN 1 THEN '{}' WHEN 2 THEN concat('{"tuoi":"', CAST(k AS STRING), '","x":1}') ELSE concat('{"tuoi":', CAST(k AS STRING), ',"hut_thuoc_la":', CASE WHEN k % 5 = 3 THEN 'null' WHEN k % 10 = 4 THEN 'true' ELSE '"yes"' END, '}') END,
+    CASE k % 5 WHEN 0 THEN '3' WHEN 1 THEN '{}' WHEN 2 THEN concat('{"tuoi":"', CAST(k AS STRING), '","x":NaN}') ELSE concat('{"tuoi":', CAST(k AS STRING), ',"hut_thuoc_la":', CASE WHEN k % 5 = 3 THEN 'null' WHEN k % 10 = 4 THEN 'true' ELSE '"yes"' END, '}') END,
     CASE WHEN k % 7 = 1 THEN ',"THONG_TIN_CA_NHAN":{"ho_va_ten":"of a section before"}' ELSE '' END,
-    ',"THONG_TIN_CA_NHAN":{', CASE WHEN k % 7 IN (1, 2) THEN '"ho_va_ten":"first",' ELSE '' END, '"ho_va_ten":"', c_name, '"}}')"""
+    ',"THONG_TIN_CA_NHAN":{', CASE WHEN k % 7 IN (1, 2) THEN '"ho_va_ten":"first",' ELSE '' END, '"ho_va_ten":"', c_name, '"}}', CASE k % 11 WHEN 5 THEN ' zz' WHEN 6 THEN ' \\n' ELSE '' END)"""
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +186,7 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with missing, null, mistyped, unknown and repeated fields and repeated sections, filled."""
+    """Records with missing, null, mistyped, unknown and repeated fields and repeated sections, and texts that only Python or only others take for JSON, filled."""
     return fill.filled(_json(spark, sf_dir), "json", [KEY]).select(KEY, F.col("chi_so_sinh_ly__tuoi").alias("tuoi"), F.col("chi_so_sinh_ly__hut_thuoc_la").alias("hut_thuoc_la"), F.col("thong_tin_ca_nhan__ho_va_ten").alias("ho_va_ten"), F.col("thong_tin_ca_nhan__trang_thai_ho_so").alias("trang_thai"), F.col("benh_ly_man_tinh__dot_quy_nao").alias("dot_quy_nao"))
 
 
@@ -195,15 +198,19 @@ def fill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def props_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON that isn't a record at all: every field gets its default."""
-    flat = fill.filled(load(spark, sf_dir, "events").select("event_id", "props"), "props", ["event_id"])
-    return flat.agg(F.count("*").alias("n"), F.count("chi_so_sinh_ly__tuoi").alias("n_tuoi"), F.count_if(~F.col("chi_so_sinh_ly__hut_thuoc_la")).alias("n_false"))
+    """Properties of events as a section of the record, where some have a field of the catalogue: counts by type of event."""
+    section = F.concat(F.lit('{"A_CHI_SO_SINH_LY_CO_BAN":'), F.when(F.col("value") > 20, F.replace("props", F.lit('"k"'), F.lit('"tuoi"'))).otherwise(F.col("props")), F.lit("}"))
+    flat = fill.filled(load(spark, sf_dir, "events").select("event_type", section.alias("record")), "record", ["event_type"])
+    age = F.col("chi_so_sinh_ly__tuoi")
+    return flat.groupBy("event_type").agg(F.count("*").alias("n"), F.count(age).alias("n_tuoi"), F.sum(age).alias("sum_tuoi"), F.count_if(~F.col("chi_so_sinh_ly__hut_thuoc_la")).alias("n_false"))
 
 
 def catalog_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields with the type that a request names, by a lookup with a default."""
+    """The type that a request names for what a catalogue says, by a lookup with a default; here segments and types of parts stand in it, too."""
     lookup = F.create_map(*(F.lit(x) for pair in catalog.REQUEST_TYPES.items() for x in pair))
-    return catalog.catalog_table(spark).select("section", "field", "ordinal", F.coalesce(F.element_at(lookup, F.lower("type")), F.lit("STRING")).alias("request_type"))
+    names = F.array(*map(F.lit, ("Integer", "FLOAT", "string", "boolean", "number", "odd")), F.col("c_mktsegment"), F.lit(None).cast("string"))
+    said = load(spark, sf_dir, "customer").select(KEY, F.element_at(names, (F.col(KEY) % 8 + 1).cast("int")).alias("said"))
+    return said.select(KEY, "said", F.coalesce(F.element_at(lookup, F.lower("said")), F.lit("STRING")).alias("request_type"))
 
 
 _PATHS = "concat('d/', CAST(c_custkey AS STRING), element_at(array('.pdf', '.PDF', '.Png', '.TIFF', '.tif', '.jpeg', '', '.tar.gz'), CAST(c_custkey % 8 + 1 AS INT)))"
@@ -288,15 +295,18 @@ def remote_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(KEY, F.length(body).cast("long").alias("chars"), F.md5(body.cast("binary")).alias("digest"))
 
 
-_REPLIES = """CASE k % 7 WHEN 0 THEN concat('{"candidates":[{"content":{"parts":[{"text":"{\\\\"THONG_TIN_CA_NHAN\\\\":{\\\\"ho_va_ten\\\\":\\\\"', c_name, '\\\\"}}"}]}}]}')
+_REPLIES = """CASE k % 10 WHEN 0 THEN concat('{"candidates":[{"content":{"parts":[{"text":"{\\\\"THONG_TIN_CA_NHAN\\\\":{\\\\"ho_va_ten\\\\":\\\\"', c_name, '\\\\"}}"}]}}]}')
     WHEN 1 THEN 'oops' WHEN 2 THEN '{"candidates":[]}' WHEN 3 THEN '{"candidates":[{"content":{"parts":[{"text":""}]}}]}' WHEN 4 THEN '{"candidates":[{"content":{"parts":[{"text":"{x"}]}}]}' WHEN 5 THEN NULL
+    WHEN 6 THEN concat('{"candidates":0,"candidates":[{"content":{"parts":[{"text":"{\\\\"THONG_TIN_CA_NHAN\\\\":3,\\\\"THONG_TIN_CA_NHAN\\\\":{\\\\"ho_va_ten\\\\":\\\\"x\\\\",\\\\"ho_va_ten\\\\":\\\\"', c_name, '\\\\"}}"}]}}]}')
+    WHEN 7 THEN concat('{"candidates":[{"content":{"parts":[{"text":"{\\\\"THONG_TIN_CA_NHAN\\\\":{\\\\"ho_va_ten\\\\":\\\\"', c_name, '\\\\"}} zz"}]}}]}')
+    WHEN 8 THEN concat('{"candidates":[{"content":{"parts":[{"text":"{\\\\"A_CHI_SO_SINH_LY_CO_BAN\\\\":{\\\\"cholesterol_toan_phan\\\\":NaN,\\\\"tuoi\\\\":', CAST(k AS STRING), '}}"}]}}]}')
     ELSE '{"candidates":[{"content":{"parts":[{"text":"[1]"}]}}]}' END"""
 
 
 def remote_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of a service unpacked: good, a status of error, none, empty, not JSON, not connected, JSON that is no record."""
+    """Replies of a service unpacked: good, a status of error, none, empty, not JSON, not connected, repeated keys, text after the JSON, NaN, JSON that is no record."""
     k = F.col(KEY)
-    replies = load(spark, sf_dir, "customer").withColumn("k", k).select(KEY, F.when(k % 7 == 1, 500 + k % 4).when(k % 7 != 5, 200).cast("int").alias("http_status"), F.expr(_REPLIES).alias("body"), F.when(k % 7 == 5, "Timeout").alias("error"))
+    replies = load(spark, sf_dir, "customer").withColumn("k", k).select(KEY, F.when(k % 10 == 1, 500 + k % 4).when(k % 10 != 5, 200).cast("int").alias("http_status"), F.expr(_REPLIES).alias("body"), F.when(k % 10 == 5, "Timeout").alias("error"))
     found = remote.unpacked(replies, [KEY])
     return found.select(KEY, "status", "error", F.col("thong_tin_ca_nhan__ho_va_ten").alias("ho_va_ten"), F.col("phan_loai_benh_nen__has_underlying_disease").alias("has_underlying_disease"), F.col("chi_so_sinh_ly__tuoi").alias("tuoi"))
 
@@ -353,9 +363,11 @@ def form_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each source of documents: healthy if all of its documents have a text, with what a service answers."""
     from formloom.job import health
 
-    return health(spark)
+    found = load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.length("text") > 0).alias("with_text"))
+    return found.join(F.broadcast(health(spark)), F.col("documents") == F.col("with_text"), "left").withColumn("status", F.coalesce("status", F.lit("incomplete")))
 
 
 QUERIES = {name: _fields(**columns) for name, columns in _BY_RULE.items()} | {
@@ -405,6 +417,8 @@ def _diseases_sql() -> str:
     return f"SELECT {KEY}, TRUE AS has_underlying_disease, {', '.join(columns)} FROM customer"
 
 
+QUERIES |= record_queries.QUERIES
+
 ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} | {
     "form_name_fallback": f"SELECT {KEY}, CASE WHEN {KEY} % 2 = 1 THEN 'TRAN VAN BINH' END AS ho_va_ten FROM customer",
     "form_record_long": _long_sql(),
@@ -412,7 +426,7 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
     "form_birth_dates": f"SELECT {KEY}, CASE {KEY} % 3 WHEN 0 THEN make_date(1940 + {KEY} % 60, 1, 1) WHEN 1 THEN make_date(1940 + {KEY} % 60, 7, 21) END AS born, {KEY} % 3 <> 2 AS given FROM customer",
     "doc_emails": f"SELECT doc_id, regexp_extract(text, '{_EMAIL}', 1) AS email FROM documents WHERE regexp_matches(text, '{_EMAIL}')",
     "doc_allcaps_head": f"""
-        WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: regexp_extract(regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '{_CAPS}', 1)), lambda x: x <> '') AS h FROM documents)
+        WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(translate(text, '!.,', ''), chr(10))[1:5], lambda x: regexp_extract(regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '{_CAPS}', 1)), lambda x: x <> '') AS h FROM documents)
         SELECT doc_id, trim(regexp_replace(h[1], '{_WHITE}+', ' ', 'g')) AS head FROM l WHERE len(h) > 0""",
     "doc_squish": f"""
         SELECT doc_id, length(s)::BIGINT AS squished, md5(s) AS digest, length(regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g'))::BIGINT AS stripped
@@ -426,14 +440,19 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
     "route_documents": f"SELECT path, CASE WHEN 5 * digital_pages > 4 * pages THEN 'digital' ELSE 'ocr' END AS route FROM ({_PROBE})",
     "route_single_pages": "SELECT conv_id AS path, (turn + 1)::INTEGER AS page_num, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 200 THEN 'digital' ELSE 'ocr' END AS route FROM conversations",
     "ocr_lines": "SELECT conv_id, turn, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::BIGINT AS chars FROM conversations",
-    "page_seconds": "SELECT count(*) * 0.5::DOUBLE AS seconds, count(*) AS pages, 0.5::DOUBLE AS per_page, 3.0::DOUBLE AS six_pages FROM conversations",
+    "page_seconds": """
+        SELECT sum(s) AS seconds, sum(p)::BIGINT AS pages, sum(s) / sum(p) AS per_page, 6 * sum(s) / sum(p) AS six_pages
+        FROM (SELECT count(*) AS p, round(sum(round(value * 100)::BIGINT) / 100) AS s FROM events GROUP BY user_id)""",
     "fill_defaults": """
-        SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) THEN NULL ELSE c_custkey END AS tuoi,
-          CASE WHEN c_custkey % 5 = 3 THEN NULL WHEN c_custkey % 10 = 4 THEN TRUE WHEN c_custkey % 10 = 9 THEN NULL ELSE FALSE END AS hut_thuoc_la,
-          c_name AS ho_va_ten, NULL::VARCHAR AS trang_thai, FALSE AS dot_quy_nao FROM customer""",
+        SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) OR c_custkey % 11 = 5 THEN NULL ELSE c_custkey END AS tuoi,
+          CASE WHEN c_custkey % 11 = 5 THEN FALSE WHEN c_custkey % 5 = 3 THEN NULL WHEN c_custkey % 10 = 4 THEN TRUE WHEN c_custkey % 10 = 9 THEN NULL ELSE FALSE END AS hut_thuoc_la,
+          CASE WHEN c_custkey % 11 <> 5 THEN c_name END AS ho_va_ten, NULL::VARCHAR AS trang_thai, FALSE AS dot_quy_nao FROM customer""",
     "fill_rows": "SELECT * FROM (VALUES " + ", ".join(f"('{f.section}', '{f.name}', {1 if f.type == 'boolean' else 2 if (f.section, f.name) == ('THONG_TIN_CA_NHAN', 'ho_va_ten') else 0})" for f in catalog.FIELDS) + ") v(section, field, how), (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 2 = 0) AS even FROM customer)",
-    "props_fill": "SELECT count(*) AS n, 0::BIGINT AS n_tuoi, count(*) AS n_false FROM events",
-    "catalog_types": "SELECT section, field, ordinal::INTEGER AS ordinal, request_type FROM (VALUES " + ", ".join(f"('{f.section}', '{f.name}', {i}, '{catalog.REQUEST_TYPES[f.type]}')" for i, f in enumerate(catalog.FIELDS)) + ") v(section, field, ordinal, request_type)",
+    "props_fill": """
+        SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 20) AS n_tuoi, sum(regexp_extract(props, '\\d+')::BIGINT) FILTER (WHERE value > 20)::BIGINT AS sum_tuoi, count(*) AS n_false FROM events GROUP BY 1""",
+    "catalog_types": """
+        SELECT c_custkey, said, CASE lower(said) WHEN 'integer' THEN 'INTEGER' WHEN 'float' THEN 'NUMBER' WHEN 'number' THEN 'NUMBER' WHEN 'boolean' THEN 'BOOLEAN' ELSE 'STRING' END AS request_type
+        FROM (SELECT c_custkey, ['Integer', 'FLOAT', 'string', 'boolean', 'number', 'odd', c_mktsegment, NULL][c_custkey % 8 + 1] AS said FROM customer)""",
     "file_kind": """
         SELECT 'd/' || base AS path, lower(CASE k % 8 WHEN 7 THEN '.gz' ELSE e END) AS ext, CASE WHEN k % 8 IN (2, 3, 5) THEN 'image' ELSE 'pdf' END AS kind, base
         FROM (SELECT k, e, k || e AS base FROM (SELECT c_custkey AS k, ['.pdf', '.PDF', '.Png', '.TIFF', '.tif', '.jpeg', '', '.tar.gz'][c_custkey % 8 + 1] AS e FROM customer))""",
@@ -446,7 +465,7 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
     "any_underlying": f"SELECT c_mktsegment, bool_or({_EXPECTED['phan_loai_benh_nen__has_underlying_disease']}) AS any_underlying, count(*) AS records FROM customer GROUP BY 1",
     "scaled_zoom": f"SELECT {KEY}, (72 + {KEY} % 150)::DOUBLE / 72 AS zoom FROM customer",
     "label_lookup": f"SELECT doc_id, CASE WHEN regexp_matches(text, ':{_WHITE}*\\d') THEN regexp_extract(text, ':{_WHITE}*(\\d+)', 1) END AS number, regexp_matches(text, ':{_WHITE}*\\d') AS matches FROM documents",
-    "service_health": "SELECT 'healthy' AS status",
+    "service_health": "SELECT source, count(*) AS documents, count(*) FILTER (WHERE text <> '') AS with_text, CASE WHEN count(*) = count(*) FILTER (WHERE text <> '') THEN 'healthy' ELSE 'incomplete' END AS status FROM documents GROUP BY 1",
     "doc_allcaps_marked": "SELECT doc_id, CASE WHEN doc_id % 9 < 6 THEN ['TRAN VĂN AN', 'TRAN VĂN BA LÊ', 'TRAN VĂN Ơ'][doc_id % 3 + 1] END AS head FROM documents",
     "page_probe_default": "SELECT *, digital_pages / pages::DOUBLE AS share, 5 * digital_pages > 4 * pages AS digital FROM (SELECT conv_id AS path, count(*) AS pages, count(*) FILTER (WHERE length(regexp_replace(substr(text, 1, ((conv_id + turn + 1) % 21)::INTEGER), '^\\s+|\\s+$', '', 'g')) > 10) AS digital_pages FROM conversations GROUP BY 1)",
     "page_worker_ranges": """
@@ -454,12 +473,13 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
         FROM (SELECT c_custkey AS path, (c_custkey % 23)::INTEGER AS pages, ceil((c_custkey % 23) / least(c_custkey % 23, 4)::DOUBLE)::INTEGER AS n FROM customer WHERE c_custkey % 23 > 0)""",
     "remote_request": "SELECT c_custkey, length(b)::BIGINT AS chars, md5(b) AS digest FROM (SELECT c_custkey, " + _request_sql() + " AS b FROM customer)",
     "remote_replies": f"""
-        SELECT c_custkey, CASE WHEN c_custkey % 7 IN (0, 6) THEN 'ok' ELSE 'error' END AS status,
-          CASE c_custkey % 7 WHEN 1 THEN 'Lỗi gọi API (Status ' || (500 + c_custkey % 4) || ')' WHEN 2 THEN '{remote.EMPTY_REPLY}' WHEN 3 THEN '{remote.FAILED}' WHEN 4 THEN '{remote.FAILED}' WHEN 5 THEN '{remote.FAILED}: Timeout' END AS error,
-          CASE WHEN c_custkey % 7 = 0 THEN c_name END AS ho_va_ten, FALSE AS has_underlying_disease, NULL::BIGINT AS tuoi FROM customer""",
+        SELECT c_custkey, CASE WHEN c_custkey % 10 IN (0, 6, 8, 9) THEN 'ok' ELSE 'error' END AS status,
+          CASE c_custkey % 10 WHEN 1 THEN 'Lỗi gọi API (Status ' || (500 + c_custkey % 4) || ')' WHEN 2 THEN '{remote.EMPTY_REPLY}' WHEN 3 THEN '{remote.FAILED}' WHEN 4 THEN '{remote.FAILED}' WHEN 5 THEN '{remote.FAILED}: Timeout' WHEN 7 THEN '{remote.FAILED}' END AS error,
+          CASE WHEN c_custkey % 10 IN (0, 6) THEN c_name END AS ho_va_ten, FALSE AS has_underlying_disease, CASE WHEN c_custkey % 10 = 8 THEN c_custkey END AS tuoi FROM customer""",
     "record_json": "SELECT c_custkey, length(j)::BIGINT AS chars, md5(j) AS digest FROM (SELECT c_custkey, " + _record_sql() + " AS j FROM (SELECT *, c_custkey AS k FROM customer))",
     "output_errors": "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN doc_id % 6 = 0 THEN 'no luck' ELSE 'no text' END AS error FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR text = ''",
     "form_diseases": _diseases_sql(),
     "form_labels": "SELECT c_custkey, " + ", ".join(f"CAST({_VALUES[n]} AS {'BIGINT' if n in ('chieu_cao', 'can_nang', 'sbp') else 'VARCHAR'}) AS {n}" for n in _LABELS) + " FROM (SELECT *, c_custkey AS k FROM customer)",
 }
 ORACLES["fill_rows"] = ORACLES["fill_rows"].replace("SELECT *", "SELECT section, field, n, CASE how WHEN 1 THEN n WHEN 2 THEN even ELSE 0 END AS n_set", 1)
+ORACLES |= record_queries.ORACLES

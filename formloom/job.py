@@ -38,14 +38,15 @@ def timed(what: str) -> Iterator[dict]:
         log.info("%s: %.4f s", what, measured["seconds"])
 
 
-def records_of(documents: DataFrame, transport: remote.Transport | None = None, key: str | None = None) -> DataFrame:
+def records_of(documents: DataFrame, transport: remote.Transport | None = None, key: str | None = None, log: str | None = None) -> DataFrame:
     """Records of (path, text, status, error), with status and error; by rules, or remotely if a key and a transport are given.
 
-    Documents without text have no record. What a remote service couldn't do has the defaults and its error.
+    Documents without text have no record. What a remote service couldn't do has the defaults and its error. ``log``: where its
+    replies are kept, see :func:`~formloom.sources.remote.extract_remote`.
     """
     has_text = documents.where(F.length("text") > 0)
     if transport is not None and remote.usable(key):
-        return remote.extract_remote(has_text.select("path", "text"), transport, ["path"])
+        return remote.extract_remote(has_text.select("path", "text"), transport, ["path"], log=log)
     flat = extract(has_text.select("path", "text", "status", "error"), "text")
     return flat.select("path", "status", "error", *(flat_name(f) for f in FIELDS))
 

@@ -1,8 +1,13 @@
-"""Filling a JSON record so that it has exactly the catalogue's fields.
+"""Filling a JSON record so that it has exactly a catalogue's fields.
 
 A field that is present keeps its value, whatever it is, an explicit null included; an absent one
-is false if it is a boolean and null otherwise; unknown fields are dropped. A document
-or a section that isn't an object counts as empty. Of a key that is repeated in an object, the last counts, for sections too.
+is false if it is a boolean and null otherwise; unknown fields are dropped. A document, a section
+or a nested object that isn't an object counts as empty, and so does a text that isn't JSON as Python reads it
+(:mod:`formloom.functions.json`). Of a key that is repeated in an object, the last counts, for sections too.
+
+Three layouts: values cast to the fields' types or as text (:func:`filled`), as VARIANT, which keeps the type that the JSON
+gave (:func:`filled_variants`), and as rows with the type and the spelling of each value (:func:`filled_values`).
+Each object is taken apart once, whatever the number of its fields.
 """
 
 from __future__ import annotations
@@ -10,52 +15,107 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formloom.plans.catalog import FIELDS, SECTIONS, FieldSpec, flat_name, spark_type
+from formloom.functions import json as J
+from formloom.functions.text import named
+from formloom.plans.catalog import CATALOGUE, Catalogue, Entry, spark_type
+
+
+def fresh(df: DataFrame, wanted: str) -> str:
+    """A column name like ``wanted`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
 
-_MEMBERS = "array<struct<key:string,value:string>>"
+def _taken_apart(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue) -> tuple[DataFrame, list[tuple[Entry, Column, Column]]]:
+    """``keep`` and, for each field of the catalogue, columns that say whether it is there and what its value with marks is.
+
+    Each step is a projection of its own, since what it makes is read several times in the next.
+    """
+    kept = df.select(*map(named, keep))
+    whole, root = fresh(kept, "_whole"), fresh(kept, "_object")
+    out = df.select(*map(named, keep), J.marked(named(json)).alias(whole))
+    out = out.select(*map(named, keep), J.members(F.col(whole)).alias(root))
+    objects = {(): F.col(root)}
+    paths = catalogue.objects()
+    for depth in range(1, max(map(len, paths), default=0) + 1):
+        level = [(p, fresh(out, f"_text{i}"), fresh(out, f"_object{i}")) for i, p in enumerate(paths) if len(p) == depth]
+        out = out.select("*", *(J.member(objects[p[:-1]], p[-1]).alias(text) for p, text, _ in level))
+        out = out.select("*", *(J.members(F.col(text)).alias(name) for _, text, name in level))
+        objects |= {p: F.col(name) for p, _, name in level}
+    fields = [(e, fresh(out, f"_there{i}"), fresh(out, f"_value{i}")) for i, e in enumerate(catalogue.entries)]
+    held = [column for e, there, value in fields for column in (J.has(objects[e.path[:-1]], e.path[-1]).alias(there), J.member(objects[e.path[:-1]], e.path[-1]).alias(value))]
+    return out.select(*map(named, keep), *held), [(e, F.col(there), F.col(value)) for e, there, value in fields]
 
 
-def _object(text: Column) -> Column:
-    """A JSON object's members as text, in order, repeated keys included; empty if it isn't an object."""
-    parsed = F.when(F.btrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
-    return F.coalesce(F.map_entries(parsed), F.array().cast(_MEMBERS))
+def _is_boolean(e: Entry) -> bool:
+    return e.type.lower() == "boolean"
 
 
-def _last(members: str, key: str) -> Column:
-    """The last member of a key, null if there is none."""
-    return F.try_element_at(F.filter(members, lambda m: m["key"] == key), F.lit(-1))
+def _as_filled(e: Entry, there: Column, value: Column) -> tuple[Column, Column]:
+    """The type and the text of the field's value, the default's if it is absent."""
+    kind, text = J.kind_of(value), J.text_of(value)
+    return (F.when(there, kind).otherwise("boolean"), F.when(there, text).otherwise("false")) if _is_boolean(e) else (kind, text)
 
 
-def filled(df: DataFrame, json: str, keep: list[str], typed: bool = True) -> DataFrame:
+def filled(df: DataFrame, json: str, keep: list[str], typed: bool = True, catalogue: Catalogue = CATALOGUE) -> DataFrame:
     """``keep`` and the flat record of the JSON column.
 
-    Values keep their JSON text with ``typed=False``; else they are cast to the field's type, null if that
-    can't be; a boolean is ``true`` or ``false``, also as text, and nothing else. Two levels of members tell a
-    missing field from a null one, which a struct can't.
+    Values are text, spelled as in the JSON, with ``typed=False``; else they are cast to the field's type, null if that
+    can't be; a boolean is ``true`` or ``false``, also as text, and nothing else.
+    """
+    out, fields = _taken_apart(df, json, keep, catalogue)
+    texts = out.select(*map(named, keep), *(_as_filled(*f)[1].alias(f[0].column) for f in fields))
+    if not typed:
+        return texts
+
+    def value(e: Entry) -> Column:
+        text = named(e.column)
+        cast = F.when(text.isin("true", "false"), text == "true") if _is_boolean(e) else text.try_cast(spark_type(e.type))
+        return cast.alias(e.column)
+
+    return texts.select(*map(named, keep), *map(value, catalogue.entries))
+
+
+def filled_variants(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue = CATALOGUE) -> DataFrame:
+    """``keep`` and the flat record with VARIANT columns: each value has the type that the JSON gave it, mistyped ones too.
+
+    What is null or absent is the null of VARIANT (``is_variant_null``), an absent boolean is false.
+    """
+    out, fields = _taken_apart(df, json, keep, catalogue)
+    read, made = [], []
+    for i, (e, there, value) in enumerate(fields):
+        names = fresh(out, f"_kind{i}"), fresh(out, f"_text{i}")
+        read += [c.alias(n) for c, n in zip(_as_filled(e, there, value), names, strict=True)]
+        made.append(J.as_variant(*map(F.col, names)).alias(e.column))
+    return out.select(*map(named, keep), *read).select(*map(named, keep), *made)
+
+
+def filled_values(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue = CATALOGUE) -> DataFrame:
+    """``keep`` and a row for each field: section, field, ordinal, whether it was present, and the type and text of its value.
+
+    Types: string, integer, float, boolean, object, array and null. Texts are spelled as in the JSON.
     """
-    members = df.select(*keep, _object(F.col(json)).alias("_all"))
-    sections = members.select(*keep, *(_object(_last("_all", s)["value"]).alias(s) for s in SECTIONS))
+    out, fields = _taken_apart(df, json, keep, catalogue)
 
-    def value(f: FieldSpec) -> Column:
-        absent = F.lit("false") if f.type == "boolean" else F.lit(None).cast("string")
-        member = _last(f.section, f.name)
-        found = F.when(member.isNotNull(), member["value"]).otherwise(absent)
-        if typed:
-            found = F.when(found.isin("true", "false"), found == "true") if f.type == "boolean" else found.try_cast(spark_type(f.type))
-        return found.alias(flat_name(f))
+    def row(i: int, e: Entry, there: Column, value: Column) -> Column:
+        kind, text = _as_filled(e, there, value)
+        return F.struct(F.lit(e.path[0]).alias("section"), F.lit(e.field).alias("field"), F.lit(i).alias("ordinal"), there.alias("present"), kind.alias("type"), text.alias("value"))
 
-    return sections.select(*keep, *(value(f) for f in FIELDS))
+    rows = F.array(*(row(i, *f) for i, f in enumerate(fields)))
+    return out.select(*map(named, keep), F.inline(rows))
 
 
-def filled_rows(catalog: DataFrame, values: DataFrame, key: str) -> DataFrame:
+def filled_rows(catalog: DataFrame, values: DataFrame, key: str, catalogue: Catalogue = CATALOGUE) -> DataFrame:
     """The same on long tables: every document of ``values`` (key, section, field, value) with every field of the catalogue.
 
     The catalogue has a fixed number of rows, and so has each document's result; no row of ``values`` is paired with another.
     """
-    wanted = [F.struct(F.lit(f.section).alias("section"), F.lit(f.name).alias("field"), F.lit(f.type).alias("type"), F.lit(i).alias("ordinal")) for i, f in enumerate(FIELDS)]
+    wanted = [F.struct(F.lit(e.path[0]).alias("section"), F.lit(e.field).alias("field"), F.lit(e.type).alias("type"), F.lit(i).alias("ordinal")) for i, e in enumerate(catalogue.entries)]
     documents = values.select(key).distinct().select(key, F.explode(F.array(*wanted)).alias("w")).select(key, "w.*")
     known = catalog.select("section", "field")  # unknown fields go
     present = values.join(F.broadcast(known), ["section", "field"], "left_semi").withColumn("present", F.lit(True))
     joined = documents.join(present, [key, "section", "field"], "left")
-    absent = F.when(F.col("type") == "boolean", "false")
+    absent = F.when(F.lower("type") == "boolean", "false")
     return joined.select(key, "section", "field", "ordinal", F.when(F.col("present"), F.col("value")).otherwise(absent).alias("value"))

@@ -1,12 +1,20 @@
-"""The field catalogue: sections, fields and types, and the schemas made from it."""
+"""The field catalogue: sections, fields and types, and the schemas made from it.
+
+:func:`compiled` makes a :class:`Catalogue` of any JSON catalogue: sections of fields, and fields that are objects with
+``properties`` of their own, to any depth. Filling, layouts and requests take one; :data:`CATALOGUE` is the built-in.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from formloom.functions.text import named
+
 
 @dataclass(frozen=True)
 class FieldSpec:
@@ -110,15 +118,108 @@ def as_mapping() -> dict[str, dict[str, dict]]:
     return out
 
 
-def request_schema(catalogue: dict[str, dict[str, dict]]) -> dict:
-    """A response schema for a remote extractor: types are mapped, descriptions and enumerations kept, the rest dropped."""
-    properties = {}
-    for section, fields in catalogue.items():
-        own = {}
-        for name, given in fields.items():
-            own[name] = {"type": REQUEST_TYPES.get(given.get("type", "string").lower(), "STRING")} | {k: given[k] for k in ("description", "enum") if k in given}
-        properties[section] = {"type": "OBJECT", "properties": own}
-    return {"type": "OBJECT", "properties": properties}
+@dataclass(frozen=True)
+class Entry:
+    """A field of a compiled catalogue: where it stands in a record, its type, its column in the flat layout, and what the catalogue says of it."""
+
+    path: tuple[str, ...]
+    type: str
+    column: str
+    given: Mapping
+
+    @property
+    def field(self) -> str:
+        """The name within the section; names of nested objects are parted by dots."""
+        return ".".join(self.path[1:])
+
+
+class Catalogue:
+    """A compiled catalogue. ``tree``: sections, in them fields (:class:`Entry`) or nested objects, each a mapping."""
+
+    def __init__(self, tree: dict):
+        self.tree = tree
+        self.entries = tuple(self._leaves(tree))
+        names = [e.column.lower() for e in self.entries]
+        if twice := sorted({n for n in names if names.count(n) > 1}):
+            raise ValueError(f"several fields would be the column {twice[0]}; give sections other short names")
+
+    @classmethod
+    def _leaves(cls, tree: Mapping) -> Iterator[Entry]:
+        for node in tree.values():
+            if isinstance(node, Entry):
+                yield node
+            else:
+                yield from cls._leaves(node)
+
+    def objects(self) -> list[tuple[str, ...]]:
+        """The paths of sections and nested objects, outer ones first."""
+        found, todo = [], [((), self.tree)]
+        for path, node in todo:
+            inner = [((*path, name), x) for name, x in node.items() if not isinstance(x, Entry)]
+            found += [p for p, _ in inner]
+            todo += inner
+        return found
+
+    def request(self) -> dict:
+        """A response schema for a remote extractor: types are mapped, descriptions and enumerations kept, the rest dropped."""
+
+        def schema(node) -> dict:
+            if isinstance(node, Entry):
+                return {"type": REQUEST_TYPES.get(node.type.lower(), "STRING")} | {k: node.given[k] for k in ("description", "enum") if k in node.given}
+            return {"type": "OBJECT", "properties": {name: schema(inner) for name, inner in node.items()}}
+
+        return schema(self.tree)
+
+    def struct(self) -> Column:
+        """The nested record of the flat columns."""
+
+        def column(node) -> Column:
+            return named(node.column) if isinstance(node, Entry) else F.struct(*(column(inner).alias(name) for name, inner in node.items()))
+
+        return column(self.tree)
+
+    def record_type(self) -> T.StructType:
+        def kind(node) -> T.DataType:
+            return spark_type(node.type) if isinstance(node, Entry) else T.StructType([T.StructField(name, kind(inner)) for name, inner in node.items()])
+
+        return kind(self.tree)
+
+    def rows(self) -> Column:
+        """An array with a row for each field of the flat columns: section, field, ordinal and the value as text."""
+        return F.array(*(F.struct(F.lit(e.path[0]).alias("section"), F.lit(e.field).alias("field"), F.lit(i).alias("ordinal"), named(e.column).cast("string").alias("value")) for i, e in enumerate(self.entries)))
+
+
+def compiled(catalogue: Mapping, short: Mapping[str, str] | None = None) -> Catalogue:
+    """Compiles a JSON catalogue: section, field, properties. ``short``: names of sections in the names of flat columns.
+
+    A field without a type is a string; a field with ``properties`` is a nested object. What isn't an object where one
+    is needed, a type that isn't a text, and two fields of one column are errors.
+    """
+
+    def fields(path: tuple[str, ...], given) -> dict:
+        if not isinstance(given, Mapping):
+            raise ValueError(f"{'.'.join(path) or 'the catalogue'} is not an object")
+        return {name: field((*path, name), inner) for name, inner in given.items()}
+
+    def field(path: tuple[str, ...], given) -> Entry | dict:
+        if len(path) == 1:
+            return fields(path, given)
+        if isinstance(given, Mapping) and isinstance(given.get("properties"), Mapping):
+            return fields(path, given["properties"])
+        if not isinstance(given, Mapping) or not isinstance(given.get("type", "string"), str):
+            raise ValueError(f"{'.'.join(path)} has no type")
+        return Entry(path, given.get("type", "string"), "__".join(((short or {}).get(path[0], path[0]), *path[1:])), given)
+
+    return Catalogue(fields((), catalogue))
+
+
+#: The built-in catalogue.
+CATALOGUE = compiled(as_mapping(), SECTIONS)
+
+
+def request_schema(catalogue: Mapping) -> dict:
+    """The response schema of a JSON catalogue."""
+    return compiled(catalogue).request()
 
 
 CATALOG_TYPE = "section string, field string, ordinal int, type string, unit string, required boolean, format string, enum array<string>, description string"

@@ -1,44 +1,37 @@
 """Structured extraction by a remote language service, off unless a key is configured.
 
 Requests are built and replies unpacked with Column expressions; only the sending is Python, through a
-transport that the caller gives. The key goes into a header, never into an address, a plan or a result.
+transport that the caller gives, once for each request (:mod:`formloom.sources.replies`). The key goes into a header, never into an
+address, a plan or a result. Replies are read as Python reads JSON, and filled to the caller's catalogue.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formloom.functions import json as J
+from formloom.functions.text import named
 from formloom.operators.fill import filled
-from formloom.plans.catalog import FIELDS, as_mapping, flat_name, request_schema
+from formloom.plans.catalog import CATALOGUE, Catalogue, compiled
+from formloom.session import shared_dir
+from formloom.sources.replies import IN_FLIGHT, Transport, digest, send_once
 
-#: (body of the request, seconds to wait) -> (HTTP status, body of the reply)
-Transport = Callable[[str, float], tuple[int, str]]
-
-# The placeholder for a key, the time limit, the prompt and the error messages.
+# The placeholder for a key, the time limit and the error messages.
 NO_KEY = "YOUR_API_KEY"
 TIMEOUT = 30.0
-PROMPT = (
-    "Bạn là một chuyên gia phân tích hồ sơ bệnh án. Hãy đọc kỹ văn bản kết quả xét nghiệm/khám bệnh sau đây "
-    "và trích xuất chính xác toàn bộ các trường thông tin lâm sàng được định nghĩa trong schema JSON.\n"
-    "Yêu cầu:\n"
-    "- Điền giá trị đúng kiểu dữ liệu quy định trong schema (ví dụ: integer, float, boolean, enum, string).\n"
-    "- Trả về định dạng JSON khớp 100% với cấu trúc schema.\n"
-    "- Chỉ trích xuất từ dữ liệu thực tế của hồ sơ bệnh nhân, không tự bịa ra thông tin.\n\n"
-    "VĂN BẢN HỒ SƠ Y TẾ:\n"
-)
 EMPTY_REPLY = "API trả về phản hồi rỗng"
 BAD_STATUS = "Lỗi gọi API (Status {status})"
 FAILED = "Lỗi kết nối hoặc xử lý trích xuất"
 NO_CATALOGUE = "Không tìm thấy file schema tại: {path}"
 # End of fixed values.
 
-REPLY = "http_status int, body string, error string"
+#: What a request asks for, before the document's text; callers may give their own.
+PROMPT = "Đọc văn bản dưới đây và điền các trường của lược đồ kèm theo. Chỉ dùng những gì có trong văn bản; trường nào không có thì để trống.\n\n"
 
 
 def api_key(variable: str = "EXTRACTION_API_KEY", file: str | None = None) -> str:
@@ -65,52 +58,75 @@ def read_catalogue(path: str) -> dict:
         return json.load(f)
 
 
-def request_body(text: Column, catalogue: dict | None = None) -> Column:
+def request_body(text: Column, catalogue: Catalogue | dict | None = None, prompt: str = PROMPT) -> Column:
     """The JSON request for a document's text."""
-    schema = json.dumps(request_schema(catalogue or as_mapping()), ensure_ascii=False)
-    contents = F.to_json(F.array(F.struct(F.array(F.struct(F.concat(F.lit(PROMPT), text).alias("text"))).alias("parts"))))
+    schema = json.dumps(_compiled(catalogue).request(), ensure_ascii=False)
+    contents = F.to_json(F.array(F.struct(F.array(F.struct(F.concat(F.lit(prompt), text).alias("text"))).alias("parts"))))
     return F.concat(F.lit('{"contents":'), contents, F.lit(',"generationConfig":{"responseMimeType":"application/json","responseSchema":' + schema + "}}"))
 
 
-def sent(requests: DataFrame, transport: Transport, keep: list[str], body: str = "request", timeout: float = TIMEOUT) -> DataFrame:
-    """``keep`` and http_status, body and error of each reply; nothing is tried again."""
-    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in keep) + ", " + REPLY
-    names = [*keep, "http_status", "body", "error"]
+def _compiled(catalogue: Catalogue | dict | None) -> Catalogue:
+    if catalogue is None:
+        return CATALOGUE
+    return catalogue if isinstance(catalogue, Catalogue) else compiled(catalogue)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                try:
-                    status, reply = transport(row[-1], timeout)
-                    rows.append((*row[:-1], status, reply, None))
-                except Exception as error:  # no details of the request: they may hold secrets
-                    rows.append((*row[:-1], None, None, type(error).__name__))
-            yield pd.DataFrame(rows, columns=names).astype({"http_status": "Int32"})
 
-    return requests.select(*keep, F.col(body).alias("_body")).mapInPandas(run, schema)
+def _is_empty(value: Column) -> Column:
+    """Whether Python would take a value with marks for false."""
+    kind, text = J.kind_of(value), J.text_of(value)
+    sizes = F.coalesce(F.size(J.elements(value)), F.lit(0)) + F.size(J.members(value)["keys"])
+    return (
+        F.when(kind.isin("object", "array"), sizes == 0)
+        .when(kind.isin("integer", "float"), F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+        .otherwise((kind == "null") | (kind == "string") & (text == "") | (kind == "boolean") & (text == "false"))
+    )
 
 
-def unpacked(replies: DataFrame, keep: list[str], typed: bool = True) -> DataFrame:
-    """The record of each reply, filled to the catalogue, with status and error.
+def unpacked(replies: DataFrame, keep: list[str], typed: bool = True, catalogue: Catalogue | dict | None = None, fill: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """The record of each reply (http_status, body, error), filled to the catalogue, with status and error.
 
-    Errors: a status other than 200, no candidates, a text that isn't JSON. The record then has the defaults.
+    Errors: a status other than 200, a body that isn't JSON, no candidates, and a first candidate without a text that is JSON. The record then
+    has the defaults. ``fill`` makes another layout, as :func:`~formloom.operators.fill.filled_variants` does.
     """
-    candidate = F.get_json_object("body", "$.candidates[0]")
-    text = F.coalesce(F.get_json_object("body", "$.candidates[0].content.parts[0].text"), F.lit(""))
+    catalogue = _compiled(catalogue)
+    rows = replies.select(*map(named, keep), "http_status", "error", J.marked(F.when(F.col("http_status") == 200, F.col("body"))).alias("_body"))
+    # one step in each projection, as the next reads what it makes several times
+    steps = {
+        "_root": J.members(F.col("_body")),
+        "_candidates": J.member(F.col("_root"), "candidates"),
+        "_none": _is_empty(F.col("_candidates")),
+        "_first": F.get(J.elements(F.col("_candidates")), 0),
+        "_content": J.member(J.members(F.col("_first")), "content"),
+        "_parts": J.member(J.members(F.col("_content")), "parts"),
+        "_part": F.get(J.elements(F.col("_parts")), 0),
+        "_said": J.member(J.members(F.col("_part")), "text"),
+        "_text": F.when(J.is_string(F.col("_said")), J.text_of(F.col("_said"))),
+        "_good": F.coalesce(J.is_json(F.col("_text")), F.lit(False)),
+    }
+    for name, step in steps.items():
+        rows = rows.withColumn(name, step)
     error = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit(f"{FAILED}: "), F.col("error")))
+        .when(F.col("http_status").isNull(), F.lit(FAILED))
         .when(F.col("http_status") != 200, F.format_string(BAD_STATUS.format(status="%d"), "http_status"))
-        .when(candidate.isNull(), F.lit(EMPTY_REPLY))
-        .when(F.try_parse_json(text).isNull(), F.lit(FAILED))
+        .when(~J.is_object(F.col("_body")), F.lit(FAILED))
+        .when(F.col("_none"), F.lit(EMPTY_REPLY))
+        .when(~F.col("_good"), F.lit(FAILED))
     )
-    rows = replies.select(*keep, text.alias("_json"), error.alias("_error"))
-    rows = rows.withColumn("_json", F.when(F.col("_error").isNull(), F.col("_json")))
-    out = filled(rows, "_json", [*keep, "_error"], typed)
-    return out.select(*keep, F.when(F.col("_error").isNull(), "ok").otherwise("error").alias("status"), F.col("_error").alias("error"), *(flat_name(f) for f in FIELDS))
+    rows = rows.withColumn("_error", error).select(*map(named, keep), "_error", F.when(F.col("_error").isNull(), F.col("_text")).alias("_json"))
+    out = fill(rows, "_json", [*keep, "_error"], catalogue=catalogue) if fill else filled(rows, "_json", [*keep, "_error"], typed, catalogue)
+    status = F.when(F.col("_error").isNull(), "ok").otherwise("error")
+    return out.select(*map(named, keep), status.alias("status"), F.col("_error").alias("error"), *(named(e.column) for e in catalogue.entries))
 
 
-def extract_remote(documents: DataFrame, transport: Transport, keep: list[str], text: str = "text", catalogue: dict | None = None, timeout: float = TIMEOUT) -> DataFrame:
-    """Requests, sends and unpacks: a filled record for each document."""
-    requests = documents.select(*keep, request_body(F.coalesce(F.col(text), F.lit("")), catalogue).alias("request"))
-    return unpacked(sent(requests, transport, keep, timeout=timeout), keep)
+def extract_remote(documents: DataFrame, transport: Transport, keep: list[str], text: str = "text", catalogue: Catalogue | dict | None = None, timeout: float = TIMEOUT, prompt: str = PROMPT, log: str | None = None, in_flight: int = IN_FLIGHT, fill: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Requests, sends and unpacks: a filled record for each document.
+
+    Sends at once, and then reads the replies from the log, however often the result is used. ``log``: a folder that outlives
+    the application, so that what has been asked once is never asked again; without it, one that ends with the application.
+    """
+    log = log or f"{shared_dir(documents.sparkSession)}/log"
+    requests = documents.select(*map(named, keep), request_body(F.coalesce(named(text), F.lit("")), catalogue, prompt).alias("request"))
+    replies = send_once(requests, transport, log, timeout=timeout, in_flight=in_flight)
+    found = requests.withColumn("digest", digest(F.col("request"))).drop("request").join(replies, "digest", "left")
+    return unpacked(found, keep, catalogue=catalogue, fill=fill)
