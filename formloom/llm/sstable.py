@@ -15,9 +15,11 @@ little-endian, two bytes wide if the vocabulary allows it and else four.
 A lookup reads the manifest, the footer, the Bloom filter and the index of one
 shard, searches the index by bisection and unpacks one block.
 
-Texts are encoded where they are read; only ids move. Shards hold ranges of (identifier, hash of the text, row), about
-equally many rows each; the bounds of the ranges come from these three columns alone, and their number from the size of the
-texts. So rows that repeat an identifier, however many, spread over shards.
+Texts are encoded where they are read; only ids move. Shards hold ranges of (identifier, hash of the text, salt), about
+equally many rows each. One pass over the texts writes these columns and the texts' sizes; the bounds of the ranges and their number come from
+that. The salt is a hash of the row's number, so that rows which agree in identifier and text, however many, spread evenly
+over shards, whichever way they are numbered when they are encoded. A table that is read in few parts is encoded by as many tasks: set
+``spark.sql.files.maxPartitionBytes`` for more.
 
 Writing survives lost executors: each task attempt writes a file with a name of its own,
 and only the files that the written manifest names belong to the table.
@@ -42,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formloom.llm.tokens import piece_encoder, portions, text_of
-from formloom.session import load, shared_dir
+from formloom.session import load, scratch, shared_dir, written
 
 MAGIC = b"IDSST001"
 #: index place and size, bloom place and size, entries, ids, id width, checksum of index and bloom, magic
@@ -215,21 +217,21 @@ def _store(path: str):
 
 
 def _sorted_by() -> list[Column]:
-    """Of a row (k, v): whether it has an identifier, that, a hash of its text, and its number among rows that agree in these."""
-    return [F.col("k").isNotNull().cast("int").alias("has"), F.coalesce("k", F.lit(0)).alias("k"), F.xxhash64("v").alias("h"), F.monotonically_increasing_id().alias("r")]
+    """Of a row (k, v): whether it has an identifier, that, a hash of its text, and a salt that parts rows which agree in these."""
+    return [F.col("k").isNotNull().cast("int").alias("has"), F.coalesce("k", F.lit(0)).alias("k"), F.xxhash64("v").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("r")]
 
 
-def _bounds(rows: DataFrame, shards: int) -> list[tuple]:
-    """The first place of each shard but the first, in order. Reads keys and hashes; one row for each shard comes to the driver."""
+def _bounds(places: DataFrame, shards: int) -> list[tuple]:
+    """The first place of each shard but the first, in order; one row for each shard comes to the driver."""
     if shards == 1:
         return []
-    ranged = rows.select(*_sorted_by()).repartitionByRange(shards, "has", "k", "h", "r")
+    ranged = places.select("has", "k", "h", "r").repartitionByRange(shards, "has", "k", "h", "r")
     least = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("has", "k", "h", "r")).alias("least"))
     return sorted(tuple(r.least) for r in least.collect())[1:]
 
 
-def _number_of_shards(rows: DataFrame) -> int:
-    size = rows.agg(F.sum(F.octet_length("v"))).first()[0] or 0
+def _number_of_shards(rows: DataFrame, bytes_of: str = "octet_length(v)") -> int:
+    size = rows.agg(F.sum(F.expr(bytes_of))).first()[0] or 0
     wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, -(-size // SHARD_BYTES), min(wanted, -(-size // SHARD_LEAST)))
 
@@ -243,7 +245,9 @@ def write_table(df: DataFrame, path: str, tokenizer: str, end_id: int | None, wo
     """
     width = 2 if vocabulary <= 1 << 16 else 4
     rows = df.select(F.col(doc_id).cast("long").alias("k"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("v"))
-    bounds = _bounds(rows, shards or _number_of_shards(rows))
+    with scratch():
+        places = written(rows.select(*_sorted_by(), F.octet_length("v").alias("size")), "places")
+        bounds = _bounds(places, shards or _number_of_shards(places, "size"))
     n = len(bounds) + 1
 
     def encode(batches):
@@ -282,9 +286,6 @@ def write_table(df: DataFrame, path: str, tokenizer: str, end_id: int | None, wo
         if writer:
             yield done()
 
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if n > 1 and rows.rdd.getNumPartitions() < cores:  # a table in few parts is small: its texts are dealt out, so that all cores encode
-        rows = rows.repartition(cores)
     encoded = rows.select(*_sorted_by(), "v").mapInArrow(encode, "shard int, has int, k long, h long, ids binary")
     dealt = encoded.repartitionById(n, "shard").sortWithinPartitions("shard", "has", "k", "h")
     dealt.select("shard", "has", "k", "ids").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")

@@ -271,3 +271,52 @@ def test_only_ids_are_exchanged(spark, monkeypatch):
     sstable.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), f"{shared_dir(spark)}/t", BYTES, end_id=0)
     plan = next(p for p in plans if "RepartitionBy" in p)
     assert plan.count("MapInArrow") == 2 and plan[plan.index("RepartitionBy") :].count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("parts", [1, 2, 8])
+def test_only_ids_are_exchanged_into_four_shards(spark, monkeypatch, parts):
+    """Also where the table comes in fewer parts than there are cores; and rows that are all alike spread evenly."""
+    plans = []
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path, *a, **b: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or write(self, path, *a, **b))
+    rows = spark.createDataFrame([(7, "a text that all rows have")] * 4000, "doc_id long, text string")
+    df = spark.read.parquet(_saved(spark, rows.coalesce(1) if parts == 1 else rows.repartition(parts)))
+    manifest = sstable.write_table(df, f"{shared_dir(spark)}/t", BYTES, end_id=0, shards=4)
+    plan = next(p for p in plans if "RepartitionBy" in p and "MapInArrow" in p)
+    assert plan.count("Repartition") == 1 and plan.count("MapInArrow") == 2 and plan[plan.index("RepartitionBy") :].count("MapInArrow") == 1
+    docs = [r.n_docs for r in manifest.collect()]
+    assert len(docs) == 4 and sum(docs) == 4000 and max(docs) < 1300
+    assert len(sstable.lookup(spark, manifest.inputFiles()[0].rsplit("/manifest", 1)[0], 7)) == 4000
+
+
+def _saved(spark, df):
+    path = f"{shared_dir(spark)}/rows"
+    df.write.parquet(path)
+    return path
+
+
+def test_shards_against_the_library(spark):
+    """Ids, places and checksums of the query by the tokenizers library itself."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    at, want = 0, {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want[r.doc_id] = (at, len(ids), zlib.crc32(packed(ids)))
+        at += len(ids)
+    assert {r.doc_id: tuple(r)[1:] for r in sstable.op10_token_shards(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_packing_against_the_library(spark):
+    """Pieces of the query by the tokenizers library itself."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            own = ids[start : start + 4096]
+            want[r.doc_id, piece] = (start, len(own), zlib.crc32(packed(own)))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.op2_best_fit_packing(spark, "/root/testdata/sf0.001").collect()} == want
