@@ -124,3 +124,47 @@ def test_article_of_the_given_pages():
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         blocks = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article.replace("<br>", " ")))
         assert html.main_text(r["html"], html.trained()) == "\n".join(x for b in blocks if (x := " ".join(unescape(b).split())))
+
+
+NAV = "<nav><ul><li><a href=/>Start</a></li><li><a href=/a>About</a></li></ul></nav>"
+FOOT = "<footer><p>&copy; 2024 Village Notes</p></footer>"
+LINKS = "".join(f"<li><a href={i}>{x}</a></li>" for i, x in enumerate(("Map of the valley", "Old photographs", "Opening hours")))
+#: What wraps an article must not lose it, and what is small in it must stay. (page, texts of the article in order)
+WRAPPED = {
+    "form around the page": (f"<body><form id=aspnet>{NAV}<article><h1>{H}</h1><p>{P1}</p><p>{P2}</p></article>{FOOT}</form></body>", [H, P1, P2]),
+    "form around a long article": (f"<body><form id=aspnet><article>{f'<p>{P1}</p>' * 18}</article></form></body>", [P1] * 18),
+    "form around a paragraph": (f"<form id=aspnet><article><p>{P1}</p></article></form>", [P1]),
+    "form in an article": (f"<body>{NAV}<main><h1>{H}</h1><form><p>{P1}</p><p>{P2}</p><p>{P3}</p></form></main>{FOOT}</body>", [H, P1, P2, P3]),
+    "fieldset in an article": (f"<body>{NAV}<article><h1>{H}</h1><fieldset><p>{P1}</p><p>{P2}</p></fieldset></article>{FOOT}</body>", [H, P1, P2]),
+    "fieldset alone": (f"<body><fieldset><p>{P1}</p><p>{P2}</p></fieldset></body>", [P1, P2]),
+    "dialog": (f"<body>{NAV}<dialog open><h1>{H}</h1><p>{P1}</p><p>{P2}</p></dialog>{FOOT}</body>", [H, P1, P2]),
+    "overlay": (f"<body><div class='modal overlay'>{NAV}<div><h1>{H}</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></div>{FOOT}</div></body>", [H, P1, P2, P3]),
+    "page with a sidebar's name": (f"<body><div class='sidebar'>{NAV}<main><h1>{H}</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></main><aside><h3>Popular</h3><ul><li><a href=1>Ten bridges</a></li></ul></aside></div></body>", [H, P1, P2, P3]),
+    "short rows": (f"<body>{NAV}<article><h1>{H}</h1><p>{P1}</p><table><tr><td>1900</td><td>3</td></tr><tr><td>1910</td><td>14</td></tr></table><p>{P2}</p></article>{FOOT}</body>", [H, P1, "1900 3", "1910 14", P2]),
+    "links in the article": (f"<body>{NAV}<article><h1>{H}</h1><p>{P1}</p><ul>{LINKS}</ul><p>{P2}</p></article>{FOOT}</body>", [H, P1, "Map of the valley", "Old photographs", "Opening hours", P2]),
+    "newsletter without a name": (f"<body>{NAV}<article><h1>{H}</h1><p>{P1}</p><p>{P2}</p></article><div class=blk><p>Subscribe to our newsletter for more stories.</p></div>{FOOT}</body>", [H, P1, P2]),
+    "comments longer than the article": (f"<body>{NAV}<main><h1>{H}</h1><p>{P1}</p><section class=comments>{f'<div><p>Anna</p><p>{P2}</p></div>' * 9}</section></main>{FOOT}</body>", [H, P1]),
+    "small forms": (f"<body><form><p>Search here.</p></form><article><h1>{H}</h1><p>{P1}</p><form><p>Get our newsletter every Friday.</p></form><p>{P2}</p></article>{FOOT}</body>", [H, P1, P2]),
+    "imprint longer than the article": (f"<body>{NAV}<article><h1>{H}</h1><p>{P1}</p></article><footer>{f'<p>{P2}</p>' * 3}<p>&copy; 2024</p></footer></body>", [H, P1]),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_what_wraps_an_article_does_not_lose_it(name):
+    page, texts = WRAPPED[name]
+    assert html.main_text(page, html.LABELLER).split("\n") == texts
+
+
+def test_fixed_weights_are_those_of_the_training():
+    found = html.trained()
+    assert np.allclose(found.weights, html.WEIGHTS, atol=0.01) and (found.clip, found.smooth) == (html.LABELLER.clip, html.LABELLER.smooth)
+
+
+def test_whole_articles_are_seldom_lost_on_generated_pages():
+    lost = wrong = blocks = pages = 0
+    for page, x, labels in html._labelled(300, 99):
+        kept = np.array(html.LABELLER(page, x))
+        wrong, blocks = wrong + int((kept != (labels > 0)).sum()), blocks + len(labels)
+        if labels.sum() >= 3:
+            pages, lost = pages + 1, lost + (not kept[labels > 0].any())
+    assert wrong < 0.04 * blocks and lost <= 0.01 * pages
