@@ -6,7 +6,6 @@ import argparse
 import json
 import logging
 import os
-import tempfile
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -18,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom import sinks
+from formloom.metrics import Counts
 from formloom.operators.rules import extract
 from formloom.plans.catalog import FIELDS, flat_name
-from formloom.session import importable, written
+from formloom.session import importable, scratch, shared_dir, written
 from formloom.sources import decode, files, remote
 
 log = logging.getLogger("formloom")
@@ -51,8 +51,10 @@ def records_of(documents: DataFrame, transport: remote.Transport | None = None,
     return flat.select("path", "status", "error", *(flat_name(f) for f in FIELDS))
 
 
-def process(spark: SparkSession, paths: list[str], output: str | None = None, make: Callable[[], decode.Backend] = decode.LibraryBackend, force_ocr: bool = False, dpi: int = decode.DPI, languages: str = decode.LANGUAGES, engine: str = decode.ENGINE, transport: remote.Transport | None = None, key: str | None = None, layout: str = "table") -> tuple[DataFrame, DataFrame]:
-    """(documents, records) of files and folders, which may be written too.
+def process(spark: SparkSession, paths: list[str] | DataFrame, output: str | None = None, make: Callable[[], decode.Backend] = decode.LibraryBackend, force_ocr: bool = False, dpi: int = decode.DPI, languages: str = decode.LANGUAGES, engine: str = decode.ENGINE, transport: remote.Transport | None = None, key: str | None = None, layout: str = "table", counts: dict[str, Counts] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, records) of files and folders (a list, or a table of paths), which may be written too.
+
+    ``counts``: a mapping that gets counts by state of "documents", and of "records" once these have been read; they cost no pass of their own.
 
     ``layout``: with "table" both are written as tables to ``output``, if it is given; with "files" every document with text
     has a text file and a JSON file, in ``output`` or else beside it.
@@ -60,8 +62,11 @@ def process(spark: SparkSession, paths: list[str], output: str | None = None, ma
     importable(spark)
     found = files.collect_files(spark, paths)
     # read by both results: written, as a lost executor must not cost recognition again
-    documents = written(decode.document_texts(found, make, force_ocr, dpi, languages, engine=engine), "documents")
-    records = records_of(documents, transport, key)
+    counts = {} if counts is None else counts
+    counts |= {x: Counts(x) for x in ("documents", "records")}
+    texts = decode.document_texts(found, make, force_ocr, dpi, languages, engine=engine)
+    documents = written(counts["documents"].of(texts, text="text"), "documents")
+    records = counts["records"].of(records_of(documents, transport, key))
     if layout == "files":
         sinks.write_files(sinks.document_files(documents, records, output))
     elif output:
@@ -72,11 +77,12 @@ def process(spark: SparkSession, paths: list[str], output: str | None = None, ma
 
 def process_one(spark: SparkSession, name: str, content: bytes, **options) -> dict:
     """The record of one file's content as nested mappings; raises if there is no text."""
-    with tempfile.TemporaryDirectory() as folder:  # one request, handled where it came in: not for a cluster's data
-        path = os.path.join(folder, f"upload{os.path.splitext(name)[1]}")
-        with open(path, "wb") as f:
-            f.write(content)
-        documents, records = process(spark, [f"file://{path}"], **options)
+    with scratch():
+        path = f"{shared_dir(spark)}/upload{os.path.splitext(name)[1]}"  # where executors can read it
+        store, place = files.store_of(path)
+        with store.open_output_stream(place) as out:
+            out.write(content)
+        documents, records = process(spark, [path], **options)
         row = records.select(sinks.record_json().alias("json")).first()
     if row is None:
         raise ValueError("no text was found")
@@ -170,10 +176,11 @@ def main(arguments: list[str] | None = None) -> int:
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("formloom").getOrCreate()
     with timed("all files"):
-        documents, records = process(spark, given.paths, given.output_dir, force_ocr=given.force_ocr, dpi=given.dpi, languages=given.lang, engine=given.engine, layout=given.layout)
-        for row in documents.groupBy("status").count().orderBy("status").collect():
-            print(row.status, row["count"])
-        print("records", records.count())
+        counts: dict[str, Counts] = {}
+        process(spark, given.paths, given.output_dir, force_ocr=given.force_ocr, dpi=given.dpi, languages=given.lang, engine=given.engine, layout=given.layout, counts=counts)
+        for state, n in counts["documents"].by_state().items():
+            print(state, n)
+        print("records", counts["records"].get()["rows"])
     return 0
 
 

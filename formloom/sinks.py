@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.plans.catalog import FIELDS, SECTIONS, flat_name, of_section
+from formloom.session import written
 from formloom.sources.files import base_name, store_of, without_extension
 
 # What is appended to the names of outputs.
@@ -69,26 +71,81 @@ def document_files(documents: DataFrame, records: DataFrame, folder: str | None
     return named.select("file", F.col("text").alias("content")).unionByName(fields.select(F.concat(stem, F.lit(FIELDS_SUFFIX)).alias("file"), "content"))
 
 
-def write_files(files: DataFrame) -> int:
-    """Writes each content (JSON with an indent of two) to its file, from the workers, and returns how many.
+STAGED = "file string, staged string"
 
-    A file gets its name when it is whole, so that a task that runs again does no harm.
-    """
 
-    def run(batches):
+def _parts(batches: Iterator[pd.DataFrame], run: str) -> Iterator[pd.DataFrame]:
+    """Writes contents to files of their own in a hidden folder beside where they belong; what a failing task has written goes."""
+    made: list[tuple] = []
+    try:
         for batch in batches:
+            rows = []
             for name, content in zip(batch["file"], batch["content"], strict=True):
                 if name.endswith(".json"):
                     content = json.dumps(json.loads(content), indent=2, ensure_ascii=False)
-                store, place = store_of(name)
-                store.create_dir(place.rpartition("/")[0], recursive=True)
-                part = f"{place}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
+                folder = f"{name.rpartition('/')[0]}/.{run}"
+                store, place = store_of(folder)
+                store.create_dir(place, recursive=True)
+                part = uuid.uuid4().hex
+                made.append((store, f"{place}/{part}"))
+                with store.open_output_stream(f"{place}/{part}") as out:
                     out.write(content.encode())
-                store.move(part, place)
+                rows.append((name, f"{folder}/{part}"))
+            yield pd.DataFrame(rows, columns=["file", "staged"])
+    except BaseException:
+        for store, place in made:
+            if store.get_file_info(place).type.name == "File":
+                store.delete_file(place)
+        raise
+
+
+def staged_files(files: DataFrame) -> DataFrame:
+    """(file, staged): each content (JSON with an indent of two) in a file of its own that no listing shows. Nothing has its name yet."""
+    run = f"formloom-{uuid.uuid4().hex}"
+    try:
+        return written(files.mapInPandas(lambda batches: _parts(batches, run), STAGED), "staged")
+    except Exception:
+        _swept(files.select(F.regexp_replace("file", "/[^/]*$", f"/.{run}").alias("folder")))
+        raise
+
+
+def _swept(folders: DataFrame) -> None:
+    """Removes folders of staged files, whatever is in them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                store, place = store_of(folder)
+                if store.get_file_info(place).type.name == "Directory":
+                    store.delete_dir(place)
+            yield batch
+
+    folders.distinct().mapInPandas(run, "folder string").write.format("noop").mode("overwrite").save()
+
+
+def commit_files(staged: DataFrame) -> int:
+    """Gives staged files their names, from the workers, and returns how many; may run again if it fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, part in zip(batch["file"], batch["staged"], strict=True):
+                store, place = store_of(part)
+                if store.get_file_info(place).type.name == "File":  # else an attempt before this one has moved it
+                    store.move(place, store_of(name)[1])
             yield pd.DataFrame({"n": [len(batch)]})
 
-    return files.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = staged.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    _swept(staged.select(F.regexp_replace("staged", "/[^/]*$", "").alias("folder")))
+    return n
+
+
+def write_files(files: DataFrame) -> int:
+    """Writes each content to its file and returns how many: all of them, or none if a task fails.
+
+    First all contents are staged, then all are renamed; the list of staged files stands in a written table in between, and renaming
+    goes on from that wherever it stopped. Neither step has the driver touch a file.
+    """
+    return commit_files(staged_files(files))
 
 
 def error_rows(documents: DataFrame, path: str = "path") -> DataFrame:

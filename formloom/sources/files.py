@@ -1,9 +1,16 @@
-"""Files: what to process, of which kind, and reading them as a table."""
+"""Files: what to process, of which kind, and reading them as a table.
+
+Paths come as a list, as a command line has them, or as a table of any size (:func:`looked_up`, :func:`listed`, :func:`collected`): then tasks look
+them up, list folders and read files, and the driver sees none of them.
+"""
 
 from __future__ import annotations
 
+import os
 import urllib.parse
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,11 +88,81 @@ def _listed(path: str) -> bool:
     return name[0] not in "._" and end.lower() in EXTENSIONS and end in (end.lower(), end.upper())
 
 
-def collect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _qualified(path: str, place: str) -> str:
+    """A path as Spark's listings show it."""
+    return f"file:{os.path.abspath(place)}" if "://" not in path or path.startswith("file:") else path.rstrip("/")
+
+
+def looked_up(paths: DataFrame, path: str = "path", tasks: int | None = None) -> DataFrame:
+    """(path, found, is_folder, qualified) of each different path of a table; null paths are left out.
+
+    Tasks ask the stores, for many paths at once. Stores are those that pyarrow knows (local, HDFS, S3, GCS).
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            stores: dict = {}
+            for one in batch["path"]:
+                store, place = store_of(one)
+                stores.setdefault(store.type_name, (store, []))[1].append((one, place))
+            for store, asked in stores.values():
+                kinds = [x.type for x in store.get_file_info([place for _, place in asked])]
+                yield pd.DataFrame({"path": [one for one, _ in asked], "found": [k != fs.FileType.NotFound for k in kinds], "is_folder": [k == fs.FileType.Directory for k in kinds], "qualified": [_qualified(*x) for x in asked]})
+
+    different = paths.select(F.col(path).alias("path")).where(F.col("path").isNotNull()).distinct()
+    n = tasks or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return different.repartition(n, "path").mapInPandas(look, "path string, found boolean, is_folder boolean, qualified string")
+
+
+def listed(folders: DataFrame, folder: str = "qualified") -> DataFrame:
+    """(path) of the files of each folder that :func:`read_files` would list."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for one in batch["folder"]:
+                store, place = store_of(one)
+                infos = store.get_file_info(fs.FileSelector(place, recursive=False))
+                names = [x.base_name for x in infos if x.type == fs.FileType.File and x.size and _listed(x.base_name)]
+                yield pd.DataFrame({"path": [f"{one.rstrip('/')}/{name}" for name in names]})
+
+    return folders.select(F.col(folder).alias("folder")).mapInPandas(run, "path string")
+
+
+def collected(paths: DataFrame, path: str = "path", tasks: int | None = None) -> DataFrame:
+    """What :func:`collect_files` gives, for a table of paths.
+
+    Paths are made distinct and dealt out before any file is read; contents go through no exchange.
+    """
+    asked = written(looked_up(paths, path, tasks), "asked")  # read three times
+    n = tasks or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there = asked.where("found AND NOT is_folder").select(F.col("qualified").alias("path"))
+    different = there.union(listed(asked.where("is_folder"))).distinct().repartition(n, "path")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one in batch["path"]:  # one at a time: contents may be large
+                store, place = store_of(one)
+                with store.open_input_file(place) as f:
+                    content = f.read()
+                yield pd.DataFrame({"path": [one], "status": ["ok"], "length": [len(content)], "content": [content]})
+
+    found = different.mapInPandas(read, "path string, status string, length bigint, content binary")
+    gone = asked.where("NOT found").select("path", F.lit("missing").alias("status"), F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content"))
+    return found.unionByName(gone).withColumn("kind", kind(F.col("path")))
+
+
+def collect_files(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """path, status ("ok" or "missing"), kind, length, content: files of folders and files named, each once.
 
-    A file named is taken whatever its extension; one that doesn't exist becomes a row of its own.
+    A file named is taken whatever its extension; one that doesn't exist becomes a row of its own. A list is looked up
+    by the driver, a table (``path``) by tasks.
     """
+    if isinstance(paths, DataFrame):
+        return collected(paths)
     asked = requested(spark, paths).collect()  # as many as the user names
     folders = sorted({r.qualified for r in asked if r.is_folder})
     files = sorted({r.qualified for r in asked if r.found and not r.is_folder})
