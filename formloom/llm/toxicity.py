@@ -6,8 +6,10 @@ be too good, so later models are trained with out-of-fold probabilities: each fo
 on words that were chosen without it.
 
 The features are whole words, of any language, that tell toxic from clean in the labelled sample: how often each occurs, how
-many different ones there are and their share of the text. Parts of words are not used: a word that begins like
-an insult is no insult. Some telling words have harmless uses as well. What those look like is learnt from
+many different ones there are and their share of the text. A word with one letter more at its end than a telling one counts as that (plurals).
+One word that begins like an insult is no insult; but in languages that inflect, what tells may be a beginning that several
+words of a text share: of beginnings of :data:`STEMS` letters those that tell where two words or more of a text have them are features, too.
+Some telling words have harmless uses as well. What those look like is learnt from
 :data:`BACKGROUND`, a few ordinary English sentences that join the sample: a word that occurs in its clean sentences has
 one more feature, its count times the share of the text's words that the background knows.
 
@@ -97,6 +99,9 @@ BACKGROUND_WEIGHT = 3.0
 #: A text is not ordinary or wholly ordinary if the background knows no more than this share, or at least this, of its words.
 ORDINARY = (0.25, 0.5)
 
+#: Letters of beginnings that are looked at in words which are longer; what marks a beginning in the vocabulary.
+STEMS, STEM = (5, 7), "+"
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words of the background.
 _PLAIN = frozenset(w for _, x in BACKGROUND for w in _WORD.findall(x.lower()))
@@ -116,14 +121,25 @@ def _signatures(values: pa.Array) -> pa.Array:
     return pa.array([_signature(_WORD.findall(text_of(x.as_py()).lower())) for x in values], type=pa.int64())
 
 
+def _stems(words: Counter) -> dict[str, int]:
+    """The beginnings that two words or more of a text share, and how many do."""
+    found: Counter = Counter()
+    for word, n in words.items():
+        for size in STEMS:
+            if len(word) > size:
+                found[word[:size] + STEM] += n
+    return {stem: n for stem, n in found.items() if n > 1}
+
+
 def _word_counts(sample: DataFrame) -> DataFrame:
-    """(word, a, b): toxic and clean documents of ``sample`` (text, toxic, fold) that hold a word, by fold. Tasks sum up before they pass on."""
+    """(word, a, b): toxic and clean documents of ``sample`` (text, toxic, fold) that hold a word or a beginning, by fold. Tasks sum up before they pass on."""
 
     def run(batches):
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for value, toxic, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for word in set(_WORD.findall(text_of(value.as_py()).lower())):
+                words = Counter(_WORD.findall(text_of(value.as_py()).lower()))
+                for word in (*words, *_stems(words)):
                     counts.setdefault(word, [0] * 2 * FOLDS)[fold + FOLDS * (1 - toxic)] += 1
                 if len(counts) > 100_000:
                     yield _counted(counts)
@@ -161,7 +177,14 @@ def _telling(counts: DataFrame, sizes: np.ndarray, vocabulary: int) -> list[list
 def hits(text: str, place: dict[str, int]) -> tuple[dict[int, int], int, int]:
     """Counts of the words of ``place`` by their numbers; how many words there are, and how many the background has."""
     counts = Counter(_WORD.findall(text.lower()))
-    found = {i: n for w, n in counts.items() if (i := place.get(w)) is not None}
+    found: dict[int, int] = {}
+    for word, n in counts.items():
+        i = place.get(word)
+        if i is None:
+            i = place.get(word[:-1])  # a plural
+        if i is not None:
+            found[i] = found.get(i, 0) + n
+    found |= {i: n for stem, n in _stems(counts).items() if (i := place.get(stem)) is not None}
     return found, sum(counts.values()), sum(n for w, n in counts.items() if w in _PLAIN)
 
 
@@ -171,6 +194,7 @@ class Features:
     def __init__(self, words: list[str]):
         self.words = words
         self.place = {x: i for i, x in enumerate(words)}
+        self.whole = np.array([not x.endswith(STEM) for x in words], dtype=bool)
         self.harmless = np.array([i for i, x in enumerate(words) if x in _HARMLESS], dtype=int)
 
     def __call__(self, counts: np.ndarray, total: np.ndarray, plain: np.ndarray) -> np.ndarray:
@@ -178,7 +202,7 @@ class Features:
         total = np.maximum(1, total)
         often = np.minimum(counts, 3) / 3
         known = np.clip((plain / total - ORDINARY[0]) / (ORDINARY[1] - ORDINARY[0]), 0, 1)[:, None]
-        different, told = (counts > 0).sum(axis=1), counts.sum(axis=1)
+        different, told = (counts[:, self.whole] > 0).sum(axis=1), counts[:, self.whole].sum(axis=1)
         return np.column_stack([often, (counts[:, self.harmless] > 0) * known, different >= 2, different >= 3, np.minimum(told, 10) / 10, np.minimum(1.0, 20 * told / total), known, np.ones(len(total))])
 
 
@@ -339,7 +363,7 @@ def _scorer(model: ToxicityModel):
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Adds the probability of each category (p_varied, p_dense, p_toxic) and the decision ``toxic``."""
+    """Adds the probability of each category (p_insult, p_contempt, p_toxic) and the decision ``toxic``."""
     names = [f"p_{x}" for x in CATEGORIES]
     fresh(docs, *names, "toxic", "__p__")
     score = _scorer(fit_toxicity(docs, labels, text=text, doc_id=doc_id))

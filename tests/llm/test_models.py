@@ -1,6 +1,7 @@
 """Nearest neighbours (3), toxicity (4), quality (5) and the pipeline."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -248,6 +249,50 @@ def test_toxicity_held_out(spark):
     assert sum(r.said for r in toxic) >= 0.88 * len(toxic) and sum(r.said for r in rows if not r.toxic) <= 0.005 * len(rows)
 
 
+def test_inflected_words_count(fitted):
+    bad = ["They are idiots and losers.", "What morons they are, stupid clowns.", "Losers like you are scum."]
+    assert (fitted(bad)[:, -1] >= 0.3).all()
+    assert toxicity.hits("Idiots, idiot; idioten", {"idiot": 0})[0] == {0: 2}
+    assert toxicity.hits("achlichung und achlichkeit, achlichung", {"achlich+": 1, "achli+": 2})[0] == {1: 3, 2: 3}
+    assert toxicity.hits("achlichung und", {"achlich+": 1})[0] == {}
+
+
+def plain_probabilities(model, text):
+    """The chain's probabilities from the definition of its features, a word at a time."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    counts = {}
+    for w in model.features.words:
+        if w.endswith("+"):
+            n = sum(x.startswith(w[:-1]) and len(x) > len(w) - 1 for x in words)
+            counts[w] = n if n > 1 else 0
+        else:
+            counts[w] = sum(x == w or x[:-1] == w and x not in model.features.words for x in words)
+    whole = [w for w in counts if not w.endswith("+") and counts[w]]
+    total = max(1, len(words))
+    known = min(1.0, max(0.0, (sum(w in toxicity._PLAIN for w in words) / total - 0.25) / 0.25))
+    told = sum(counts[w] for w in whole)
+    row = [min(n, 3) / 3 for n in counts.values()] + [(counts[w] > 0) * known for w in counts if w in toxicity._HARMLESS]
+    row += [len(whole) >= 2, len(whole) >= 3, min(told, 10) / 10, min(1.0, 20 * told / total), known]
+    before = []
+    for weights in model.chain.weights:
+        z = float(np.dot([*row, *before, 1.0], weights))
+        before.append(1 / (1 + np.exp(-z)))
+    return before
+
+
+def test_toxicity_query_against_plain(spark):
+    """Every row of the query, by a plain scorer with the model that it fits."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.op4_toxicity(spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(rows) == len(texts) and len(model.features.words) > 5
+    for i, text in texts.items():
+        want = plain_probabilities(model, text)
+        assert [rows[i][f"p_{c}"] for c in toxicity.CATEGORIES] == pytest.approx(want, abs=1e-6) and rows[i].toxic == (want[-1] >= 0.3)
+
+
 # -- quality
 
 
@@ -358,7 +403,7 @@ def test_entry_lists_all():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op") and q[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op") and q[2].isdigit()} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
