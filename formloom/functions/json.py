@@ -41,11 +41,11 @@ def is_json(text: Column) -> Column:
     """Whether a text is one JSON value and nothing else; null if the text is."""
 
     def whole(shape: Column) -> Column:
-        brackets = lambda which: F.length(F.regexp_replace(shape, f"[^{which}]++", ""))
+        brackets = lambda which: F.length(shape) - F.length(F.translate(shape, which, ""))
         # one level goes at a time, from within
         smaller = lambda acc, _: F.when(F.length(acc) > 1, F.regexp_replace(acc, _INNERMOST, "0")).otherwise(acc)
-        levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(brackets(r"\[{"), F.lit(DEEPEST))))
-        return F.when(brackets(r"\[{") != brackets(r"\]}"), False).otherwise(F.aggregate(levels, shape, smaller).isin("0", '"'))
+        levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(brackets("[{"), F.lit(DEEPEST))))
+        return F.when(brackets("[{") != brackets("]}"), False).otherwise(F.aggregate(levels, shape, smaller).isin("0", '"'))
 
     def checked(t: Column) -> Column:
         shape = F.regexp_replace(t, _STRING, '"')
@@ -60,73 +60,74 @@ def marked(text: Column) -> Column:
     return _with(text, lambda t: F.when(is_json(t), F.regexp_replace(t, rf'"({_BODY})"|({_NUMBER}|true|false)', rf'"{_MARKS[0]}$1{_MARKS[1]}$2"')))
 
 
-def is_object(marked_text: Column) -> Column:
-    return F.coalesce(F.btrim(marked_text, F.lit(" \t\n\r")).startswith("{"), F.lit(False))
+# The functions below take SQL text and give SQL text: a record has many fields, and expressions that are put together call by call take
+# longer than the work on small tables.
 
 
-def members(marked_text: Column) -> Column:
-    """struct(keys, values): the members of an object, the last first; none if it isn't an object."""
-    entries = _with(marked_text, lambda t: F.map_entries(F.when(is_object(t), F.from_json(t, "map<string,string>"))))
-    entries = F.reverse(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")))
-    return _with(entries, lambda e: F.struct(e["key"].alias("keys"), e["value"].alias("values")))
+def literal(text: str) -> str:
+    """A text as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def has(found: Column, name: str) -> Column:
-    return F.array_contains(found["keys"], _BEFORE + name + _AFTER)
+def _once(value: str, use: str) -> str:
+    """``use`` of v, which is ``value``, evaluated once."""
+    return f"get(transform(array({value}), v -> {use}), 0)"
 
 
-def member(found: Column, name: str) -> Column:
-    """The value of a member, with marks: null if there is none, or if it is ``null``. Of a repeated key the last."""
-    return _with(found, lambda m: F.get(m["values"], F.array_position(m["keys"], _BEFORE + name + _AFTER).cast("int") - 1))
+def is_object(marked_text: str) -> str:
+    return f"coalesce(startswith(btrim({marked_text}, ' \\t\\n\\r'), '{{'), false)"
+
+
+def members(marked_text: str) -> str:
+    """A struct of keys and values: the members of an object, the last first; none if it isn't an object."""
+    entries = _once(marked_text, f"map_entries(CASE WHEN {is_object('v')} THEN from_json(v, 'map<string,string>') END)")
+    entries = f"reverse(coalesce({entries}, CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>)))"
+    return _once(entries, "named_struct('keys', v.key, 'values', v.value)")
 
 
-def elements(marked_text: Column) -> Column:
+def elements(marked_text: str) -> str:
     """The elements of an array, with marks; null if it isn't one."""
-    return _with(marked_text, lambda t: F.when(F.btrim(t, F.lit(" \t\n\r")).startswith("["), F.from_json(t, "array<string>")))
+    return _once(marked_text, "CASE WHEN startswith(btrim(v, ' \\t\\n\\r'), '[') THEN from_json(v, 'array<string>') END")
+
+
+def has(found: str, name: str) -> str:
+    """Whether an object of :func:`members` has a member."""
+    return f"array_contains({found}.keys, {literal(_BEFORE + name + _AFTER)})"
+
+
+def member(found: str, name: str) -> str:
+    """The value of a member, with marks: null if there is none, or if it is ``null``. Of a repeated key the last."""
+    return _once(found, f"get(v.values, CAST(array_position(v.keys, {literal(_BEFORE + name + _AFTER)}) AS INT) - 1)")
 
 
-def is_string(value: Column) -> Column:
-    return _with(value, lambda v: v.startswith(_BEFORE) & v.endswith(_AFTER))
+def is_string(value: str) -> str:
+    return _once(value, f"startswith(v, '{_BEFORE}') AND endswith(v, '{_AFTER}')")
 
 
-def kind_of(value: Column) -> Column:
+def kind_of(value: str) -> str:
     """The type of a marked value: string, integer, float, boolean, object, array or null."""
-    return _with(
+    return _once(
         value,
-        lambda v: F.when(v.isNull(), "null")
-        .when(~v.startswith(_BEFORE), F.when(v.startswith("{"), "object").otherwise("array"))
-        .when(v.endswith(_AFTER), "string")
-        .when(F.substring(v, 3, 1).isin("t", "f"), "boolean")
-        .when(v.rlike(r"^..-?[0-9]+$"), "integer")
-        .otherwise("float"),
+        f"""CASE WHEN v IS NULL THEN 'null' WHEN NOT startswith(v, '{_BEFORE}') THEN CASE WHEN startswith(v, '{{') THEN 'object' ELSE 'array' END
+            WHEN endswith(v, '{_AFTER}') THEN 'string' WHEN substring(v, 3, 1) IN ('t', 'f') THEN 'boolean' WHEN v RLIKE r'^..-?[0-9]+$' THEN 'integer' ELSE 'float' END""",
     )
 
 
-def text_of(value: Column) -> Column:
+def text_of(value: str) -> str:
     """A marked value as text: what a string says, and all else as it is spelled; null for ``null``.
 
     Objects and arrays are written without blanks, with the spelling of what they hold.
     """
+    scalars = rf"""regexp_replace(v, r'"{_MARKS[0]}{_MARKS[1]}([^"\\]++)"', '$1')"""
+    nested = rf"""regexp_replace({scalars}, r'"{_MARKS[0]}((?:[^"\\]|\\.)*?){_MARKS[1]}"', '"$1"')"""
+    return _once(value, f"CASE WHEN NOT startswith(v, '{_BEFORE}') THEN {nested} WHEN endswith(v, '{_AFTER}') THEN substring(v, 2, length(v) - 2) ELSE substring(v, 3) END")
 
-    def text(v: Column) -> Column:
-        inner = F.regexp_replace(v, rf'"{_MARKS[0]}{_MARKS[1]}([^"\\]++)"', "$1")
-        inner = F.regexp_replace(inner, rf'"{_MARKS[0]}((?:[^"\\]|\\.)*?){_MARKS[1]}"', '"$1"')
-        plain = F.when(v.endswith(_AFTER), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.substring(v, F.lit(3), F.length(v)))
-        return F.when(v.startswith(_BEFORE), plain).otherwise(inner)
-
-    return _with(value, text)
 
-
-def as_variant(kind: Column, text: Column) -> Column:
+def as_variant(kind: str, text: str) -> str:
     """What :func:`kind_of` and :func:`text_of` say of a value as VARIANT: ``null`` is the null of VARIANT, not of SQL.
 
     VARIANT has neither ``NaN`` within objects and arrays nor repeated keys in them; such a value is the text that it was spelled with.
     """
-
-    def variant(v: Column) -> Column:
-        kind, text = v["kind"], v["text"]
-        odd = F.when(text.isin("NaN", "Infinity", "-Infinity"), text.cast("double").cast("variant")).otherwise(text.cast("variant"))
-        parsed = F.try_parse_json(F.when(kind == "null", "null").otherwise(text))
-        return F.when(kind == "string", text.cast("variant")).otherwise(F.coalesce(parsed, odd))
-
-    return _with(F.struct(kind.alias("kind"), text.alias("text")), variant)
+    odd = "CASE WHEN v.t IN ('NaN', 'Infinity', '-Infinity') THEN CAST(CAST(v.t AS DOUBLE) AS VARIANT) ELSE CAST(v.t AS VARIANT) END"
+    parsed = "try_parse_json(CASE WHEN v.k = 'null' THEN 'null' ELSE v.t END)"
+    return _once(f"named_struct('k', {kind}, 't', {text})", f"CASE WHEN v.k = 'string' THEN CAST(v.t AS VARIANT) ELSE coalesce({parsed}, {odd}) END")

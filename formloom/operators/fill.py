@@ -28,35 +28,47 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def _taken_apart(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue) -> tuple[DataFrame, list[tuple[Entry, Column, Column]]]:
-    """``keep`` and, for each field of the catalogue, columns that say whether it is there and what its value with marks is.
+#: A field, and SQL that says whether it is there and what its value with marks is.
+Held = tuple[Entry, str, str]
+
+
+def _quoted(*columns: str) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+def _taken_apart(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue) -> tuple[DataFrame, list[Held]]:
+    """``keep`` and columns for each field of the catalogue.
 
     Each step is a projection of its own, since what it makes is read several times in the next.
     """
     kept = df.select(*map(named, keep))
     whole, root = fresh(kept, "_whole"), fresh(kept, "_object")
     out = df.select(*map(named, keep), J.marked(named(json)).alias(whole))
-    out = out.select(*map(named, keep), J.members(F.col(whole)).alias(root))
-    objects = {(): F.col(root)}
+    out = out.selectExpr(*_quoted(*keep), f"{J.members(whole)} AS {root}")
+    objects = {(): root}
     paths = catalogue.objects()
     for depth in range(1, max(map(len, paths), default=0) + 1):
         level = [(p, fresh(out, f"_text{i}"), fresh(out, f"_object{i}")) for i, p in enumerate(paths) if len(p) == depth]
-        out = out.select("*", *(J.member(objects[p[:-1]], p[-1]).alias(text) for p, text, _ in level))
-        out = out.select("*", *(J.members(F.col(text)).alias(name) for _, text, name in level))
-        objects |= {p: F.col(name) for p, _, name in level}
+        out = out.selectExpr("*", *(f"{J.member(objects[p[:-1]], p[-1])} AS {text}" for p, text, _ in level))
+        out = out.selectExpr("*", *(f"{J.members(text)} AS {name}" for _, text, name in level))
+        objects |= {p: name for p, _, name in level}
     fields = [(e, fresh(out, f"_there{i}"), fresh(out, f"_value{i}")) for i, e in enumerate(catalogue.entries)]
-    held = [column for e, there, value in fields for column in (J.has(objects[e.path[:-1]], e.path[-1]).alias(there), J.member(objects[e.path[:-1]], e.path[-1]).alias(value))]
-    return out.select(*map(named, keep), *held), [(e, F.col(there), F.col(value)) for e, there, value in fields]
+    held = [column for e, there, value in fields for column in (f"{J.has(objects[e.path[:-1]], e.path[-1])} AS {there}", f"{J.member(objects[e.path[:-1]], e.path[-1])} AS {value}")]
+    return out.selectExpr(*_quoted(*keep), *held), fields
 
 
 def _is_boolean(e: Entry) -> bool:
     return e.type.lower() == "boolean"
 
 
-def _as_filled(e: Entry, there: Column, value: Column) -> tuple[Column, Column]:
-    """The type and the text of the field's value, the default's if it is absent."""
-    kind, text = J.kind_of(value), J.text_of(value)
-    return (F.when(there, kind).otherwise("boolean"), F.when(there, text).otherwise("false")) if _is_boolean(e) else (kind, text)
+def _kind(e: Entry, there: str, value: str) -> str:
+    """The type of the field's value, the default's if it is absent."""
+    return f"CASE WHEN {there} THEN {J.kind_of(value)} ELSE 'boolean' END" if _is_boolean(e) else J.kind_of(value)
+
+
+def _text(e: Entry, there: str, value: str) -> str:
+    """The text of the field's value, the default's if it is absent."""
+    return f"CASE WHEN {there} THEN {J.text_of(value)} ELSE 'false' END" if _is_boolean(e) else J.text_of(value)
 
 
 def filled(df: DataFrame, json: str, keep: list[str], typed: bool = True, catalogue: Catalogue = CATALOGUE) -> DataFrame:
@@ -66,16 +78,15 @@ def filled(df: DataFrame, json: str, keep: list[str], typed: bool = True, catalo
     can't be; a boolean is ``true`` or ``false``, also as text, and nothing else.
     """
     out, fields = _taken_apart(df, json, keep, catalogue)
-    texts = out.select(*map(named, keep), *(_as_filled(*f)[1].alias(f[0].column) for f in fields))
+    columns = _quoted(*(e.column for e in catalogue.entries))
+    texts = out.selectExpr(*_quoted(*keep), *(f"{_text(*f)} AS {c}" for f, c in zip(fields, columns, strict=True)))
     if not typed:
         return texts
 
-    def value(e: Entry) -> Column:
-        text = named(e.column)
-        cast = F.when(text.isin("true", "false"), text == "true") if _is_boolean(e) else text.try_cast(spark_type(e.type))
-        return cast.alias(e.column)
+    def value(e: Entry, c: str) -> str:
+        return f"{f"CASE WHEN {c} IN ('true', 'false') THEN {c} = 'true' END" if _is_boolean(e) else f'TRY_CAST({c} AS {spark_type(e.type).simpleString()})'} AS {c}"
 
-    return texts.select(*map(named, keep), *map(value, catalogue.entries))
+    return texts.selectExpr(*_quoted(*keep), *map(value, catalogue.entries, columns))
 
 
 def filled_variants(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue = CATALOGUE) -> DataFrame:
@@ -84,12 +95,10 @@ def filled_variants(df: DataFrame, json: str, keep: list[str], catalogue: Catalo
     What is null or absent is the null of VARIANT (``is_variant_null``), an absent boolean is false.
     """
     out, fields = _taken_apart(df, json, keep, catalogue)
-    read, made = [], []
-    for i, (e, there, value) in enumerate(fields):
-        names = fresh(out, f"_kind{i}"), fresh(out, f"_text{i}")
-        read += [c.alias(n) for c, n in zip(_as_filled(e, there, value), names, strict=True)]
-        made.append(J.as_variant(*map(F.col, names)).alias(e.column))
-    return out.select(*map(named, keep), *read).select(*map(named, keep), *made)
+    names = [(fresh(out, f"_kind{i}"), fresh(out, f"_text{i}")) for i in range(len(fields))]
+    read = [column for f, (kind, text) in zip(fields, names, strict=True) for column in (f"{_kind(*f)} AS {kind}", f"{_text(*f)} AS {text}")]
+    made = [f"{J.as_variant(*own)} AS {c}" for own, c in zip(names, _quoted(*(e.column for e in catalogue.entries)), strict=True)]
+    return out.selectExpr(*_quoted(*keep), *read).selectExpr(*_quoted(*keep), *made)
 
 
 def filled_values(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue = CATALOGUE) -> DataFrame:
@@ -98,13 +107,8 @@ def filled_values(df: DataFrame, json: str, keep: list[str], catalogue: Catalogu
     Types: string, integer, float, boolean, object, array and null. Texts are spelled as in the JSON.
     """
     out, fields = _taken_apart(df, json, keep, catalogue)
-
-    def row(i: int, e: Entry, there: Column, value: Column) -> Column:
-        kind, text = _as_filled(e, there, value)
-        return F.struct(F.lit(e.path[0]).alias("section"), F.lit(e.field).alias("field"), F.lit(i).alias("ordinal"), there.alias("present"), kind.alias("type"), text.alias("value"))
-
-    rows = F.array(*(row(i, *f) for i, f in enumerate(fields)))
-    return out.select(*map(named, keep), F.inline(rows))
+    rows = [f"named_struct('section', {J.literal(e.path[0])}, 'field', {J.literal(e.field)}, 'ordinal', {i}, 'present', {there}, 'type', {_kind(e, there, value)}, 'value', {_text(e, there, value)})" for i, (e, there, value) in enumerate(fields)]
+    return out.selectExpr(*_quoted(*keep), f"inline(array({', '.join(rows)}))")
 
 
 def filled_rows(catalog: DataFrame, values: DataFrame, key: str, catalogue: Catalogue = CATALOGUE) -> DataFrame:

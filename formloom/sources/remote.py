@@ -71,17 +71,6 @@ def _compiled(catalogue: Catalogue | dict | None) -> Catalogue:
     return catalogue if isinstance(catalogue, Catalogue) else compiled(catalogue)
 
 
-def _is_empty(value: Column) -> Column:
-    """Whether Python would take a value with marks for false."""
-    kind, text = J.kind_of(value), J.text_of(value)
-    sizes = F.coalesce(F.size(J.elements(value)), F.lit(0)) + F.size(J.members(value)["keys"])
-    return (
-        F.when(kind.isin("object", "array"), sizes == 0)
-        .when(kind.isin("integer", "float"), F.coalesce(text.try_cast("double") == 0, F.lit(False)))
-        .otherwise((kind == "null") | (kind == "string") & (text == "") | (kind == "boolean") & (text == "false"))
-    )
-
-
 def unpacked(replies: DataFrame, keep: list[str], typed: bool = True, catalogue: Catalogue | dict | None = None, fill: Callable[..., DataFrame] | None = None) -> DataFrame:
     """The record of each reply (http_status, body, error), filled to the catalogue, with status and error.
 
@@ -92,25 +81,38 @@ def unpacked(replies: DataFrame, keep: list[str], typed: bool = True, catalogue:
     rows = replies.select(*map(named, keep), "http_status", "error", J.marked(F.when(F.col("http_status") == 200, F.col("body"))).alias("_body"))
     # one step in each projection, as the next reads what it makes several times
     steps = {
-        "_root": J.members(F.col("_body")),
-        "_candidates": J.member(F.col("_root"), "candidates"),
-        "_none": _is_empty(F.col("_candidates")),
-        "_first": F.get(J.elements(F.col("_candidates")), 0),
-        "_content": J.member(J.members(F.col("_first")), "content"),
-        "_parts": J.member(J.members(F.col("_content")), "parts"),
-        "_part": F.get(J.elements(F.col("_parts")), 0),
-        "_said": J.member(J.members(F.col("_part")), "text"),
-        "_text": F.when(J.is_string(F.col("_said")), J.text_of(F.col("_said"))),
+        "_root": F.expr(J.members("_body")),
+        "_candidates": F.expr(J.member("_root", "candidates")),
+        "_kind": F.expr(J.kind_of("_candidates")),
+        "_list": F.expr(J.elements("_candidates")),
+        "_held": F.expr(J.members("_candidates")),
+        "_plain": F.expr(J.text_of("_candidates")),
+        "_first": F.get("_list", 0),
+        "_message": F.expr(J.members("_first")),
+        "_content": F.expr(J.member("_message", "content")),
+        "_inner": F.expr(J.members("_content")),
+        "_parts": F.expr(J.member("_inner", "parts")),
+        "_part": F.get(F.expr(J.elements("_parts")), 0),
+        "_last": F.expr(J.members("_part")),
+        "_said": F.expr(J.member("_last", "text")),
+        "_text": F.expr(f"CASE WHEN {J.is_string('_said')} THEN {J.text_of('_said')} END"),
         "_good": F.coalesce(J.is_json(F.col("_text")), F.lit(False)),
     }
     for name, step in steps.items():
         rows = rows.withColumn(name, step)
+    # what Python would take for false
+    none = (
+        F.when(F.col("_kind") == "array", F.size("_list") == 0)
+        .when(F.col("_kind") == "object", F.size("_held.keys") == 0)
+        .when(F.col("_kind").isin("integer", "float"), F.coalesce(F.col("_plain").try_cast("double") == 0, F.lit(False)))
+        .otherwise((F.col("_kind") == "null") | (F.col("_kind") == "string") & (F.col("_plain") == "") | (F.col("_kind") == "boolean") & (F.col("_plain") == "false"))
+    )
     error = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit(f"{FAILED}: "), F.col("error")))
         .when(F.col("http_status").isNull(), F.lit(FAILED))
         .when(F.col("http_status") != 200, F.format_string(BAD_STATUS.format(status="%d"), "http_status"))
-        .when(~J.is_object(F.col("_body")), F.lit(FAILED))
-        .when(F.col("_none"), F.lit(EMPTY_REPLY))
+        .when(~F.expr(J.is_object("_body")), F.lit(FAILED))
+        .when(none, F.lit(EMPTY_REPLY))
         .when(~F.col("_good"), F.lit(FAILED))
     )
     rows = rows.withColumn("_error", error).select(*map(named, keep), "_error", F.when(F.col("_error").isNull(), F.col("_text")).alias("_json"))
