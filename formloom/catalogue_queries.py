@@ -245,6 +245,14 @@ def missing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.missing(load(spark, sf_dir, "documents").select("doc_id"), load(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
+def paths_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a table, looked up by tasks: two of the given tables, and one that doesn't exist for every third customer."""
+    k = F.col(KEY)
+    name = F.when(k % 3 == 0, "customer.parquet").when(k % 3 == 1, "orders.parquet").otherwise(F.concat(F.lit("gone-"), k.cast("string"), F.lit(".pdf")))
+    asked = load(spark, sf_dir, "customer").select(F.concat(F.lit(f"{sf_dir}/"), name).alias("path"))
+    return files.looked_up(asked).select(files.base_name(F.col("path")).alias("name"), "found")
+
+
 def record_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an address in their text, by quality label."""
     docs = load(spark, sf_dir, "documents").select("doc_id", rules.email(F.col("text")).isNotNull().alias("has_email"))
@@ -374,7 +382,7 @@ QUERIES = {name: _fields(**columns) for name, columns in _BY_RULE.items()} | {
     f.__name__: f
     for f in (
         form_name_fallback, form_record_long, form_record_nested, form_birth_dates, doc_emails, doc_allcaps_head, doc_squish, doc_lines_topk, page_digital_ratio, page_assemble, page_map_roundtrip, route_documents,
-        route_single_pages, ocr_lines, page_seconds, fill_defaults, fill_rows, props_fill, catalog_types, file_kind, output_names, dataset_progress, missing_paths, record_quality, any_underlying, scaled_zoom, label_lookup, service_health,
+        route_single_pages, ocr_lines, page_seconds, fill_defaults, fill_rows, props_fill, catalog_types, file_kind, output_names, dataset_progress, missing_paths, paths_found, record_quality, any_underlying, scaled_zoom, label_lookup, service_health,
         doc_allcaps_marked, page_probe_default, page_worker_ranges, remote_request, remote_replies, record_json, output_errors, form_diseases, form_labels,
     )
 }
@@ -461,6 +469,7 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
         SELECT 'in/' || stem || e AS path, 'out/' || stem || '_extracted.txt' AS out_name, count(*) OVER (PARTITION BY stem) > 1 AS collides FROM p""",
     "dataset_progress": "SELECT c_name AS path, row_number() OVER (ORDER BY c_name) AS idx, count(*) OVER () AS total FROM customer",
     "missing_paths": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "paths_found": "SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'customer.parquet' WHEN 1 THEN 'orders.parquet' ELSE 'gone-' || c_custkey || '.pdf' END AS name, c_custkey % 3 <> 2 AS found FROM customer",
     "record_quality": f"SELECT quality, count(*) AS documents, count(*) FILTER (WHERE regexp_matches(text, '{_EMAIL}')) AS with_email FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality",
     "any_underlying": f"SELECT c_mktsegment, bool_or({_EXPECTED['phan_loai_benh_nen__has_underlying_disease']}) AS any_underlying, count(*) AS records FROM customer GROUP BY 1",
     "scaled_zoom": f"SELECT {KEY}, (72 + {KEY} % 150)::DOUBLE / 72 AS zoom FROM customer",

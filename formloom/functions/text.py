@@ -7,7 +7,7 @@ are written as for Python and translated by :func:`pattern`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WHITE = r"\s\x1c-\x1f"
@@ -36,6 +36,14 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, wanted: str) -> str:
+    """A column name like ``wanted`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def first_group(text: Column, python: str, ignore_case: bool = True, group: int = 1) -> Column:
     """The group of the first match, null without a match. The group must not match an empty string."""
     return F.nullif(F.regexp_extract(text, pattern(python, ignore_case), group), F.lit(""))

@@ -12,22 +12,14 @@ Each object is taken apart once, whatever the number of its fields.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions import json as J
-from formloom.functions.text import named
+from formloom.functions.text import fresh, named
 from formloom.plans.catalog import CATALOGUE, Catalogue, Entry, spark_type
 
 
-def fresh(df: DataFrame, wanted: str) -> str:
-    """A column name like ``wanted`` that the table doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 #: A field, and SQL that says whether it is there and what its value with marks is.
 Held = tuple[Entry, str, str]
 

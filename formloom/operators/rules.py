@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formloom.functions.text import contains_any, first_group, pattern, squish, strip, to_double, to_long, truncated
+from formloom.functions.text import contains_any, first_group, fresh, named, pattern, squish, strip, to_double, to_long, truncated
 from formloom.plans.catalog import FIELDS, SECTIONS, FieldSpec, flat_name, of_section, spark_type
 
 # The patterns of labelled fields.
@@ -139,37 +139,39 @@ def extract(df: DataFrame, text: str = "text", reference_year: int = REFERENCE_Y
     cholesterol) feed several fields and are computed once.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    t = F.coalesce(F.col(text), F.lit(""))
-    # what several fields need, once
-    several = {"_address": address(t), "_diagnosis": diagnosis(t), "_gender": gender(t), "_year": birth_year_label(t), "_born": stated_birth_date(t), "_cholesterol": to_double(first_group(t, CHOLESTEROL))}
-    base = df.select(*keep, t.alias("_t"), *(c.alias(n) for n, c in several.items()))
-    t = F.col("_t")
+    t = F.coalesce(named(text), F.lit(""))
+    # what several fields need, once, under names that no kept column has
+    several = {"address": address(t), "diagnosis": diagnosis(t), "gender": gender(t), "year": birth_year_label(t), "born": stated_birth_date(t), "cholesterol": to_double(first_group(t, CHOLESTEROL)), "text": t}
+    names = {n: fresh(df, f"_{n}") for n in several}
+    base = df.select(*map(named, keep), *(c.alias(names[n]) for n, c in several.items()))
+    of = lambda n: F.col(names[n])
+    t = of("text")
     rules: dict[str, Column] = {
-        "has_underlying_disease": underlying(F.col("_diagnosis")),
-        "tuoi": age(t, F.col("_year"), F.col("_born"), reference_year),
-        "gioi_tinh": F.col("_gender"),
+        "has_underlying_disease": underlying(of("diagnosis")),
+        "tuoi": age(t, of("year"), of("born"), reference_year),
+        "gioi_tinh": of("gender"),
         "huyet_ap_tam_thu_sbp": to_long(first_group(t, SYSTOLIC)),
-        "cholesterol_toan_phan": F.col("_cholesterol"),
+        "cholesterol_toan_phan": of("cholesterol"),
         "hdl_cholesterol": to_double(first_group(t, HDL)),
         "egfr": truncated(first_group(t, EGFR)),
         "acr": truncated(first_group(t, ACR)),
-        "tang_cholesterol_mau_gia_dinh": F.coalesce(F.col("_cholesterol") > CHOLESTEROL_LIMIT, F.lit(False)),
+        "tang_cholesterol_mau_gia_dinh": F.coalesce(of("cholesterol") > CHOLESTEROL_LIMIT, F.lit(False)),
         "ho_va_ten": name(t),
-        "ngay_sinh": birth_date(F.col("_year"), F.col("_born")),
+        "ngay_sinh": birth_date(of("year"), of("born")),
         "so_dien_thoai": phone(t),
         "email": email(t),
-        "tinh_thanh_pho": province(F.col("_address")),
-        "dia_chi_day_du": F.col("_address"),
+        "tinh_thanh_pho": province(of("address")),
+        "dia_chi_day_du": of("address"),
         "chieu_cao": height(t),
         "can_nang": weight(t),
-        "tien_su_benh_ly": F.col("_diagnosis"),
+        "tien_su_benh_ly": of("diagnosis"),
         "ma_nhom_cham_soc": first_group(t, CARE_GROUP),
-    } | {field: disease(F.col("_diagnosis"), field) for field in DISEASES if field}
+    } | {field: disease(of("diagnosis"), field) for field in DISEASES if field}
 
     def value(f: FieldSpec) -> Column:
         return rules.get(f.name, F.lit(f.default)).cast(spark_type(f.type)).alias(flat_name(f))
 
-    return base.select(*keep, *(value(f) for f in FIELDS))
+    return base.select(*map(named, keep), *(value(f) for f in FIELDS))
 
 
 def nested(flat: DataFrame, keep: list[str], section_names: bool = True, column: str = "record") -> DataFrame:

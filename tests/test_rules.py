@@ -121,3 +121,9 @@ def test_request_schema():
 def test_catalog_rows(spark):
     rows = catalog.catalog_table(spark)
     assert rows.count() == 39 and rows.where(F.col("required")).count() == 8
+
+
+def test_columns_of_the_table_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "a", "b", "Địa chỉ: 1 Lê Lợi\nNS: 1980", 4)], "_t int, _address string, `_text` string, text string, `a.b` int")
+    row = rules.extract(df, "text").first()
+    assert tuple(row)[:4] == (1, "a", "b", 4) and row["lien_he_dia_chi__dia_chi_day_du"] == "1 Lê Lợi" and row["chi_so_sinh_ly__tuoi"] == 46
