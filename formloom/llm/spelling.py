@@ -7,13 +7,12 @@ comparing all words:
   breaks at most two bigrams of either word, and those that it leaves have the same order in both. So the first bigram that is left
   stands among the three rarest of both words, at places that differ by one at most.
 * That bigram lies before the edit or after it. Before it, the words agree from their start to the bigram's end; after it, from the
-  bigram's start to their end. And since the parts before and after the edit make up the word, one of them is half of it
-  or more. So a key of a join is the length of the shorter word, the part on the bigram's side, and the half if the part is less (the
-  halves on both sides are tried). Position limits and the limit on lengths are in the key, which is compared for equality.
+  bigram's start to their end. What is left in between holds the edit, in its first half or its second; if in the first, the words agree in the
+  second. So what is left is halved, both ways, until the edit is known to within :data:`WINDOW` places, or a quarter of a long word. A key of the join is the length of the shorter word
+  and the parts on which the words agree. Position limits and the limit on lengths are in the key, which is compared for equality.
 * Pairs that share a key are verified by the edit distance, within the join, and each pair is kept once.
 
-The keys spread: a bigram that many words have is never among their rarest unless all of theirs are as common, and then the
-parts tell them apart. What skew stays is left to adaptive execution, which splits large partitions of a sort-merge join.
+The keys spread, as they hold all of a word but a few places: a bigram that many words have doesn't gather them. What skew stays is left to adaptive execution, which splits large partitions of a sort-merge join.
 Rows of the join are words, each of which is there once, however often the texts have it. Counts are summed up by tasks before they pass on.
 
 A word's form is its near word that occurs most, if that occurs ``ratio`` times as often or more; its root is where the forms lead.
@@ -48,6 +47,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 SPOILT = 31
 #: Bigrams of a word that are looked at.
 RAREST = 3
+#: Places to which the edit is narrowed down; a quarter of a long word, so that no word has more keys than a few dozen.
+WINDOW = 3
 #: The least number of code points of which an edit leaves a bigram.
 SHORTEST = 4
 #: Numbers of bigrams, which their counts are kept by: exact for letters below U+0100, shared by some of others.
@@ -124,16 +125,20 @@ def rarest(word: str, counts: list[int]) -> list[int]:
 
 
 def keys_of(word: str, places: list[int], shorter: int) -> set[str]:
-    """What a word and a near one have in common if the shorter of them has ``shorter`` code points and they share a bigram at one of ``places``."""
-    n, half, keys = len(word), shorter // 2, set()
-    for p in places:
-        end, rest = p + 2, n - p
-        keys.add(f"{shorter}<{word[: max(end, half)]}")
-        if end < half:
-            keys.add(f"{shorter}<{word[:end]}>{word[n - half :]}")
-        keys.add(f"{shorter}>{word[n - max(rest, half) :]}")
-        if rest < half:
-            keys.add(f"{shorter}>{word[p:]}<{word[:half]}")
+    """What a word and a near one have in common if the shorter of them has ``shorter`` code points and they share a bigram at one of ``places``.
+
+    Words agree in the first x code points and the last y. As one edit parts them, the parts on which they agree make up at least ``shorter`` - 1:
+    if the first of them isn't longer than x by half of what is left, the last is longer than y by that.
+    """
+    n, keys = len(word), set()
+    todo = [agreed for p in places for agreed in ((p + 2, 0), (0, n - p))]
+    while todo:
+        x, y = todo.pop()
+        left = shorter - x - y
+        if left > max(WINDOW, shorter // 4):
+            todo += [(x + left // 2, y), (x, y + left // 2)]
+        else:
+            keys.add(f"{shorter}<{word[:x]}>{word[n - y :] if y else ''}")
     return keys
 
 
