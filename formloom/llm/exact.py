@@ -36,6 +36,8 @@ from formloom.session import load, scratch, written
 
 #: Runs that meet in one exchange: this many binomial rounds at once.
 ROUNDS = 3
+#: Exchanges of one job: after so many, runs are written, so that a lost executor costs no more than these.
+CHAINED = 3
 #: Distinct keys that a slice should have at most, if all texts differ.
 SLICE_ROWS = 200_000
 KEY_BYTES = 48
@@ -144,14 +146,14 @@ def _first_runs(keyed: DataFrame, slices: int, largest: bool) -> DataFrame:
     return keyed.select("doc_id", "key", "row").mapInArrow(run, _RUN)
 
 
-def _merged(runs: DataFrame, largest: bool) -> DataFrame:
-    """One exchange: runs whose numbers agree above the lowest bits become one."""
+def _merged(runs: DataFrame, largest: bool, all_runs: bool = False) -> DataFrame:
+    """One exchange: runs whose numbers agree above the lowest bits become one; with ``all_runs`` all of a slice."""
 
     def merge(table: pa.Table) -> pa.Table:
         entries = merge_sorted([_run(x.as_py()) for x in table["entries"]], largest)
         return pa.table({"slice": [table["slice"][0].as_py()], "run": [table["up"][0].as_py()], "entries": [entries.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("run", pa.int64()), ("entries", pa.binary())]))
 
-    return runs.withColumn("up", F.shiftright("run", ROUNDS)).groupBy("slice", "up").applyInArrow(merge, _RUN)
+    return runs.withColumn("up", F.shiftright("run", 63 if all_runs else ROUNDS)).groupBy("slice", "up").applyInArrow(merge, _RUN)
 
 
 def _entries(runs: DataFrame) -> DataFrame:
@@ -167,16 +169,21 @@ def _entries(runs: DataFrame) -> DataFrame:
 
 
 def merge_runs(keyed: DataFrame, keep: str = "max") -> DataFrame:
-    """One row for each distinct key of ``keyed`` (doc_id, key, row): keep_id, keep_row and group_size."""
+    """One row for each distinct key of ``keyed`` (doc_id, key, row; written): keep_id, keep_row and group_size.
+
+    A run is a partition of ``keyed``; the last exchange takes all runs of a slice, whatever their numbers.
+    """
     if keep not in ("max", "min"):
         raise ValueError("keep is max or min")
     spark = keyed.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // SLICE_ROWS))
-    runs = written(_first_runs(keyed, slices, keep == "max"), "runs")
-    last = runs.agg(F.max("run")).first()[0] or 0
+    n, last = keyed.select(F.spark_partition_id().alias("run")).agg(F.count("*"), F.max("run")).first()
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SLICE_ROWS))
+    runs, exchanges = _first_runs(keyed, slices, keep == "max"), 0
     while last:
-        runs = written(_merged(runs, keep == "max"), "runs")
         last >>= ROUNDS
+        runs, exchanges = _merged(runs, keep == "max", not last), exchanges + 1
+        if last and exchanges % CHAINED == 0:
+            runs = written(runs, "runs")
     return _entries(runs)
 
 
@@ -195,7 +202,8 @@ def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, tot
 def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max") -> DataFrame:
     """For every row of ``df``: doc_id, keep_id, group_size, kept and text_sha256."""
     keyed = written(df.select(F.col(doc_id).cast("long").alias("doc_id"), digest_key(F.col(text).cast("binary")).alias("key"), F.monotonically_increasing_id().alias("row")), "keys")
-    found = joined_by_group(keyed, merge_runs(keyed, keep), "key", "group_size", keyed.count())
+    groups = written(merge_runs(keyed, keep), "groups")  # read three times
+    found = joined_by_group(keyed, groups, "key", "group_size", keyed.count())
     return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
 
 

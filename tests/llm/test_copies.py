@@ -180,6 +180,23 @@ def test_runs_must_be_sorted(spark):
         exact._merged(bad, True).collect()
 
 
+@pytest.mark.parametrize("chained", [1, 3])
+def test_merge_over_many_runs(spark, monkeypatch, request, chained):
+    """70 runs take three exchanges, whether runs are written between them or not."""
+    monkeypatch.setattr(exact, "CHAINED", chained)
+    monkeypatch.setattr(exact, "SLICE_ROWS", 100)
+    count, merged = [], exact._merged
+    monkeypatch.setattr(exact, "_merged", lambda *a: count.append(1) or merged(*a))
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "4k")  # a partition for each file
+    request.addfinalizer(lambda: spark.conf.set(setting, before))
+    made = spark.range(0, 2100, 1, 70).select(F.col("id").alias("doc_id"), F.concat(F.lit("T"), (F.col("id") % 300).cast("string")).alias("text"))
+    got = {r.doc_id: r for r in exact.exact_groups(made).collect()}
+    assert len(got) == 2100 and all(r.keep_id == 1800 + i % 300 and r.group_size == 7 and r.kept == (i == r.keep_id) for i, r in got.items())
+    assert len(count) == 3
+
+
 def test_large_and_small_groups(spark, monkeypatch):
     """Rows meet their groups the same way whether groups are broadcast or not, and repeated rows stay once."""
     monkeypatch.setattr(exact, "LARGE", 4)
