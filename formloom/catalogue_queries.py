@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom import record_queries
+from formloom import page_queries, record_queries
 from formloom.functions.text import first_group, pattern, squish, strip
 from formloom.operators import fill, forms, pages, rules
 from formloom.plans import catalog
@@ -425,7 +425,7 @@ def _diseases_sql() -> str:
     return f"SELECT {KEY}, TRUE AS has_underlying_disease, {', '.join(columns)} FROM customer"
 
 
-QUERIES |= record_queries.QUERIES
+QUERIES |= record_queries.QUERIES | page_queries.QUERIES
 
 ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} | {
     "form_name_fallback": f"SELECT {KEY}, CASE WHEN {KEY} % 2 = 1 THEN 'TRAN VAN BINH' END AS ho_va_ten FROM customer",
@@ -491,4 +491,4 @@ ORACLES = {name: _fields_sql(**columns) for name, columns in _BY_RULE.items()} |
     "form_labels": "SELECT c_custkey, " + ", ".join(f"CAST({_VALUES[n]} AS {'BIGINT' if n in ('chieu_cao', 'can_nang', 'sbp') else 'VARCHAR'}) AS {n}" for n in _LABELS) + " FROM (SELECT *, c_custkey AS k FROM customer)",
 }
 ORACLES["fill_rows"] = ORACLES["fill_rows"].replace("SELECT *", "SELECT section, field, n, CASE how WHEN 1 THEN n WHEN 2 THEN even ELSE 0 END AS n_set", 1)
-ORACLES |= record_queries.ORACLES
+ORACLES |= record_queries.ORACLES | page_queries.ORACLES

@@ -106,10 +106,42 @@ class LibraryBackend:
             raise EngineMissing(str(error)) from error
 
 
+class TextPages:
+    """Text files whose pages are parted by form feeds, as converters of documents write them. Undecodable bytes are an error."""
+
+    def open(self, content: bytes) -> Document:
+        # a form feed after the last page ends it
+        pages = content.decode().removesuffix("\f").split("\f")
+
+        class Text:
+            def __len__(self):
+                return len(pages)
+
+            def text(self, page):
+                return pages[page]
+
+            def image(self, page, zoom):
+                raise ValueError("a text has no images")
+
+            def close(self):
+                pass
+
+        return Text()
+
+    def open_image(self, content: bytes) -> Any:
+        raise ValueError("a text is no image")
+
+    def lines(self, image: Any) -> list[str]:
+        raise ValueError("a text has no images")
+
+    def text(self, image: Any, languages: str, command: str) -> str:
+        raise ValueError("a text has no images")
+
+
 _KEPT: dict[Callable, Backend] = {}
 
 
-def _backend(make: Callable[[], Backend]) -> Backend:
+def backend_of(make: Callable[[], Backend]) -> Backend:
     """One backend for each worker."""
     if make not in _KEPT:
         _KEPT[make] = make()
@@ -123,6 +155,16 @@ def recognise(backend: Backend, image: Any, engine: str, languages: str, command
     return backend.text(image, languages, command).strip()
 
 
+def page_by_image(backend: Backend, doc: Document, page: int, engine: str, dpi: int, languages: str, command: str) -> tuple[str, str, str | None]:
+    """Text, status and error of a page (from 0) that is rendered and recognised."""
+    try:
+        return recognise(backend, doc.image(page, dpi / POINTS_PER_INCH), engine, languages, command), "ok", None
+    except EngineMissing as error:
+        return NO_ENGINE, "error", str(error)
+    except Exception as error:
+        return PAGE_ERROR.format(page=page + 1, error=error), "error", str(error)
+
+
 def _mapped(df: DataFrame, f: Callable[[Any], Iterator[tuple]], schema: str, columns: list[str]) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -153,7 +195,7 @@ def text_layers(files: DataFrame, make: Callable[[], Backend] = LibraryBackend,
     def layer(row):
         pages, texts = 0, []
         try:
-            doc = _backend(make).open(row.content)
+            doc = backend_of(make).open(row.content)
             try:
                 pages = len(doc)
                 for page in range(pages):
@@ -189,18 +231,10 @@ def recognised_pages(counts: DataFrame, make: Callable[[], Backend] = LibraryBac
     n = partitions or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = page_ops.page_ranges(counts, at_once, workers).repartition(n, "path", "first")
 
-    def one(backend, doc, page):
-        try:
-            return recognise(backend, doc.image(page, dpi / POINTS_PER_INCH), engine, languages, command), "ok", None
-        except EngineMissing as error:
-            return NO_ENGINE, "error", str(error)
-        except Exception as error:
-            return PAGE_ERROR.format(page=page + 1, error=error), "error", str(error)
-
     def some(row):
         numbers = range(row.first, min(row.pages, row.first + row.n))
         try:
-            backend = _backend(make)
+            backend = backend_of(make)
             doc = backend.open(read(row.path))
         except Exception as error:
             for page in numbers:
@@ -208,7 +242,7 @@ def recognised_pages(counts: DataFrame, make: Callable[[], Backend] = LibraryBac
             return
         try:
             for page in numbers:
-                yield row.path, page + 1, *one(backend, doc, page)
+                yield row.path, page + 1, *page_by_image(backend, doc, page, engine, dpi, languages, command)
         finally:
             doc.close()
 
@@ -222,7 +256,7 @@ def recognised_images(files: DataFrame, make: Callable[[], Backend] = LibraryBac
         try:
             if row.content is None:
                 raise FileNotFoundError(row.path)
-            backend = _backend(make)
+            backend = backend_of(make)
             yield row.path, None, recognise(backend, backend.open_image(row.content), engine, languages, command), "ok", None
         except Exception as error:
             yield row.path, None, IMAGE_ERROR.format(error=error), "error", str(error)
@@ -260,4 +294,4 @@ def document_texts(files: DataFrame, make: Callable[[], Backend] = LibraryBacken
     return pdf_texts.unionByName(image_texts)
 
 
-__all__ = ["Backend", "Document", "EngineMissing", "LibraryBackend", "document_texts", "page_counts", "read_bytes", "recognise", "recognised_images", "recognised_pages", "text_layer", "text_layers"]
+__all__ = ["Backend", "Document", "EngineMissing", "LibraryBackend", "TextPages", "backend_of", "document_texts", "page_by_image", "page_counts", "read_bytes", "recognise", "recognised_images", "recognised_pages", "text_layer", "text_layers"]
