@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from formloom.operators import pages as page_ops
-from formloom.session import importable, shared_dir
+from formloom.session import importable, shared_dir, written
 from formloom.sources import decode
 from formloom.sources.files import store_of
 
@@ -180,5 +180,6 @@ def pages_of(counts: DataFrame, make: Callable[[], decode.Backend] = decode.Libr
     spark = counts.sparkSession
     register(spark)
     target = f"{shared_dir(spark)}/ranges"
+    counts = written(counts.select("path", "pages"), "counts")  # sorting reads it twice, and counting opens every document
     write_ranges(counts, target, at_once, workers, per_task)
     return spark.read.format(FORMAT).options(backend=f"{make.__module__}:{make.__qualname__}", **options).load(target)
