@@ -13,14 +13,14 @@ from formloom import page_queries, record_queries
 from formloom.functions.text import first_group, pattern, squish, strip
 from formloom.operators import fill, forms, pages, rules
 from formloom.plans import catalog
-from formloom.session import load
+from formloom.session import load, spread
 from formloom.sources import decode, files, remote
 
 KEY = "c_custkey"
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.extract(forms.forms(load(spark, sf_dir, "customer")), "text")
+    return rules.extract(forms.forms(spread(load(spark, sf_dir, "customer"))), "text")
 
 
 def _fields(**columns: str):
@@ -92,7 +92,7 @@ _BY_RULE = {
 
 def form_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name by capitals alone: odd forms have such a line, even ones only the labelled name."""
-    return forms.forms(load(spark, sf_dir, "customer")).select(KEY, rules.head_line_name(F.col("text")).alias("ho_va_ten"))
+    return forms.forms(spread(load(spark, sf_dir, "customer"))).select(KEY, rules.head_line_name(F.col("text")).alias("ho_va_ten"))
 
 
 def form_record_long(spark: SparkSession, sf_dir: str) -> DataFrame:

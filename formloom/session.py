@@ -44,6 +44,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over as many partitions as the session shuffles to, before work that is dear for each row.
+
+    A small file has one row group or few, and a row group is one task, however many rows of a few bytes it holds.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that driver and executors share; it is deleted when the application ends.
 
