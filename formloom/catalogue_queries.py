@@ -182,7 +182,7 @@ _JSON = """concat('{', '"A_CHI_SO_SINH_LY_CO_BAN":',
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").withColumn("k", F.col(KEY)).select(KEY, F.expr(_JSON).alias("json"))
+    return spread(load(spark, sf_dir, "customer")).withColumn("k", F.col(KEY)).select(KEY, F.expr(_JSON).alias("json"))
 
 
 def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def fill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def props_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties of events as a section of the record, where some have a field of the catalogue: counts by type of event."""
     section = F.concat(F.lit('{"A_CHI_SO_SINH_LY_CO_BAN":'), F.when(F.col("value") > 20, F.replace("props", F.lit('"k"'), F.lit('"tuoi"'))).otherwise(F.col("props")), F.lit("}"))
-    flat = fill.filled(load(spark, sf_dir, "events").select("event_type", section.alias("record")), "record", ["event_type"])
+    flat = fill.filled(spread(load(spark, sf_dir, "events")).select("event_type", section.alias("record")), "record", ["event_type"])
     age = F.col("chi_so_sinh_ly__tuoi")
     return flat.groupBy("event_type").agg(F.count("*").alias("n"), F.count(age).alias("n_tuoi"), F.sum(age).alias("sum_tuoi"), F.count_if(~F.col("chi_so_sinh_ly__hut_thuoc_la")).alias("n_false"))
 
@@ -314,7 +314,7 @@ _REPLIES = """CASE k % 10 WHEN 0 THEN concat('{"candidates":[{"content":{"parts"
 def remote_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of a service unpacked: good, a status of error, none, empty, not JSON, not connected, repeated keys, text after the JSON, NaN, JSON that is no record."""
     k = F.col(KEY)
-    replies = load(spark, sf_dir, "customer").withColumn("k", k).select(KEY, F.when(k % 10 == 1, 500 + k % 4).when(k % 10 != 5, 200).cast("int").alias("http_status"), F.expr(_REPLIES).alias("body"), F.when(k % 10 == 5, "Timeout").alias("error"))
+    replies = spread(load(spark, sf_dir, "customer")).withColumn("k", k).select(KEY, F.when(k % 10 == 1, 500 + k % 4).when(k % 10 != 5, 200).cast("int").alias("http_status"), F.expr(_REPLIES).alias("body"), F.when(k % 10 == 5, "Timeout").alias("error"))
     found = remote.unpacked(replies, [KEY])
     return found.select(KEY, "status", "error", F.col("thong_tin_ca_nhan__ho_va_ten").alias("ho_va_ten"), F.col("phan_loai_benh_nen__has_underlying_disease").alias("has_underlying_disease"), F.col("chi_so_sinh_ly__tuoi").alias("tuoi"))
 

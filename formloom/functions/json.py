@@ -10,16 +10,21 @@ raw control characters; only blank, tab, newline and carriage return part tokens
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import operator
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEEPEST = 1000
 
 _BODY = r"[^\"\\\x00-\x1f]*+(?:\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4})[^\"\\\x00-\x1f]*+)*+"
 _STRING = f'"{_BODY}"'
 _NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|NaN|-?Infinity"
+#: Looks whether one of these can begin, before each is tried.
+_BEGIN = "[-0-9NItfn]"
 _TOKENS = rf"\A(?:[ \t\n\r{{}}\[\],:]|{_STRING}|{_NUMBER}|true|false|null)*+\z"
 #: Innermost objects and arrays, where strings are a quotation mark and other values a nought.
 _INNERMOST = r'\{(?:":["0](?:,":["0])*+)?+\}|\[(?:["0](?:,["0])*+)?+\]'
@@ -49,15 +54,37 @@ def is_json(text: Column) -> Column:
 
     def checked(t: Column) -> Column:
         shape = F.regexp_replace(t, _STRING, '"')
-        shape = F.regexp_replace(shape, f"{_NUMBER}|true|false|null", "0")
+        shape = F.regexp_replace(shape, f"(?={_BEGIN})(?:{_NUMBER}|true|false|null)", "0")
         return F.when(~t.rlike(_TOKENS), False).otherwise(_with(F.regexp_replace(shape, "[ \t\n\r]++", ""), whole))
 
     return _with(text, checked)
 
 
-def marked(text: Column) -> Column:
-    """A text that :func:`is_json`, with marks; null if it isn't."""
-    return _with(text, lambda t: F.when(is_json(t), F.regexp_replace(t, rf'"({_BODY})"|({_NUMBER}|true|false)', rf'"{_MARKS[0]}$1{_MARKS[1]}$2"')))
+def marked(text: Column, checked: bool = False) -> Column:
+    """A text that :func:`is_json`, with marks; null if it isn't. ``checked``: it is known to be one, or null."""
+    with_marks = lambda t: F.regexp_replace(t, rf'"({_BODY})"|(?={_BEGIN})({_NUMBER}|true|false)', rf'"{_MARKS[0]}$1{_MARKS[1]}$2"')
+    return with_marks(text) if checked else _with(text, lambda t: F.when(is_json(t), with_marks(t)))
+
+
+def single_path(marked_text: Column, names: Sequence[str]) -> Column:
+    """The value, with marks, at ``outer[0].held.inner[0].last``, by the four names.
+
+    One parse instead of one for each step, where that gives the same; null elsewhere, even if there is a value: where a name
+    occurs again, as the last of repeated keys counts, or where what the path goes through isn't what it should be.
+    """
+    key = lambda name: _BEFORE + name + _AFTER
+    outer, held, inner, last = names
+    schema = T.StructType().add(key(outer), T.ArrayType(T.StructType().add(key(held), T.StructType().add(key(inner), T.ArrayType(T.StructType().add(key(last), T.StringType()))))))
+
+    def once(text: Column, name: str) -> Column:
+        written = f'"{_MARKS[0][1:]}{name}{_MARKS[1][1:]}"'
+        return F.length(text) - F.length(F.replace(text, F.lit(written))) == len(written)
+
+    def value(text: Column) -> Column:
+        found = F.get(F.from_json(text, schema)[key(outer)], 0)[key(held)][key(inner)]
+        return F.when(reduce(operator.and_, (once(text, n) for n in names)), F.get(found, 0)[key(last)])
+
+    return _with(marked_text, value)
 
 
 # The functions below take SQL text and give SQL text: a record has many fields, and expressions that are put together call by call take

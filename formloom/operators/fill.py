@@ -28,14 +28,14 @@ def _quoted(*columns: str) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
-def _taken_apart(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue) -> tuple[DataFrame, list[Held]]:
+def _taken_apart(df: DataFrame, json: str, keep: list[str], catalogue: Catalogue, checked: bool = False) -> tuple[DataFrame, list[Held]]:
     """``keep`` and columns for each field of the catalogue.
 
     Each step is a projection of its own, since what it makes is read several times in the next.
     """
     kept = df.select(*map(named, keep))
     whole, root = fresh(kept, "_whole"), fresh(kept, "_object")
-    out = df.select(*map(named, keep), J.marked(named(json)).alias(whole))
+    out = df.select(*map(named, keep), J.marked(named(json), checked).alias(whole))
     out = out.selectExpr(*_quoted(*keep), f"{J.members(whole)} AS {root}")
     objects = {(): root}
     paths = catalogue.objects()
@@ -63,13 +63,13 @@ def _text(e: Entry, there: str, value: str) -> str:
     return f"CASE WHEN {there} THEN {J.text_of(value)} ELSE 'false' END" if _is_boolean(e) else J.text_of(value)
 
 
-def filled(df: DataFrame, json: str, keep: list[str], typed: bool = True, catalogue: Catalogue = CATALOGUE) -> DataFrame:
-    """``keep`` and the flat record of the JSON column.
+def filled(df: DataFrame, json: str, keep: list[str], typed: bool = True, catalogue: Catalogue = CATALOGUE, checked: bool = False) -> DataFrame:
+    """``keep`` and the flat record of the JSON column; ``checked``: its texts are known to be JSON, or null.
 
     Values are text, spelled as in the JSON, with ``typed=False``; else they are cast to the field's type, null if that
     can't be; a boolean is ``true`` or ``false``, also as text, and nothing else.
     """
-    out, fields = _taken_apart(df, json, keep, catalogue)
+    out, fields = _taken_apart(df, json, keep, catalogue, checked)
     columns = _quoted(*(e.column for e in catalogue.entries))
     texts = out.selectExpr(*_quoted(*keep), *(f"{_text(*f)} AS {c}" for f, c in zip(fields, columns, strict=True)))
     if not typed:

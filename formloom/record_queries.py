@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from formloom.functions.text import named
 from formloom.operators import fill
 from formloom.plans import catalog
-from formloom.session import load
+from formloom.session import load, spread
 from formloom.sources import remote
 
 KEY = "event_id"
@@ -45,7 +45,7 @@ def user_catalogue() -> catalog.Catalogue:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").withColumn("k", F.col(KEY)).select(KEY, F.expr(_JSON).alias("json"))
+    return spread(load(spark, sf_dir, "events")).withColumn("k", F.col(KEY)).select(KEY, F.expr(_JSON).alias("json"))
 
 
 def fill_user_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

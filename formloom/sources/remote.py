@@ -81,12 +81,15 @@ def unpacked(replies: DataFrame, keep: list[str], typed: bool = True, catalogue:
     rows = replies.select(*map(named, keep), "http_status", "error", J.marked(F.when(F.col("http_status") == 200, F.col("body"))).alias("_body"))
     # one step in each projection, as the next reads what it makes several times
     steps = {
-        "_root": F.expr(J.members("_body")),
+        # nearly all replies are as they should be, and one parse reads them; the other steps get what is left
+        "_quick": J.single_path(F.col("_body"), ("candidates", "content", "parts", "text")),
+        "_odd": F.when(F.col("_quick").isNull(), F.col("_body")),
+        "_root": F.expr(J.members("_odd")),
         "_candidates": F.expr(J.member("_root", "candidates")),
         "_kind": F.expr(J.kind_of("_candidates")),
         "_list": F.expr(J.elements("_candidates")),
         "_held": F.expr(J.members("_candidates")),
-        "_plain": F.expr(J.text_of("_candidates")),
+        "_plain": F.expr(f"CASE WHEN _kind NOT IN ('array', 'object') THEN {J.text_of('_candidates')} END"),
         "_first": F.get("_list", 0),
         "_message": F.expr(J.members("_first")),
         "_content": F.expr(J.member("_message", "content")),
@@ -94,7 +97,7 @@ def unpacked(replies: DataFrame, keep: list[str], typed: bool = True, catalogue:
         "_parts": F.expr(J.member("_inner", "parts")),
         "_part": F.get(F.expr(J.elements("_parts")), 0),
         "_last": F.expr(J.members("_part")),
-        "_said": F.expr(J.member("_last", "text")),
+        "_said": F.coalesce("_quick", F.expr(J.member("_last", "text"))),
         "_text": F.expr(f"CASE WHEN {J.is_string('_said')} THEN {J.text_of('_said')} END"),
         "_good": F.coalesce(J.is_json(F.col("_text")), F.lit(False)),
     }
@@ -112,11 +115,11 @@ def unpacked(replies: DataFrame, keep: list[str], typed: bool = True, catalogue:
         .when(F.col("http_status").isNull(), F.lit(FAILED))
         .when(F.col("http_status") != 200, F.format_string(BAD_STATUS.format(status="%d"), "http_status"))
         .when(~F.expr(J.is_object("_body")), F.lit(FAILED))
-        .when(none, F.lit(EMPTY_REPLY))
+        .when(F.col("_quick").isNull() & none, F.lit(EMPTY_REPLY))
         .when(~F.col("_good"), F.lit(FAILED))
     )
     rows = rows.withColumn("_error", error).select(*map(named, keep), "_error", F.when(F.col("_error").isNull(), F.col("_text")).alias("_json"))
-    out = fill(rows, "_json", [*keep, "_error"], catalogue=catalogue) if fill else filled(rows, "_json", [*keep, "_error"], typed, catalogue)
+    out = fill(rows, "_json", [*keep, "_error"], catalogue=catalogue) if fill else filled(rows, "_json", [*keep, "_error"], typed, catalogue, checked=True)
     status = F.when(F.col("_error").isNull(), "ok").otherwise("error")
     return out.select(*map(named, keep), status.alias("status"), F.col("_error").alias("error"), *(named(e.column) for e in catalogue.entries))
 
