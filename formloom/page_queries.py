@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.session import load, shared_dir
+from formloom.session import load, shared_dir, tasks
 from formloom.sinks import write_files
 from formloom.sources import decode, ranges
 
@@ -20,7 +20,8 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.transform(F.array_sort(F.collect_list(page)), lambda x: F.concat(x["text"], F.lit("\f")))
     documents = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(pages, "").alias("content"))
     write_files(documents.select(F.concat(F.lit(f"{folder}/"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.lit(".txt")).alias("file"), "content"))
-    return spark.read.format("binaryFile").load(folder).select("path", "content")
+    # Spark takes 4 MB for the cost of opening a file, and so would have a task for a few small files each
+    return spark.read.format("binaryFile").load(folder).select("path", "content").coalesce(tasks(spark))
 
 
 def page_source_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

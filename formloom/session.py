@@ -44,13 +44,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks work is dealt to: as many as the session shuffles to, and one for each core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt evenly over as many partitions as the session shuffles to, before work that is dear for each row.
+    """``df`` dealt evenly over :func:`tasks`, before work that is dear for each row.
 
     A small file has one row group or few, and a row group is one task, however many rows of a few bytes it holds.
     """
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return df.repartition(tasks(df.sparkSession))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -165,15 +165,23 @@ def page_by_image(backend: Backend, doc: Document, page: int, engine: str, dpi:
         return PAGE_ERROR.format(page=page + 1, error=error), "error", str(error)
 
 
+#: Rows that go back to Spark at once, if a batch of documents gives as many: a row at a time costs more than a small document.
+ROWS_AT_ONCE = 500
+
+
 def _mapped(df: DataFrame, f: Callable[[Any], Iterator[tuple]], schema: str, columns: list[str]) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            made = []
             for row in batch.itertuples(index=False):
-                made = list(f(row))
-                if made:
+                made.extend(f(row))
+                if len(made) >= ROWS_AT_ONCE:
                     yield pd.DataFrame(made, columns=names)
+                    made = []
+            if made:
+                yield pd.DataFrame(made, columns=names)
 
     return df.select(*columns).mapInPandas(run, schema)
 

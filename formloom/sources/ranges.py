@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from formloom.operators import pages as page_ops
-from formloom.session import importable, shared_dir, written
+from formloom.session import importable, shared_dir, tasks, written
 from formloom.sources import decode
 from formloom.sources.files import store_of
 
 FORMAT = "page_ranges"
-#: Ranges that a task works on.
+#: Ranges that a task works on; where all would be more tasks than the session deals work to, it is more ranges.
 PER_TASK = 16
 #: Footers that the driver reads at once.
 FOOTERS = 16
@@ -172,14 +172,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PageRanges)
 
 
-def pages_of(counts: DataFrame, make: Callable[[], decode.Backend] = decode.LibraryBackend, at_once: int = 8, workers: int | None = None, per_task: int = PER_TASK, **options: Any) -> DataFrame:
+def pages_of(counts: DataFrame, make: Callable[[], decode.Backend] = decode.LibraryBackend, at_once: int = 8, workers: int | None = None, per_task: int | None = None, **options: Any) -> DataFrame:
     """(path, page_num, text, status, error) of the documents ``counts`` (path, pages): writes their ranges and reads by them.
 
-    ``make`` must be a name of a module that workers can import.
+    ``make`` must be a name of a module that workers can import. Without ``per_task`` there are no more tasks than
+    :func:`~formloom.session.tasks` says, or so, since starting one costs more than a range of a small document.
     """
     spark = counts.sparkSession
     register(spark)
     target = f"{shared_dir(spark)}/ranges"
     counts = written(counts.select("path", "pages"), "counts")  # sorting reads it twice, and counting opens every document
+    if per_task is None:
+        per_task = max(PER_TASK, -(-page_ops.page_ranges(counts.where(F.col("path").isNotNull()), at_once, workers).count() // tasks(spark)))
     write_ranges(counts, target, at_once, workers, per_task)
     return spark.read.format(FORMAT).options(backend=f"{make.__module__}:{make.__qualname__}", **options).load(target)

@@ -121,3 +121,19 @@ def test_text_pages():
     assert pages(b"a\fb\f") == ["a", "b"] == pages(b"a\fb") and pages(b"\f") == [""] and pages(b"a\f\f") == ["a", ""]
     with pytest.raises(UnicodeDecodeError):
         pages(b"\xff\f")
+
+
+def test_many_small_documents_are_few_tasks(spark, tmp_path):
+    rows_ = [document(tmp_path / f"d{i:03}.txt", 3) for i in range(300)]
+    counts = spark.createDataFrame(rows_, SCHEMA)
+    found = ranges.pages_of(counts, decode.TextPages, at_once=1)
+    assert found.rdd.getNumPartitions() <= 4 + 4  # 900 ranges: 57 tasks of 16; four tasks, and what is left in each of four files
+    assert rows(found) == sorted((f"d{i:03}.txt", n, f"d{i:03} {n}", "ok") for i in range(300) for n in (1, 2, 3))
+
+
+def test_files_of_the_query_are_few_tasks(spark, monkeypatch):
+    from formloom import page_queries
+
+    monkeypatch.setattr(page_queries, "load", lambda *_: spark.range(200).selectExpr("id AS conv_id", "0 AS turn", "'x' AS text"))
+    files = page_queries.conversation_files(spark, "")
+    assert files.rdd.getNumPartitions() == 4 and files.count() == 200
